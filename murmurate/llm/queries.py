@@ -3,28 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import language_id, quality
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .packing import pack
+from .token_counts import token_counts
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_t(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_t(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
     return found.drop("items", "hit_spans")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _t(spark, sf_dir, "labels")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_t(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
+    "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
