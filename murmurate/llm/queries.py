@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import language_id, quality
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
+from .near_dups import near_duplicates
 from .packing import pack
 from .token_counts import token_counts
 
@@ -23,6 +25,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_t(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_t(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs))
@@ -33,6 +39,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "hit_spans")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_t(spark, sf_dir, "documents")).drop("body")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _t(spark, sf_dir, "labels")))
@@ -45,8 +55,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
 }

@@ -51,10 +51,25 @@ def drop_staged(*tables: DataFrame) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bucket_count(df: DataFrame, share: float, target_mb: float = 8.0) -> int:
     """How many hash buckets keep ``share`` of the input's bytes at ``target_mb`` a bucket."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(parts, min(1 << 20, int(plan_bytes(df) * share / (target_mb * 1e6)) + 1))
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, least: int = 1000) -> DataFrame:
+    """Left join to a table with one row a key whose column ``rows`` says how many left rows the key has.
+
+    Keys with more rows than ``least`` and than a 100,000th of all are joined by a broadcast of
+    their rows (fewer than 100,000, whatever the input); no other key is large enough to skew the
+    shuffled join. ``rows`` is not part of the result. Null keys find nothing.
+    """
+    from pyspark.sql import functions as F
+
+    at = max(least, total // 100_000)
+    hot = F.broadcast(right.where(F.col(rows) > at).drop(rows))
+    cold = left.join(F.broadcast(right.where(F.col(rows) > at).select(key)), key, "left_anti").join(right.where(F.col(rows) <= at).drop(rows), key, "left")
+    return left.join(hot, key).unionByName(cold)
