@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality
+from . import language_id, language_model, quality
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -43,6 +43,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_t(spark, sf_dir, "documents")).drop("body")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.train(docs))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _t(spark, sf_dir, "labels")))
@@ -59,6 +64,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
 }
