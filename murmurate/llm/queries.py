@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import language_id, language_model, quality
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .fixity import fixity_report, warc_record
 from .line_dedup import line_dedup
 from .near_dups import near_duplicates
 from .packing import pack
@@ -57,6 +59,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_t(spark, sf_dir, "documents"))
 
 
+def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, against a replica that lost some records and in which others end early."""
+    pages = _t(spark, sf_dir, "pages")
+    sum_ = F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
+    html = F.coalesce("html", F.lit(""))
+    primary = pages.select("page_id", warc_record(F.col("page_id"), F.col("url"), html).alias("record"))
+    damaged = F.when(F.pmod(sum_, F.lit(101)) == 5, F.concat(html, F.lit("\0"))).otherwise(html)
+    replica = pages.where(F.pmod(sum_, F.lit(103)) != 7).select("page_id", warc_record(F.col("page_id"), F.col("url"), damaged).alias("record"))
+    return fixity_report(primary, replica, "page_id", "record")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -67,6 +80,7 @@ QUERIES = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_merkle_fixity": op10_merkle_fixity,
 }
 
 ORACLE_SQL = {
@@ -100,4 +114,32 @@ ORACLE_SQL = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op10_merkle_fixity": r"""
+        WITH r AS (
+            SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' AS p
+            FROM pages),
+        rec AS (
+            SELECT page_id, encode(p || u || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(h)
+                   || chr(13) || chr(10) || chr(13) || chr(10) || h || chr(13) || chr(10) || chr(13) || chr(10)) AS b
+            FROM r),
+        leaf AS (
+            SELECT page_id, CAST(1 AS BIGINT) AS records, CAST(octet_length(b) AS BIGINT) AS bytes, sha256(b) AS leaf_sha256, page_id >> 6 AS range_id FROM rec),
+        rng AS (SELECT range_id, sha256(string_agg(leaf_sha256, '' ORDER BY page_id)) AS range_sha256 FROM leaf GROUP BY range_id),
+        crc_table AS (
+            WITH RECURSIVE t(i, k, c) AS (
+                SELECT i, 0, CAST(i AS BIGINT) FROM range(256) AS x(i)
+                UNION ALL
+                SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8)
+            SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+        crc AS (
+            SELECT page_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(page_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                   lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) AS s
+            FROM pages, crc_table)
+        SELECT leaf.page_id, records, bytes,
+               CAST(coalesce(sum(bytes) OVER (PARTITION BY leaf.range_id ORDER BY leaf.page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+               leaf_sha256, leaf.range_id, range_sha256,
+               CASE WHEN s % 103 = 7 THEN 'missing' WHEN s % 101 = 5 THEN 'corrupt' ELSE 'ok' END AS status
+        FROM leaf JOIN rng USING (range_id) JOIN crc USING (page_id)
+    """,
 }
