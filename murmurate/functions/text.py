@@ -149,7 +149,7 @@ def posture(rules: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Parts of a semicolon list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def fit_title(c: Column, fallback: Column, most: int = 60) -> Column:
