@@ -15,11 +15,15 @@ def remainder(id_col: str, modulus: int) -> Column:
 def bounded_sample(rows: DataFrame, texts: DataFrame, label: str, per_label: int, max_labels: int) -> list:
     """At most ``per_label`` rows of each label, in the order of a hash of the id, with their texts.
 
-    ``rows`` has ``__id`` and the label, ``texts`` has ``__id``, ``__text`` and what else is to come along. Only ids are ranked
-    (a limit per label is pushed below the shuffle); texts are joined to the chosen ids.
+    ``rows`` has ``__id`` and the label, ``texts`` has ``__id``, ``__text`` and what else is to come along. Only ids are ranked;
+    texts are joined to the chosen ids. The ``max_labels`` most frequent labels are used.
     """
+    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels)
+    # Labels with many rows are thinned by a hash of the id first, so that what is ranked stays bounded too.
+    cut = F.broadcast(counts.select(label, (F.least(F.lit(1.0), F.lit(4.0 * per_label) / F.col("count")) * (1 << 30)).cast("long").alias("__cut")))
+    thin = rows.select("__id", label).join(cut, label).where(F.pmod(F.xxhash64("__id", F.lit(17)), F.lit(1 << 30)) < F.col("__cut"))
     w = W.partitionBy(label).orderBy(F.xxhash64("__id"), "__id")
-    ids = rows.select("__id", label).dropDuplicates(["__id", label]).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per_label)
+    ids = thin.select("__id", label).dropDuplicates(["__id", label]).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per_label)
     ids = ids.select("__id", label).limit(per_label * max_labels)
     got = texts.join(F.broadcast(ids), "__id").collect()
     return sorted(got, key=lambda r: (str(r[label]), str(r["__id"]), r["__text"] or ""))
