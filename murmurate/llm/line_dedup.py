@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin as sj
-from .shared import drop_staged, hot_join, stage
-from .text import chunks, set_hash, words
+from .shared import hot_join, stage
+from .text import chunks, distinct, set_hashes, words
 
 
 def line_sets(texts: list, whole: bool = False) -> list[tuple[str, np.ndarray]]:
@@ -24,6 +24,18 @@ def line_sets(texts: list, whole: bool = False) -> list[tuple[str, np.ndarray]]:
     return list(zip(lines, out, strict=True))
 
 
+def flat_lines(texts: list) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Lines of the texts in runs: their bytes, their distinct word hashes end to end, and how many each has."""
+    for _, run in chunks([line for t in texts for line in (t or "").split("\n")]):
+        yield run, *distinct(*words(run))
+
+
+def word_lists(texts: list, whole: bool = False) -> Iterator[tuple[None, np.ndarray]]:
+    """The words of all lines as one array a run: what counting needs."""
+    for _, tokens, _ in flat_lines(texts):
+        yield None, tokens
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``body`` (a hash of the text), ``line`` (from 0) and ``node`` (null: no words) of each line."""
 
@@ -33,7 +45,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part = batch.slice(at, 512)
                 texts = part.column(2).to_pylist()
                 counts = np.array([(t or "").count("\n") + 1 for t in texts])
-                node = pa.array([set_hash(s) if len(s) else None for _, s in line_sets(texts)], pa.int64())
+                flat = [(set_hashes(t, n), n == 0) for _, t, n in flat_lines(texts)]
+                node = pa.array(np.concatenate([x[0] for x in flat]), pa.int64(), mask=np.concatenate([x[1] for x in flat]))
                 row = pa.array(np.repeat(np.arange(len(texts)), counts))
                 line = pa.array(np.concatenate([np.arange(c) for c in counts]).astype(np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), line, node], names=["doc_id", "body", "line", "node"])
@@ -43,6 +56,33 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(cut, f"doc_id {kind}, body long, line int, node long")
 
 
+def line_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One line of each of these nodes; see setjoin.node_texts."""
+    few = nodes.count() <= 4 * sj.BROADCAST_ROWS
+    held = texts.sparkSession.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64))) if few else None
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want = held.value if few else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for run, tokens, sizes in flat_lines(batch.column(0).slice(at, 512).to_pylist()):
+                    node = set_hashes(tokens, sizes)
+                    ok = sizes > 0
+                    if few and len(want):
+                        ok &= want[np.minimum(np.searchsorted(want, node), len(want) - 1)] == node
+                    elif few:
+                        ok &= False
+                    idx = np.flatnonzero(ok)
+                    idx = idx[np.unique(node[idx], return_index=True)[1]]
+                    if len(idx):
+                        yield pa.RecordBatch.from_arrays([pa.array(node[idx], pa.int64()), pa.array([run[i].decode("utf-8", "surrogatepass") for i in idx.tolist()], pa.string())], names=["node", "text"])
+
+    found = texts.mapInArrow(find, "node long, text string")
+    if not few:
+        found = found.join(nodes, "node", "left_semi")
+    return found.groupBy("node").agg(F.min("text").alias("text"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Lines that have an earlier match.
 
@@ -60,39 +100,37 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "body", "line")
     first = stage(lines.where("node IS NOT NULL").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("rows")), "first")
 
-    frequent = sj.bounded(stage(sj.frequent_tokens(texts, line_sets, rule), "frequent"))
-    met = stage(sj.postings(texts, line_sets, rule, frequent), "met")
-    rows = stage(sj.with_leaders(met).join(first.select("node", "first"), "node"), "led")
-    drop_staged(met)
-    known = stage(sj.node_texts(texts, line_sets, rows.select("node").distinct(), rule), "texts")
-
-    # The earliest node of each leader's group against the group.
-    group = rows.groupBy("leader").agg(F.min(F.struct("first", "node", "n")).alias("e"))
-    star = rows.join(group.select("leader", F.col("e.node").alias("a"), F.col("e.n").alias("na")), "leader").where("node != a")
-    star = star.where(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", F.col("node").alias("b")).distinct()
-    star = stage(star, "star")
-    late = stage(sj.verify(star, known, line_sets, rule).select(F.col("b").alias("node")).distinct(), "late1")
-
-    marked = rows.join(late.withColumn("done", F.lit(True)), "node", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-
-    def unsettled(x: Column, y: Column) -> Column:
-        return F.when(x["first"] < y["first"], ~y["done"]).otherwise(~x["done"])
+    frequent = sj.bounded(stage(sj.frequent_tokens(texts, word_lists, rule), "frequent"))
+    met = stage(sj.pair_postings(texts, flat_lines, rule, frequent), "met")
+    pairs = stage(sj.counted_pairs(met), "pairs")
+
+    # Frequent tokens: the earliest node of each leader's group against the group.
+    often = met.where("token IS NOT NULL").select("token", "node", "n", "p", "l", "c").dropDuplicates(["token", "node"])
+    lead = often.groupBy("token").agg(F.min(F.struct((-F.col("c")).alias("k"), "node")).alias("x"), F.count("*").alias("m")).where("m > 1")
+    led = often.join(lead.select("token", F.col("x.node").alias("leader")), "token").groupBy("leader", "node").agg(F.min("n").alias("n"))
+    led = stage(led.join(first.select("node", "first"), "node"), "led")
+    group = led.groupBy("leader").agg(F.min(F.struct("first", "node", "n")).alias("e"))
+    star = led.join(group.select("leader", F.col("e.node").alias("a"), F.col("e.n").alias("na")), "leader").where("node != a")
+    star = star.where(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", F.col("node").alias("b"))
+
+    tried = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "tried")
+    nodes = tried.select(F.explode(F.array("a", "b")).alias("node")).unionByName(led.select("node")).distinct()
+    known = stage(line_texts(texts, stage(nodes, "nodes")), "texts")
+    linked = stage(sj.verify(tried, known, line_sets, rule), "links")
+    f = first.select("node", "first")
 
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = sj.rare_pairs(marked, unsettled, ["first", "done"], rule).join(tried, ["a", "b"], "left_anti")
-    linked = sj.verify(pairs, known, line_sets, rule)
+    def later(links: DataFrame) -> DataFrame:
+        ends = links.join(f.select(F.col("node").alias("a"), F.col("first").alias("fa")), "a").join(f.select(F.col("node").alias("b"), F.col("first").alias("fb")), "b")
+        return ends.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct()
 
-    heavy = marked.where("heavy").select("leader", "node", "first", "done").distinct()
-    sized = heavy.groupBy("leader").agg(F.count("*").alias("m"), F.max(~F.col("done")).alias("any")).where("m > 2 AND any")
-    order = heavy.join(sized.select("leader"), "leader", "left_semi").join(known, "node")
+    late = stage(later(linked), "late")
+    marked = led.join(late.withColumn("done", F.lit(True)), "node", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    sized = marked.groupBy("leader").agg(F.count("*").alias("m"), F.max(~F.col("done")).alias("any")).where("m > 2 AND any")
+    order = marked.join(sized.select("leader"), "leader", "left_semi").join(known, "node")
     mark = F.concat(F.when(F.col("first.z"), "1").otherwise("0"), _sortable(F.col("first.doc_id"), docs.schema[id_col].dataType.simpleString()), _sortable(F.col("first.body"), "bigint"), F.lpad(F.col("first.line").cast("string"), 12, "0"))
     order = order.select("leader", "node", "text", (~F.col("done")).alias("open"), mark.alias("mark"))
-    grouped = sj.group_links(order, line_sets, rule, components=False)
-
-    both = stage(linked.unionByName(grouped), "links")
-    f = first.select("node", "first")
-    ends = both.join(f.select(F.col("node").alias("a"), F.col("first").alias("fa")), "a").join(f.select(F.col("node").alias("b"), F.col("first").alias("fb")), "b")
-    late = late.unionByName(ends.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("node"))).distinct()
+    grouped = stage(sj.group_links(order, line_sets, rule, components=False), "grouped")
+    late = late.unionByName(later(grouped)).distinct()
 
     fate = first.join(late.withColumn("late", F.lit(True)), "node", "left").select("node", "first", F.coalesce("late", F.lit(False)).alias("late"), "rows")
     judged = hot_join(lines, stage(fate, "fate"), "node", "rows", lines.count())

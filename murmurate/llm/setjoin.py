@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bucket_count, stage
-from .text import set_hash
+from .text import mix, set_hash, set_hashes
 
 #: A token in this many sets is frequent; the bound on how many frequent tokens are kept raises it.
 FREQUENT = 8
@@ -184,6 +184,163 @@ def prefix(s: np.ndarray, rule: Rule, tokens: np.ndarray, df: np.ndarray) -> tup
     return ranked[:k], np.arange(k) >= len(light), l, typical
 
 
+def prefixes(tokens: np.ndarray, sizes: np.ndarray, rule: Rule, frequent: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, ...]:
+    """:func:`prefix` of many sets that lie end to end, without a loop over sets.
+
+    Returns the prefix tokens with, for each, its set, its position (from 1) and whether it is
+    frequent or uncounted; and the l and the typicality of each set. Empty sets have no tokens.
+    """
+    k = len(sizes)
+    off = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(k), sizes)
+    counted = tokens < np.uint64(rule.cut)
+    n_df = np.zeros(len(tokens), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        hit = counted & (frequent[at] == tokens)
+        n_df[hit] = df[at[hit]]
+    often = n_df > 0
+    rank = np.where(counted, np.minimum(n_df, (1 << 30) - 1), 1 << 30)
+    order = np.argsort(owner * (1 << 31) + rank, kind="stable")
+    tokens, n_df, often, counted = tokens[order], n_df[order], often[order], counted[order]
+    need = -(-rule.percent * sizes // 100)
+    base = sizes - need + 1
+    ls = np.arange(1, MATCHES + 1)
+    sums = np.concatenate([[0.0], np.cumsum(np.where(often, n_df - 1.0, RARE_COST))])
+    upto = np.minimum(off[:, None] + base[:, None] + ls[None] - 1, len(tokens))
+    cost = (sums[upto] - sums[off][:, None]) * (1 + VERIFY_COST / ls)[None]
+    cost[ls[None] > need[:, None]] = np.inf
+    chosen = cost.argmin(1) + 1
+    place = np.arange(len(tokens)) - off[owner]
+    keep = place < (base + chosen - 1)[owner]
+    typical = 255 * np.bincount(owner, often, k) / np.maximum(np.bincount(owner, counted, k), 1)
+    return tokens[keep], owner[keep], place[keep] + 1, (often | ~counted)[keep], chosen, typical.astype(np.int64)
+
+
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("m", "u1")])
+
+
+def _run_pairs(x: np.ndarray, rule: Rule) -> np.ndarray:
+    """All pairs of nodes under each token (postings sorted by token, then node) whose sizes and positions allow a match."""
+    out = []
+    for gap in range(1, FREQUENT):
+        if len(x) <= gap:
+            break
+        a, b = x[:-gap], x[gap:]
+        ok = (a["t"] == b["t"]) & (a["d"] != b["d"])
+        a, b = a[ok], b[ok]
+        na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
+        ok = 100 * np.minimum(na, nb) >= rule.percent * np.maximum(na, nb)
+        # What they can share: all before the token, the token, all after it.
+        pa_, pb_ = a["p"].astype(np.int64), b["p"].astype(np.int64)
+        most = np.minimum(pa_, pb_) + np.minimum(na - pa_, nb - pb_)
+        ok &= rule.similar(most, na, nb) | (pa_ >= 65535) | (pb_ >= 65535)
+        p = np.empty(int(ok.sum()), _PAIR)
+        p["a"], p["b"], p["m"] = a["d"][ok], b["d"][ok], np.minimum(a["l"], b["l"])[ok]
+        out.append(p)
+    return np.concatenate(out) if out else np.empty(0, _PAIR)
+
+
+def pair_postings(texts: DataFrame, flat: Callable, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Postings of many small sets a row (every token counted), met in place.
+
+    Pairs under rare tokens come out packed (``bucket``, ``payload``), by a hash of the pair;
+    postings of frequent tokens come out as rows (``token, node, n, p, l, c``).
+    ``flat`` gives (sources, tokens, sizes) for runs of rows.
+    """
+    buckets = bucket_count(texts, 6 * rule.region)
+    held = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, df = held.value
+        seen: set[int] = set()
+        light, heavy, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            if light and (x := np.concatenate(light)).size:
+                x = x[np.argsort(x["t"], kind="stable")]
+                rows += _packed(x["t"], x, rule, buckets, 0)
+            if heavy and (x := np.concatenate(heavy)).size:
+                own = (x["d"].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(own, kind="stable")
+                x, own = x[order], own[order]
+                cut = np.flatnonzero(np.diff(own)) + 1
+                rows += [(b, 1, part.tobytes()) for b, part in zip(own[np.concatenate([[0], cut])].tolist(), np.split(x, cut), strict=True)]
+            return _batch(rows)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for _, tokens, sizes in flat(batch.column(0).slice(at, 512).to_pylist()):
+                    node = set_hashes(tokens, sizes)
+                    first = np.zeros(len(node), bool)
+                    first[np.unique(node, return_index=True)[1]] = True
+                    first &= sizes > 0
+                    names = node.tolist()
+                    for i in np.flatnonzero(first).tolist():
+                        if names[i] in seen:
+                            first[i] = False
+                        elif len(seen) < 1 << 19:
+                            seen.add(names[i])
+                    tokens, sizes, node = tokens[np.repeat(first, sizes)], sizes[first], node[first]
+                    if not len(sizes):
+                        continue
+                    t, owner, place, often, l, typical = prefixes(tokens, sizes, rule, words, df)  # noqa: E741
+                    x = np.empty(len(t), _POST)
+                    x["t"], x["d"], x["n"], x["p"], x["l"], x["c"] = t, node[owner], sizes[owner], np.minimum(place, 65535), l[owner], typical[owner]
+                    light.append(x[~often])
+                    heavy.append(x[often])
+                    size += len(t)
+                    if size > 500_000:
+                        yield flush()
+                        light, heavy, size = [], [], 0
+        if size:
+            yield flush()
+
+    kinds_of = {"bucket": "Int32", "payload": object, "token": "Int64", "node": "Int64", "n": "Int64", "p": "Int32", "l": "Int32", "c": "Int32"}
+
+    def part(rows: int, **given) -> pd.DataFrame:
+        """A part of the result; columns that are not given are null, in their own type (hashes must not pass through floats)."""
+        return pd.DataFrame({k: pd.Series(given[k], dtype=t) if k in given else pd.Series([None] * rows, dtype=t) for k, t in kinds_of.items()})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        kinds, parts = pdf["kind"].to_numpy(), [part(0)]
+        for kind in (0, 1):
+            got = [np.frombuffer(p, _POST) for p in pdf["payload"][kinds == kind]]
+            if not got:
+                continue
+            x = np.concatenate(got)
+            x = x[np.lexsort((x["d"], x["t"]))]
+            x = x[~np.concatenate([[False], (x["t"][1:] == x["t"][:-1]) & (x["d"][1:] == x["d"][:-1])])]
+            if kind:
+                parts.append(part(len(x), token=x["t"].astype(np.uint64).view(np.int64), node=x["d"].copy(), n=x["n"].astype(np.int64), p=x["p"].astype(np.int32), l=x["l"].astype(np.int32), c=x["c"].astype(np.int32)))
+                continue
+            p = _run_pairs(x, rule)
+            own = (mix(p["a"].view(np.uint64) ^ mix(p["b"].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            p, own = p[order], own[order]
+            if len(p):
+                cut = np.flatnonzero(np.diff(own)) + 1
+                parts.append(part(len(cut) + 1, bucket=own[np.concatenate([[0], cut])].astype(np.int32), payload=[q.tobytes() for q in np.split(p, cut)]))
+        return pd.concat([x for x in parts if len(x)] or parts)
+
+    packed = texts.mapInArrow(post, "bucket int, kind int, payload binary")
+    return packed.groupBy("bucket").applyInPandas(meet, "bucket int, payload binary, token long, node long, n long, p int, l int, c int")
+
+
+def counted_pairs(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many rare prefix tokens as they must."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.concatenate([np.frombuffer(p, _PAIR) for p in pdf["payload"]])
+        x = x[np.lexsort((x["b"], x["a"]))]
+        first = np.flatnonzero(np.concatenate([[True], (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])]))
+        keep = np.diff(np.concatenate([first, [len(x)]])) >= x["m"][first]
+        return pd.DataFrame({"a": x["a"][first][keep], "b": x["b"][first][keep]})
+
+    return met.where("payload IS NOT NULL").select("bucket", "payload").groupBy("bucket").applyInPandas(count, "a long, b long")
+
+
 def postings(texts: DataFrame, sets: Sets, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Nodes that meet under a token of their prefixes.
 

@@ -130,3 +130,25 @@ def set_hash(s: np.ndarray) -> int:
     x = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
     y = np.bitwise_xor.reduce(mix(s + np.uint64(0x14057B7EF767814F))) if len(s) else np.uint64(0)
     return int(mix(np.array([x], dtype=np.uint64) * _C[0] + np.array([y], dtype=np.uint64) * _C[1] + n * _C[2]).view(np.int64)[0])
+
+
+def distinct(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes in order, end to end, and how many each text has."""
+    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    keep = np.ones(len(h), dtype=bool)
+    keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[keep], np.bincount(owner[keep], minlength=len(begin) - 1)
+
+
+def set_hashes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """:func:`set_hash` of many sets that lie end to end (for an empty set its value is not meaningful)."""
+    out = np.zeros(len(sizes), np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        at = (np.cumsum(sizes) - sizes)[some]
+        x = np.add.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), at)
+        y = np.bitwise_xor.reduceat(mix(tokens + np.uint64(0x14057B7EF767814F)), at)
+        out[some] = mix(x * _C[0] + y * _C[1] + sizes[some].astype(np.uint64) * _C[2]).view(np.int64)
+    return out
