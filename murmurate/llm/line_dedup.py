@@ -14,6 +14,10 @@ from .shared import hot_join, stage
 from .text import chunks, distinct, set_hashes, words
 
 
+#: Longest multi-match of a line, and from how many lines on a word's lines are met by its leader instead of in pairs.
+MATCHES, PAIRED = 3, 512
+
+
 def line_sets(texts: list, whole: bool = False) -> list[tuple[str, np.ndarray]]:
     """The distinct words (lower-cased A-Z, split at ASCII white space) of each line of the texts; ``whole``: of each text."""
     lines = texts if whole else [line for t in texts for line in (t or "").split("\n")]
@@ -93,7 +97,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order). Lines without words are never removed. Rows that repeat both id and text share their
     fate: the lines of the first of them. An empty table gives no rows; other columns are ignored.
     """
-    rule = sj.Rule(percent, 1.0)
+    rule = sj.Rule(percent, 1.0, matches=MATCHES, paired=PAIRED)
     texts = docs.select(F.col(text_col).alias("text"))
     lines = stage(lines_of(docs, id_col, text_col), "lines")
     # The first place of each node: a struct that sorts with null ids last.

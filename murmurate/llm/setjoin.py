@@ -54,10 +54,13 @@ Sets = Callable[[list], list[tuple[int, np.ndarray]]]
 
 @dataclass(frozen=True)
 class Rule:
-    """Jaccard at least ``percent`` / 100, and the share of the token space that is counted."""
+    """Jaccard at least ``percent`` / 100, the share of the token space that is counted, the longest
+    multi-match, and from how many sets on a token's nodes are no longer paired in place (see pair_postings)."""
 
     percent: int
     region: float
+    matches: int = MATCHES
+    paired: int = FREQUENT
 
     def overlap(self, n: int) -> int:
         return -(-self.percent * n // 100)
@@ -165,7 +168,7 @@ def prefix(s: np.ndarray, rule: Rule, tokens: np.ndarray, df: np.ndarray) -> tup
     n = len(s)
     o = rule.overlap(n)
     base = n - o + 1
-    most = min(MATCHES, o)
+    most = min(rule.matches, o)
     r = int(np.searchsorted(s, np.uint64(rule.cut)))
     head = s[:r]
     if len(tokens):
@@ -205,7 +208,7 @@ def prefixes(tokens: np.ndarray, sizes: np.ndarray, rule: Rule, frequent: np.nda
     tokens, n_df, often, counted = tokens[order], n_df[order], often[order], counted[order]
     need = -(-rule.percent * sizes // 100)
     base = sizes - need + 1
-    ls = np.arange(1, MATCHES + 1)
+    ls = np.arange(1, rule.matches + 1)
     sums = np.concatenate([[0.0], np.cumsum(np.where(often, n_df - 1.0, RARE_COST))])
     upto = np.minimum(off[:, None] + base[:, None] + ls[None] - 1, len(tokens))
     cost = (sums[upto] - sums[off][:, None]) * (1 + VERIFY_COST / ls)[None]
@@ -214,7 +217,7 @@ def prefixes(tokens: np.ndarray, sizes: np.ndarray, rule: Rule, frequent: np.nda
     place = np.arange(len(tokens)) - off[owner]
     keep = place < (base + chosen - 1)[owner]
     typical = 255 * np.bincount(owner, often, k) / np.maximum(np.bincount(owner, counted, k), 1)
-    return tokens[keep], owner[keep], place[keep] + 1, (often | ~counted)[keep], chosen, typical.astype(np.int64)
+    return tokens[keep], owner[keep], place[keep] + 1, ((n_df >= rule.paired) | ~counted)[keep], chosen, typical.astype(np.int64)
 
 
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("m", "u1")])
@@ -222,13 +225,19 @@ _PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("m", "u1")])
 
 def _run_pairs(x: np.ndarray, rule: Rule) -> np.ndarray:
     """All pairs of nodes under each token (postings sorted by token, then node) whose sizes and positions allow a match."""
+    if not len(x):
+        return np.empty(0, _PAIR)
     out = []
-    for gap in range(1, FREQUENT):
-        if len(x) <= gap:
+    start = np.flatnonzero(np.concatenate([[True], x["t"][1:] != x["t"][:-1]]))
+    length = np.diff(np.concatenate([start, [len(x)]]))
+    left = np.repeat(start + length, length) - np.arange(len(x))  # nodes of the token from here on
+    at, gap = np.arange(len(x)), 0
+    while True:
+        gap += 1
+        at = at[left[at] > gap]
+        if not len(at):
             break
-        a, b = x[:-gap], x[gap:]
-        ok = (a["t"] == b["t"]) & (a["d"] != b["d"])
-        a, b = a[ok], b[ok]
+        a, b = x[at], x[at + gap]
         na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
         ok = 100 * np.minimum(na, nb) >= rule.percent * np.maximum(na, nb)
         # What they can share: all before the token, the token, all after it.
@@ -244,7 +253,7 @@ def _run_pairs(x: np.ndarray, rule: Rule) -> np.ndarray:
 def pair_postings(texts: DataFrame, flat: Callable, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Postings of many small sets a row (every token counted), met in place.
 
-    Pairs under rare tokens come out packed (``bucket``, ``payload``), by a hash of the pair;
+    Pairs under tokens of fewer than ``rule.paired`` sets come out packed (``bucket``, ``payload``), by a hash of the pair;
     postings of frequent tokens come out as rows (``token, node, n, p, l, c``).
     ``flat`` gives (sources, tokens, sizes) for runs of rows.
     """
