@@ -61,6 +61,7 @@ def test_language_model_against_brute_force(spark):
 def test_hot_contexts_are_dealt_out(spark, monkeypatch):
     df = spark.createDataFrame([(i, "the " * 40 + f"x{i % 7} the y{i}") for i in range(300)], "doc_id long, text string")
     plain = {r["doc_id"]: r["score"] for r in language_model.score(df, language_model.train(df)).collect()}
+    monkeypatch.setattr(language_model, "HOT_LEAST", 1)
     monkeypatch.setattr(language_model, "HOT_SHARE", 1e-9)
     m = language_model.train(df)
     assert len(m.hot)
