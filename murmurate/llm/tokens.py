@@ -4,10 +4,31 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 
 import numpy as np
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+
+
+class Recent(dict):
+    """A cache of two generations: when the younger is full the older goes, so words in use stay."""
+
+    def __init__(self, size: int = CACHE_WORDS):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
 
 
 def public_path(name: str) -> str:
@@ -44,37 +65,34 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.cache, self.pieces = Recent(), Recent()
 
     def _piece(self, p: str) -> bytes:
-        ids = self.pieces.get(p)
+        ids = self.pieces[p]
         if ids is None:
             mapped = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            self.pieces[p] = ids
+            ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            self.pieces.put(p, ids)
         return ids
 
     def _chunk(self, w: str) -> bytes:
-        if self._PLAIN(w) and "<|" not in w:
-            ids = b"".join([self._piece(p) for p in self._PIECES(w.lower())])
+        if w.isascii() and w.isalpha():
+            ids = self._piece(w.lower())
+        elif self._PLAIN(w) and "<|" not in w:
+            ids = b"".join(map(self._piece, self._PIECES(w.lower())))
         else:
-            ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
+            ids = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
         if len(w) <= 64:
-            self.cache[w] = ids
+            self.cache.put(w, ids)
         return ids
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        get, new = self.cache.get, self._chunk
+        cache, new = self.cache, self._chunk
         out = []
         for w in self._BLANK(text):
-            ids = get(w)
+            ids = cache[w]
             out.append(new(w) if ids is None else ids)
         return b"".join(out)
 
