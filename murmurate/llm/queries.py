@@ -47,7 +47,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
-    return language_model.score(docs, language_model.train(docs))
+    return language_model.score(docs, language_model.train(docs, least=1))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from murmurate.llm import language_id, language_model, packing, quality, token_counts, tokens
+from murmurate.llm import language_id, language_model, packing, quality, queries, token_counts, tokens
 from murmurate.llm.elias_fano import EliasFano, encode
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,6 +58,25 @@ def test_language_model_against_brute_force(spark):
     assert language_model.score(df.limit(3), language_model.fit(df.limit(0).select("text"))).count() == 3
 
 
+def test_the_query_keeps_pairs_seen_once(spark, tmp_path):
+    rows = _texts()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op7_lm_scoring(spark, str(tmp_path)).collect()}
+    toks = {i: SPLIT((t or "").translate(LOW)) + ["</s>"] for i, t in rows}
+    train = [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(w for i in train for w in toks[i])
+    n, v = sum(c.values()), len(c)
+    pair = collections.Counter((p, w) for i in train for p, w in zip(["<s>", *toks[i]], toks[i]))
+    total, types = collections.Counter(), collections.Counter()
+    for (p, _), k in pair.items():
+        total[p] += k
+        types[p] += 1
+    assert 1 in pair.values()
+    for i, t in toks.items():
+        full = sum(math.log10((max(pair[p, w] - 0.75, 0) / total[p] if total[p] else 0) + (0.75 * types[p] / total[p] if total[p] else 1) * (c[w] + 1) / (n + v + 1)) for p, w in zip(["<s>", *t], t))
+        assert got[i]["score"] == pytest.approx(full, abs=0.02 * len(t))
+
+
 def test_hot_contexts_are_dealt_out(spark, monkeypatch):
     df = spark.createDataFrame([(i, "the " * 40 + f"x{i % 7} the y{i}") for i in range(300)], "doc_id long, text string")
     plain = {r["doc_id"]: r["score"] for r in language_model.score(df, language_model.train(df)).collect()}
