@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import setjoin as sj
 from .components import components
+from .exact_dedup import BROADCAST_ROWS
 from .shared import drop_staged, hot_join, stage
 from .text import chunks, set_hash, shingles, words
 
@@ -98,10 +99,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The input's rows with one row of each component: the one with the smallest id. Rows without words all stay.
 
-    Rows that share the smallest id of their component and have the same text stay together;
-    with different texts, too.
+    A row is told by its id and the sha256 of its text, so null and repeated ids take no other text
+    with them. Null ids lose against any id; of several texts under the smallest id the one with
+    the smallest sha256 stays. Only rows with the same id and the same text stay together.
     """
-    found = near_duplicates(docs, id_col, text_col, k, percent)
-    gone = stage(found.where("n_shingles > 0 AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct(), "near")
-    gone = F.broadcast(gone) if gone.count() <= sj.BROADCAST_ROWS else gone
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), sha.alias("sha")).alias("doc_id"), F.col(text_col).alias("text"))
+    found = near_duplicates(keyed, k=k, percent=percent)
+    gone = stage(found.where("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.sha").alias("__sha")).distinct(), "near")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -84,6 +85,18 @@ def test_a_large_cluster_of_near_copies(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r[2] for r in got})
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    rows = [(None if rng.random() < 0.33 else rng.randrange(40), t) for _, t in _corpus(3, 120)]
+    rows += [(i, f"clean text number {j} of id {i} like no other one at all {j} {i}") for i in (None, 1, 2, 3) for j in range(3)]
+    keys = [(d is None, d or 0, hashlib.sha256((t or "").encode()).digest()) for d, t in rows]
+    comps = _near([(key, t) for key, (_, t) in zip(keys, rows, strict=True)], 4, 85)
+    want = {key for key, n, comp in comps if not n or key == comp}
+    kept = near_dups.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85)
+    assert 0 < len(want) < len(set(keys))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r, key in zip(rows, keys, strict=True) if key in want)
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, 500), (None, 3)]
