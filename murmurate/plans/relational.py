@@ -193,6 +193,15 @@ def _(spark, d):
     return e.where("p < 20").join(e.select(F.col("p").alias("sibling"), "s"), "s").where("p <> sibling").select(F.col("p").alias("source"), "sibling").distinct()
 
 
+@query("c20_neighbours_all")
+def _(spark, d):
+    """All parts with all parts that share a supplier with them: c20_neighbours without its key ranges. The result grows with the square of a supplier's parts."""
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    pairs = e.join(e.select(F.col("p").alias("q"), "s"), "s").where("p < q").select("p", "q").distinct()
+    both = F.array(F.struct(F.col("p").alias("source"), F.col("q").alias("sibling")), F.struct(F.col("q").alias("source"), F.col("p").alias("sibling")))
+    return pairs.select(F.inline(both))
+
+
 @query("c21_query_grid", "SELECT category, q FROM (SELECT category, q, row_number() OVER (PARTITION BY category ORDER BY q) AS rn FROM (SELECT DISTINCT p_type AS category, lower(t.t || ' ' || p_name) AS q FROM part, (VALUES ('best'), ('worst')) t(t))) WHERE rn <= 20")
 def _(spark, d):
     p = table(spark, d, "part").select(F.col("p_type").alias("category"), "p_name").distinct()

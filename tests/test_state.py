@@ -1,6 +1,7 @@
 import json
 
 from murmurate.operators import ranking, selection, writes
+from murmurate.plans.catalog import QUERIES
 from murmurate.sources import readers, sinks
 from murmurate.streaming import incremental as inc
 from pyspark.sql import functions as F
@@ -98,3 +99,11 @@ def test_published_mentions_hide_internal_columns(spark):
     br = spark.createDataFrame([("a", "published"), ("b", "draft")], "brand string, status string")
     got = sinks.published_mentions(m, lab, br, "v2")
     assert set(got.columns) == {"doc_id", "brand", "label"} and [tuple(r) for r in got.select("doc_id", "label").collect()] == [(1, 2)]
+
+
+def test_neighbours_of_all_parts(spark, tmp_path):
+    rows = [(i % 7 * 50, i % 5) for i in range(0, 60, 3)] + [(900, 77), (901, 77), (902, 78), (None, 77), (903, None), (904, None)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = sorted({(p, q) for p, s in rows for q, t in rows if None not in (p, q, s) and s == t and p != q})
+    got = QUERIES["c20_neighbours_all"](spark, str(tmp_path)).select("source", "sibling").collect()
+    assert max(p for p, _ in want) == 901 and sorted(map(tuple, got)) == want
