@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .text import LOWER, chunks, joined, mix
 from .training import bounded_sample, remainder
 
-#: Bounds of the fit: labelled rows of each language, and languages.
+#: Bounds of the fit: labelled rows of each language; so many languages have all of them, more have equally fewer, and LEAST_ROWS at least.
 PER_LANGUAGE = 400
 MAX_LANGUAGES = 200
+LEAST_ROWS = 10
 DIMENSIONS = 1 << 13
 ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.15
@@ -110,9 +111,19 @@ def fit(texts: list[str | None], labels: list[str], steps: int = 150, rate: floa
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on a bounded sample of the rows with a language and a checksum remainder other than 0."""
+    """Fits on a bounded sample of the rows with a language and a checksum remainder other than 0.
+
+    Every language found is in the model. Above ``MAX_LANGUAGES`` each has fewer rows, so that all
+    rows stay bounded; where that is fewer than ``LEAST_ROWS`` it raises ValueError.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & (remainder(id_col, modulus) != 0) & F.col(id_col).isNotNull())
-    rows = bounded_sample(known.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")), known.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__lang", per_language, MAX_LANGUAGES)
+    n = known.agg(F.countDistinct(lang_col)).first()[0]
+    if n > MAX_LANGUAGES:
+        most = PER_LANGUAGE * MAX_LANGUAGES // n
+        if most < LEAST_ROWS:
+            raise ValueError(f"{n} languages are more than the fit has room for")
+        per_language = min(per_language, most)
+    rows = bounded_sample(known.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")), known.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__lang", per_language, max(n, MAX_LANGUAGES))
     rows = [r for r in rows if any(map(str.isalpha, r["__text"] or ""))]
     return fit([r["__text"] for r in rows], [r["__lang"] for r in rows])
 

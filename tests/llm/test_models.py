@@ -102,6 +102,17 @@ def test_language_identification(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    parts = {"aa": "tha", "bb": "ung", "cc": "que"}
+    df = spark.createDataFrame([(i, f"{parts[k]} {parts[k]}{parts[k]} " * 5, k) for i in range(240) for k in [list(parts)[i % 3]]], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    got = language_id.identify(df, language_id.train(df)).collect()
+    assert {(r["doc_id"] % 3, r["lang_pred"]) for r in got} == {(0, "aa"), (1, "bb"), (2, "cc")}
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 10)
+    with pytest.raises(ValueError, match="3 languages"):
+        language_id.train(df)
+
+
 def test_codewords_differ():
     for k in (2, 3, 4, 7, 12, 40):
         code = language_id.codewords(k)
