@@ -26,30 +26,26 @@ MATCHED = f"""{ALIASES}, nd AS (SELECT doc_id, regexp_replace(lower(regexp_repla
     hit AS (SELECT DISTINCT doc_id, brand, alias FROM nd, fo WHERE contains(t, alias) AND regexp_matches(t, '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)'))"""
 
 
-def _plain(spark, d):
-    return table(spark, d, "documents").where(~F.col("text").contains("`") & ~F.col("text").contains(">"))
-
-
 @query("j01_c17_alias_hits", f"WITH {MATCHED} SELECT * FROM hit")
 def _(spark, d):
-    h = rs.signal_hits(_plain(spark, d), rs.usable_forms(aliases(spark, d)))
+    h = rs.signal_hits(table(spark, d, "documents"), rs.usable_forms(aliases(spark, d)))
     return h.select("doc_id", "brand", "alias").distinct()
 
 
 @query("j01_ngram_join", f"WITH {MATCHED} SELECT * FROM hit")
 def _(spark, d):
-    docs = _plain(spark, d).select("doc_id", text.normalised_ascii(F.col("text")).alias("norm"))
+    docs = table(spark, d, "documents").select("doc_id", text.normalised_ascii(text.strip_markup(F.col("text"))).alias("norm"))
     return rs.ngram_hits(docs, aliases(spark, d), 2).select("doc_id", "brand", "alias")
 
 
 @query("j02_resolve_safe", f"WITH {MATCHED} SELECT DISTINCT doc_id, brand, 0.95 AS conf, 'safe_word_boundary' AS rule_fired FROM hit")
 def _(spark, d):
-    return rs.resolve(_plain(spark, d), rs.usable_forms(aliases(spark, d))).select("doc_id", "brand", "conf", "rule_fired")
+    return rs.resolve(table(spark, d, "documents"), rs.usable_forms(aliases(spark, d))).select("doc_id", "brand", "conf", "rule_fired")
 
 
 @query("j03_has_alias", f"WITH {MATCHED} SELECT DISTINCT doc_id FROM hit")
 def _(spark, d):
-    return rs.has_alias(_plain(spark, d), rs.usable_forms(aliases(spark, d))).select("doc_id")
+    return rs.has_alias(table(spark, d, "documents"), rs.usable_forms(aliases(spark, d))).select("doc_id")
 
 
 @query("j02_resolve_rules")
