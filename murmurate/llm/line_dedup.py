@@ -1,21 +1,49 @@
-"""Line deduplication: an exact set-similarity join of lines by their words; later matches go."""
+"""Line deduplication: an exact set-similarity join of lines by their words; later matches go.
+
+A line's words are put in order of rarity. Two similar lines share words of their prefixes; the rarest
+words that they share are the key under which they meet:
+
+* a word in fewer than ``LONGEST`` lines is a key by itself;
+* a more frequent one is joined to the next shared word, and that pair, if it is still expected in
+  ``LONGEST`` lines, to a third (prefixes grow by a word for each).
+
+Under a key, lines are met in the order of their first occurrence and filtered by length, by
+position and by the parity of their words (192 bits: two sets whose parities differ in d bits differ
+in d words at least) before a pair leaves the task. A line needs one earlier match only: its
+nearest candidates are verified first, the others if these fail.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin as sj
-from .shared import hot_join, stage
-from .text import chunks, distinct, set_hashes, words
-
-
-#: Longest multi-match of a line, and from how many lines on a word's lines are met by its leader instead of in pairs.
-MATCHES, PAIRED = 3, 512
+from .shared import bucket_count, drop_staged, hot_join, stage, unused
+from .text import chunks, distinct, mix, set_hashes, words
+
+#: A key expected in so many lines takes a further word.
+LONGEST = 512
+#: Words in a key at most.
+DEPTH = 3
+#: A line takes so many likely candidates from one key, or so many of any kind, before the rest is put off to the second round.
+NEAREST, MOST = 2, 32
+#: Tokens after which a task hands on its counts.
+COUNTED = 1_000_000
+#: Up to so many lines are looked up by a broadcast of their places, more by a join.
+BROADCAST_PLACES = 1_000_000
+#: Bits of the filters that name words of more than one line, and the keys of the lines that are left for the second round.
+FILTER_BITS = 26
+
+#: Key, set, parity of its words, place (order of the document, line), size, and how many words it can share under the key.
+_POST = np.dtype([("t", "<u8"), ("d", "<i8"), ("m0", "<u8"), ("m1", "<u8"), ("m2", "<u8"), ("o", "<u8"), ("i", "<u4"), ("n", "<u2"), ("r", "<u2")])
+_LARGE = 65535
+_SIGN = np.uint64(1 << 63)
 
 
 def line_sets(texts: list, whole: bool = False) -> list[tuple[str, np.ndarray]]:
@@ -28,63 +56,353 @@ def line_sets(texts: list, whole: bool = False) -> list[tuple[str, np.ndarray]]:
     return list(zip(lines, out, strict=True))
 
 
-def flat_lines(texts: list) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Lines of the texts in runs: their bytes, their distinct word hashes end to end, and how many each has."""
-    for _, run in chunks([line for t in texts for line in (t or "").split("\n")]):
-        yield run, *distinct(*words(run))
+class Counts:
+    """How often frequent tokens occur (0: any other), looked up by the first bits of their hashes."""
+
+    def __init__(self, tokens: np.ndarray, df: np.ndarray):
+        bits = len(tokens).bit_length() + 1
+        self.tokens, self.df, self.shift = tokens, df, np.uint64(64 - bits)
+        self.start = np.searchsorted(tokens >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
 
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int64)
+        at = (h >> self.shift).astype(np.int64)
+        i, end = self.start[at], self.start[at + 1]
+        live = np.flatnonzero(i < end)
+        while len(live):
+            hit = self.tokens[i[live]] == h[live]
+            out[live[hit]] = self.df[i[live[hit]]]
+            live = live[~hit]
+            i[live] += 1
+            live = live[i[live] < end[live]]
+        return out
 
-def word_lists(texts: list, whole: bool = False) -> Iterator[tuple[None, np.ndarray]]:
-    """The words of all lines as one array a run: what counting needs."""
-    for _, tokens, _ in flat_lines(texts):
-        yield None, tokens
 
+def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id``, ``body`` (a hash of the text), ``text`` and ``ord``: a long in the order of (id, body), null ids last.
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``body`` (a hash of the text), ``line`` (from 0) and ``node`` (null: no words) of each line."""
+    Unique integer ids are their own order; other ids are ranked by a distributed sort of ids and hashes.
+    """
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(text_col).alias("text"))
+    if base.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        odd = base.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 OR doc_id IS NULL")
+        if odd.isEmpty():
+            return base.withColumn("ord", F.col("doc_id").cast("long"))
+    keys = base.select("doc_id", "body").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "body")
+    ranks = stage(keys.withColumn("ord", F.monotonically_increasing_id()), "ranks").select(F.col("doc_id").alias("k"), F.col("body").alias("b"), "ord")
+    return stage(base.join(ranks, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("body") == F.col("b"))).drop("k", "b"), "placed")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines in runs: the batch, the row and number of each line, their distinct words end to end and how many each has."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            texts = part.column(text).to_pylist()
+            counts = np.array([(t or "").count("\n") + 1 for t in texts])
+            row = np.repeat(np.arange(len(texts)), counts)
+            line = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            pos = 0
+            for _, run in chunks([x for t in texts for x in (t or "").split("\n")]):
+                tokens, sizes = distinct(*words(run))
+                yield part, row[pos : pos + len(sizes)], line[pos : pos + len(sizes)], tokens, sizes
+                pos += len(sizes)
+
+
+def lines_of(docs: DataFrame, rule: sj.Rule) -> DataFrame:
+    """``doc_id``, ``body``, ``ord``, ``line`` (from 0) and ``node`` (null: no words) of each line; and, in rows of
+    their own, packed counts of the words (``bucket``, ``kind``, ``payload``): one pass over the texts gives both."""
+    buckets = bucket_count(docs, 2.0)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shape = f"doc_id {kind}, body long, ord long, line int, node long, bucket int, kind int, payload binary"
+    names = [x.split()[0] for x in shape.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = part.column(2).to_pylist()
-                counts = np.array([(t or "").count("\n") + 1 for t in texts])
-                flat = [(set_hashes(t, n), n == 0) for _, t, n in flat_lines(texts)]
-                node = pa.array(np.concatenate([x[0] for x in flat]), pa.int64(), mask=np.concatenate([x[1] for x in flat]))
-                row = pa.array(np.repeat(np.arange(len(texts)), counts))
-                line = pa.array(np.concatenate([np.arange(c) for c in counts]).astype(np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), line, node], names=["doc_id", "body", "line", "node"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, f"doc_id {kind}, body long, line int, node long")
-
-
-def line_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One line of each of these nodes; see setjoin.node_texts."""
-    few = nodes.count() <= 4 * sj.BROADCAST_ROWS
-    held = texts.sparkSession.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64))) if few else None
+        held, size, id_type = [], 0, None
+
+        def counted() -> pa.RecordBatch:
+            rows = sj.packed_counts(held, rule, buckets)
+            nothing = [pa.nulls(len(rows), t) for t in (id_type, pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*nothing, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=names)
+
+        for part, row, line, tokens, sizes in _runs(batches, 3):
+            row, id_type = pa.array(row), part.column(0).type
+            node = pa.array(set_hashes(tokens, sizes), pa.int64(), mask=sizes == 0)
+            rest = [pa.nulls(len(sizes), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(3)), pa.array(line.astype(np.int32)), node, *rest], names=names)
+            held.append(tokens)
+            size += len(tokens)
+            if size > COUNTED:
+                yield counted()
+                held, size = [], 0
+        if size:
+            yield counted()
+
+    return docs.select("doc_id", "body", "ord", "text").mapInArrow(cut, shape)
+
+
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers begin <= k < end of each range, and which range each is of."""
+    n = np.maximum(end - begin, 0)
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[which], which
+
+
+def by_rarity(tokens: np.ndarray, often: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The order of each set's words by count and then by hash."""
+    if not len(tokens) or owner[-1] < 1 << 20:
+        # One sort, where there is room for all owners; ties of other words are rare and are taken in full.
+        key = owner.astype(np.uint64) << np.uint64(44) | np.minimum(often, (1 << 20) - 1).astype(np.uint64) << np.uint64(24) | tokens >> np.uint64(40)
+        order = np.argsort(key)
+        key = key[order]
+        if not (key[1:] == key[:-1]).any():
+            return order
+    return np.lexsort((tokens, np.minimum(often, (1 << 20) - 1), owner))
+
+
+def keys_of(tokens: np.ndarray, sizes: np.ndarray, rule: sj.Rule, counts: Counts, lines: int, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
+    """The keys of sets that lie end to end: key, set, words that the set can share under the key (its own and all later ones), words in the key."""
+    k = len(sizes)
+    off = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(k), sizes)
+    often = counts(tokens)
+    order = by_rarity(tokens, often, owner)
+    tokens, often = tokens[order], often[order]
+    base = sizes - (-(-rule.percent * sizes // 100)) + 1
+    end = off + sizes
+    at, which = _spread(off, off + base)
+    key, expected = mix(tokens[at]), often[at].astype(np.float64)
+    out = []
+    for d in range(1, depth + 1):
+        done = expected < LONGEST if d < depth else np.ones(len(at), bool)
+        out.append((key[done], which[done], end[which[done]] - at[done] - 1 + d, np.full(int(done.sum()), d, np.uint8)))
+        at, which, key, expected = at[~done], which[~done], key[~done], expected[~done]
+        if not len(at):
+            break
+        nxt, src = _spread(at + 1, np.minimum(off + base + d, end)[which])
+        key, expected, which, at = mix(key[src] * np.uint64(0x9E3779B97F4A7C15) + tokens[nxt]), expected[src] * often[nxt] / max(lines, 1), which[src], nxt
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def least_size(rule: sj.Rule) -> int:
+    """The fewest words of a set that can be similar to another set."""
+    n = 1
+    while 100 * n < rule.percent * (n + 1) and n < 10_000:
+        n += 1
+    return n
+
+
+def postings(docs: DataFrame, rule: sj.Rule, frequent: tuple[np.ndarray, np.ndarray], lines: int, wanted: np.ndarray, exempt: bool) -> DataFrame:
+    """Postings of all lines under their keys, packed by ``bucket``; only under the keys in ``wanted`` (a bit set) or, if these are ``exempt``, of more than one word."""
+    buckets = bucket_count(docs, 2.0)
+    context = docs.sparkSession.sparkContext
+    held, want = context.broadcast(frequent), context.broadcast(wanted)
+    least = least_size(rule)
+    depth = min(DEPTH, rule.overlap(least))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(*held.value)
+        packed, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            x = np.concatenate(packed)
+            own = (x["t"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(own, kind="stable")
+            x, own = x[order], own[order].astype(np.int64)
+            cut = np.flatnonzero(np.diff(own)) + 1
+            own = own[np.concatenate([[0], cut])]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([p.tobytes() for p in np.split(x, cut)], pa.binary())], names=["bucket", "payload"])
+
+        for part, row, line, tokens, sizes in _runs(batches, 1):
+            ok = sizes >= least
+            node = set_hashes(tokens, sizes)
+            place = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[row] ^ _SIGN
+            # Of equal sets of a run the first.
+            some = np.flatnonzero(ok)
+            some = some[np.lexsort((line[some], place[some], node[some]))]
+            if not len(some):
+                continue
+            some = some[np.concatenate([[True], node[some[1:]] != node[some[:-1]]])]
+            keep = np.zeros(len(sizes), bool)
+            keep[some] = True
+            tokens, sizes, node, place, line = tokens[np.repeat(keep, sizes)], sizes[keep], node[keep], place[keep], line[keep]
+            bit, which, at = np.uint64(1) << (tokens & np.uint64(63)), (tokens >> np.uint64(6) & np.uint64(0xFFFF)) % np.uint64(3), np.cumsum(sizes) - sizes
+            parity = [np.bitwise_xor.reduceat(bit * (which == k), at) for k in range(3)]
+            key, who, rest, words_in = keys_of(tokens, sizes, rule, counts, lines, depth)
+            hit = _in_filter(want.value, key)
+            if exempt:
+                hit |= words_in > 1
+            key, who, rest = key[hit], who[hit], rest[hit]
+            x = np.empty(len(key), _POST)
+            x["t"], x["d"], x["m0"], x["m1"], x["m2"], x["o"], x["i"], x["n"], x["r"] = key, node[who], *(m[who] for m in parity), place[who], line[who], np.minimum(sizes[who], _LARGE), np.minimum(rest, _LARGE)
+            packed.append(x)
+            size += len(x)
+            if size > 500_000:
+                yield flush()
+                packed, size = [], 0
+        if size:
+            yield flush()
+
+    return docs.select("ord", "text").mapInArrow(post, "bucket int, payload binary")
+
+
+def _in_filter(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key >> np.uint64(64 - FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def near_pairs(x: dict[str, np.ndarray], rule: sj.Rule, nearest: int, most: int, open_: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Candidates under each key: indices of the earlier and the later posting, the bits their parities differ in, and which later ones stopped early.
+
+    ``x`` is sorted by key and first occurrence. A later posting looks at the earlier ones from the
+    nearest on and stops at ``nearest`` likely candidates (half the bits that are allowed) or ``most``
+    of any kind. ``open_``: which postings look for any.
+    """
+    size = len(x["t"])
+    start = np.flatnonzero(np.concatenate([[True], x["t"][1:] != x["t"][:-1]]))
+    rank = np.arange(size) - np.repeat(start, np.diff(np.concatenate([start, [size]])))
+    n, r, parity = x["n"].astype(np.int32), x["r"].astype(np.int32), [x[m] for m in ("m0", "m1", "m2")]
+    found, likely, done, stopped = np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size, bool), np.zeros(size, bool)
+    y, gap, out = np.flatnonzero(rank > 0) if open_ is None else np.flatnonzero((rank > 0) & open_), 0, []
+    while True:
+        gap += 1
+        y = y[rank[y] >= gap]
+        if not len(y):
+            break
+        na, nb = n[y - gap], n[y]
+        large = (na == _LARGE) | (nb == _LARGE)  # their sizes are not known here: verification decides
+        ok = (100 * np.minimum(na, nb) >= rule.percent * np.maximum(na, nb)) | large
+        b, na, nb, large = y[ok], na[ok], nb[ok], large[ok]
+        a = b - gap
+        need = -(-rule.percent * (na + nb) // (100 + rule.percent))
+        bits = sum(np.bitwise_count(m[b] ^ m[a]).astype(np.int32) for m in parity)
+        allowed = na + nb - 2 * need
+        # Before the key they share nothing (else they meet under another), so this is all that they can share.
+        ok = ((bits <= allowed) & (np.minimum(r[b], r[a]) >= need)) | large
+        if ok.any():
+            a, b, bits = a[ok], b[ok], bits[ok]
+            out.append((a, b, bits))
+            found[b] += 1
+            likely[b] += 2 * bits <= allowed[ok]
+            full = b[(found[b] >= most) | (likely[b] >= nearest)]
+            if len(full):
+                done[full] = True
+                stopped[full] = rank[full] > gap
+                y = y[~done[y]]
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), stopped
+    return *(np.concatenate(z) for z in zip(*out, strict=True)), stopped
+
+
+def in_order(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Postings as columns, by key and place; under a key each set once, at its first place, and keys of one posting left out."""
+    t = x["t"].copy()
+    order = np.argsort(t)
+    t = t[order]
+    first = np.concatenate([[True], t[1:] != t[:-1]])[: len(t)]
+    many = ~(first & np.append(first[1:], True)[: len(t)])
+    order, group = order[many], np.cumsum(first)[many]
+    x = x[order]
+    place = np.empty(len(x), np.int64)
+    place[np.lexsort((x["i"], x["o"]))] = np.arange(len(x))
+    by_place = np.argsort(group << 32 | place)
+    x, group = x[by_place], group[by_place]
+    # Equal sets under a key lie next to each other by this hash; a stable sort keeps the first place first.
+    same = mix(x["d"].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * group.astype(np.uint64))
+    twins = np.argsort(same, kind="stable")
+    later = twins[1:][(same[twins[1:]] == same[twins[:-1]]) & (x["d"][twins[1:]] == x["d"][twins[:-1]]) & (group[twins[1:]] == group[twins[:-1]])]
+    keep = np.ones(len(x), bool)
+    keep[later] = False
+    x = x[keep]
+    return {c: np.ascontiguousarray(x[c]) for c in _POST.names}
+
+
+def met_pairs(packed: DataFrame, rule: sj.Rule, unsettled: DataFrame | None = None) -> DataFrame:
+    """``a`` (earlier) and ``b`` (later) with their places, ``bits`` and, where b stopped early, the ``key`` under which it did.
+
+    With ``unsettled`` (column ``b``) only these look for candidates, and they don't stop.
+    """
+    nodes = None
+    nearest, most = (NEAREST, MOST) if unsettled is None else (1 << 62, 1 << 62)
+    if unsettled is not None and unsettled.count() <= sj.BROADCAST_ROWS:
+        nodes = packed.sparkSession.sparkContext.broadcast(np.sort(unsettled.toPandas()["b"].to_numpy(np.int64)))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = in_order(np.concatenate([np.frombuffer(p, _POST) for p in pdf["payload"]]))
+        a, b, bits, stopped = near_pairs(x, rule, nearest, most, None if nodes is None else np.isin(x["d"], nodes.value))
+        key = pd.array(x["t"][b].view(np.int64), dtype="Int64")
+        key[~stopped[b]] = pd.NA
+        place = lambda c: (x["o"][c] ^ _SIGN).view(np.int64)
+        return pd.DataFrame({"a": x["d"][a], "ao": place(a), "ai": x["i"][a].astype(np.int32), "b": x["d"][b], "bo": place(b), "bi": x["i"][b].astype(np.int32), "bits": bits.astype(np.int32), "key": key})
+
+    return packed.groupBy("bucket").applyInPandas(meet, "a long, ao long, ai int, b long, bo long, bi int, bits int, key long")
+
+
+def line_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node`` and ``text`` of the lines at both ends of the pairs, found by their places."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ao").alias("o"), F.col("ai").alias("i")), F.struct(F.col("b").alias("node"), F.col("bo").alias("o"), F.col("bi").alias("i")))).alias("e"))
+    ends = stage(ends.groupBy("e.node").agg(F.min(F.struct("e.o", "e.i")).alias("e")).select("node", "e.o", "e.i"), "ends")
+    if ends.count() > BROADCAST_PLACES:
+        wanted = ends.groupBy("o").agg(F.collect_list(F.struct("node", "i")).alias("ends"))
+        lines = docs.join(wanted, docs["ord"] == wanted["o"]).select(F.split("text", "\n").alias("lines"), F.explode("ends").alias("e"))
+        return lines.select("e.node", F.element_at("lines", F.col("e.i") + 1).alias("text")).groupBy("node").agg(F.min("text").alias("text"))
+    got = ends.toPandas().sort_values(["o", "i"])
+    held = docs.sparkSession.sparkContext.broadcast(tuple(got[c].to_numpy(np.int64) for c in ("o", "i", "node")))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = held.value if few else None
+        o, i, node = held.value
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            lo, hi = np.searchsorted(o, at), np.searchsorted(o, at, side="right")
+            for r in np.flatnonzero(hi > lo).tolist():
+                lines = (batch.column(1)[r].as_py() or "").split("\n")
+                want = range(lo[r], hi[r])
+                yield pa.RecordBatch.from_arrays([pa.array(node[want.start : want.stop], pa.int64()), pa.array([lines[k] for k in i[want.start : want.stop].tolist()], pa.string())], names=["node", "text"])
+
+    return docs.select("ord", "text").mapInArrow(find, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def later_matches(docs: DataFrame, rule: sj.Rule, counts: DataFrame, lines: int) -> DataFrame:
+    """``node``: the distinct lines that an earlier one is similar to. ``docs`` as of :func:`placed`, ``counts`` of words that occur twice or more."""
+    frequent = sj.bounded(counts.where(F.col("df") >= sj.FREQUENT))
+    pairs = stage(met_pairs(postings(docs, rule, frequent, lines, _filter_of(counts.select("token"), hashed=True), True), rule), "pairs")
+    near = stage(pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")), "nearest")
+    known = stage(line_texts(docs, pairs), "texts")
+    late = stage(sj.verify(near, known, line_sets, rule).select(F.col("b").alias("node")).distinct(), "late1")
+    rest = pairs.join(late, pairs["b"] == late["node"], "left_anti")
+    others = rest.select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
+    more = stage(sj.verify(others, known, line_sets, rule).select(F.col("b").alias("node")).distinct(), "late2")
+    # Lines that stopped early under a key, with nothing found: all of these keys once more, without a stop.
+    open_ = stage(rest.where("key IS NOT NULL").join(more, rest["b"] == more["node"], "left_anti").select("b", "key"), "open")
+    drop_staged(pairs, near, known)
+    late = late.unionByName(more)
+    if open_.isEmpty():
+        return late
+    wanted, nodes = _filter_of(open_.select("key")), open_.select("b").distinct()
+    last = stage(met_pairs(postings(docs, rule, frequent, lines, wanted, False), rule, nodes).join(nodes, "b", "left_semi"), "pairs")
+    return late.unionByName(sj.verify(last.select("a", "b").distinct(), stage(line_texts(docs, last), "texts"), line_sets, rule).select(F.col("b").alias("node")).distinct())
+
+
+def _filter_of(keys: DataFrame, hashed: bool = False) -> np.ndarray:
+    """A bit set of ``FILTER_BITS`` bits that has the first bits of all keys: its size doesn't grow with them. ``hashed``: words are given, not keys."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for run, tokens, sizes in flat_lines(batch.column(0).slice(at, 512).to_pylist()):
-                    node = set_hashes(tokens, sizes)
-                    ok = sizes > 0
-                    if few and len(want):
-                        ok &= want[np.minimum(np.searchsorted(want, node), len(want) - 1)] == node
-                    elif few:
-                        ok &= False
-                    idx = np.flatnonzero(ok)
-                    idx = idx[np.unique(node[idx], return_index=True)[1]]
-                    if len(idx):
-                        yield pa.RecordBatch.from_arrays([pa.array(node[idx], pa.int64()), pa.array([run[i].decode("utf-8", "surrogatepass") for i in idx.tolist()], pa.string())], names=["node", "text"])
-
-    found = texts.mapInArrow(find, "node long, text string")
-    if not few:
-        found = found.join(nodes, "node", "left_semi")
-    return found.groupBy("node").agg(F.min("text").alias("text"))
+            at = batch.column(0).to_numpy().view(np.uint64)
+            at = (mix(at) if hashed else at) >> np.uint64(64 - FILTER_BITS)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+        part = bits.reshape(-1, 1 << 12)
+        some = np.flatnonzero(part.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part[i].tobytes() for i in some.tolist()], pa.binary())], names=["part", "bits"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
+
+    out = np.zeros((1 << (FILTER_BITS - 15), 1 << 12), np.uint8)
+    for r in keys.mapInArrow(mark, "part int, bits binary").groupBy("part").applyInPandas(join, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -97,66 +415,33 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order). Lines without words are never removed. Rows that repeat both id and text share their
     fate: the lines of the first of them. An empty table gives no rows; other columns are ignored.
     """
-    rule = sj.Rule(percent, 1.0, matches=MATCHES, paired=PAIRED)
-    texts = docs.select(F.col(text_col).alias("text"))
-    lines = stage(lines_of(docs, id_col, text_col), "lines")
-    # The first place of each node: a struct that sorts with null ids last.
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "body", "line")
-    first = stage(lines.where("node IS NOT NULL").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("rows")), "first")
-
-    frequent = sj.bounded(stage(sj.frequent_tokens(texts, word_lists, rule), "frequent"))
-    met = stage(sj.pair_postings(texts, flat_lines, rule, frequent), "met")
-    pairs = stage(sj.counted_pairs(met), "pairs")
-
-    # Frequent tokens: the earliest node of each leader's group against the group.
-    often = met.where("token IS NOT NULL").select("token", "node", "n", "p", "l", "c").dropDuplicates(["token", "node"])
-    lead = often.groupBy("token").agg(F.min(F.struct((-F.col("c")).alias("k"), "node")).alias("x"), F.count("*").alias("m")).where("m > 1")
-    led = often.join(lead.select("token", F.col("x.node").alias("leader")), "token").groupBy("leader", "node").agg(F.min("n").alias("n"))
-    led = stage(led.join(first.select("node", "first"), "node"), "led")
-    group = led.groupBy("leader").agg(F.min(F.struct("first", "node", "n")).alias("e"))
-    star = led.join(group.select("leader", F.col("e.node").alias("a"), F.col("e.n").alias("na")), "leader").where("node != a")
-    star = star.where(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", F.col("node").alias("b"))
-
-    tried = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "tried")
-    nodes = tried.select(F.explode(F.array("a", "b")).alias("node")).unionByName(led.select("node")).distinct()
-    known = stage(line_texts(texts, stage(nodes, "nodes")), "texts")
-    linked = stage(sj.verify(tried, known, line_sets, rule), "links")
-    f = first.select("node", "first")
-
-    def later(links: DataFrame) -> DataFrame:
-        ends = links.join(f.select(F.col("node").alias("a"), F.col("first").alias("fa")), "a").join(f.select(F.col("node").alias("b"), F.col("first").alias("fb")), "b")
-        return ends.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct()
-
-    late = stage(later(linked), "late")
-    marked = led.join(late.withColumn("done", F.lit(True)), "node", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    sized = marked.groupBy("leader").agg(F.count("*").alias("m"), F.max(~F.col("done")).alias("any")).where("m > 2 AND any")
-    order = marked.join(sized.select("leader"), "leader", "left_semi").join(known, "node")
-    mark = F.concat(F.when(F.col("first.z"), "1").otherwise("0"), _sortable(F.col("first.doc_id"), docs.schema[id_col].dataType.simpleString()), _sortable(F.col("first.body"), "bigint"), F.lpad(F.col("first.line").cast("string"), 12, "0"))
-    order = order.select("leader", "node", "text", (~F.col("done")).alias("open"), mark.alias("mark"))
-    grouped = stage(sj.group_links(order, line_sets, rule, components=False), "grouped")
-    late = late.unionByName(later(grouped)).distinct()
-
-    fate = first.join(late.withColumn("late", F.lit(True)), "node", "left").select("node", "first", F.coalesce("late", F.lit(False)).alias("late"), "rows")
-    judged = hot_join(lines, stage(fate, "fate"), "node", "rows", lines.count())
-    gone = F.coalesce(F.col("late") | (place != F.col("first")), F.lit(False))
-    per = judged.groupBy("doc_id", "body", "line").agg(F.max(gone).alias("gone"), F.count("*").alias("copies"))
-    per = per.groupBy("doc_id", "body").agg(F.count("*").alias("n_lines"), F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
-    per = per.withColumn("n_removed", F.size("removed").cast("long"))
-    return per.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "body", "n_lines", "n_removed", "removed")
-
-
-def _sortable(c: Column, kind: str) -> Column:
-    """Text that sorts as the value does (integers; other kinds as their own text)."""
-    if kind in ("bigint", "int", "smallint", "tinyint"):
-        c = F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))
-        return F.lpad(F.hex(c.bitwiseXOR(F.lit(-9223372036854775808))), 16, "0")
-    return F.concat(F.coalesce(c.cast("string"), F.lit("")), F.lit("\x01"))
+    rule = sj.Rule(percent, 1.0)
+    docs = placed(docs, id_col, text_col)
+    both = stage(lines_of(docs, rule), "lines")
+    lines = both.where("payload IS NULL").drop("bucket", "kind", "payload")
+    counts = stage(sj.merged_counts(both.where("payload IS NOT NULL").select("bucket", "kind", "payload"), 2), "counts")
+    place = F.struct("ord", "line")
+    first = lines.where("node IS NOT NULL").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
+    late = stage(later_matches(docs, rule, counts, lines.where("node IS NOT NULL").count()), "late").distinct()
+    # Only lines that repeat or match have a fate; all others stay.
+    fate = first.join(late.withColumn("late", F.lit(True)), "node", "left").where("rows > 1 OR late")
+    fate = stage(fate.select("node", "first", F.coalesce("late", F.lit(False)).alias("late"), "rows"), "fate")
+    judged = hot_join(lines.select("ord", "line", "node"), fate, "node", "rows", lines.count())
+    gone = judged.where(F.col("late") | (place != F.col("first"))).groupBy("ord").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    rows = docs.select("doc_id", "body", "ord", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")).join(gone, "ord", "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return rows.select("doc_id", "body", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The input's rows and columns with the removed lines cut out of their texts."""
-    found = line_dedup(docs, id_col, text_col, percent).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("removed").alias("__removed")).dropDuplicates(["__id", "__body"])
+    """The input's rows and columns with the removed lines cut out of their texts.
+
+    Null and empty texts and an empty table stay as they are; rows are told by id and text, so a
+    repeated or null id takes no other text with it. Other columns may have any name.
+    """
+    name = unused(docs.columns)
+    found = line_dedup(docs, id_col, text_col, percent).where("n_removed > 0").select(F.col("doc_id").alias(name("id")), F.col("body").alias(name("body")), F.col("removed").alias(name("removed"))).dropDuplicates([name("id"), name("body")])
     body = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (body == F.col("__body")), "left")
-    kept = F.array_join(F.filter(F.transform(F.split(text_col, "\n"), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: ~F.array_contains("__removed", x["i"])).getField("s"), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__body", "__removed")
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(name("id"))) & (body == F.col(name("body"))), "left")
+    kept = F.array_join(F.filter(F.transform(F.split(text_col, "\n"), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: ~F.array_contains(name("removed"), x["i"])).getField("s"), "\n")
+    return joined.withColumn(text_col, F.when(F.col(name("removed")).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

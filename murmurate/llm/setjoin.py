@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucket_count, stage
-from .text import mix, set_hash, set_hashes
+from .shared import bucket_count, hot_join, stage
+from .text import set_hash
 
 #: A token in this many sets is frequent; the bound on how many frequent tokens are kept raises it.
 FREQUENT = 8
@@ -54,13 +54,11 @@ Sets = Callable[[list], list[tuple[int, np.ndarray]]]
 
 @dataclass(frozen=True)
 class Rule:
-    """Jaccard at least ``percent`` / 100, the share of the token space that is counted, the longest
-    multi-match, and from how many sets on a token's nodes are no longer paired in place (see pair_postings)."""
+    """Jaccard at least ``percent`` / 100, the share of the token space that is counted and the longest multi-match."""
 
     percent: int
     region: float
     matches: int = MATCHES
-    paired: int = FREQUENT
 
     def overlap(self, n: int) -> int:
         return -(-self.percent * n // 100)
@@ -89,34 +87,20 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "payload"])
 
 
-def frequent_tokens(texts: DataFrame, sets: Sets, rule: Rule) -> DataFrame:
-    """Tokens of the counted region in at least ``FREQUENT`` sets, with how many (every row's set counts)."""
-    buckets = bucket_count(texts, 3 * rule.region)
+def packed_counts(held: list[np.ndarray], rule: Rule, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Counts of the tokens, packed by bucket: tokens alone (kind 1) or with their count (kind 2)."""
+    t, c = np.unique(np.concatenate(held), return_counts=True)
+    rows = []
+    if (one := t[c == 1]).size:
+        rows += _packed(one, one, rule, buckets, 1)
+    if (more := t[c > 1]).size:
+        rows += _packed(more, np.stack([more, c[c > 1].astype(np.uint64)], 1), rule, buckets, 2)
+    return rows
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            rows = []
-            if (one := t[c == 1]).size:
-                rows += _packed(one, one, rule, buckets, 1)
-            if (more := t[c > 1]).size:
-                both = np.stack([more, c[c > 1].astype(np.uint64)], 1)
-                rows += _packed(more, both, rule, buckets, 2)
-            return _batch(rows)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for _, s in sets(batch.column(0).slice(at, 512).to_pylist()):
-                    s = s[s < np.uint64(rule.cut)]
-                    held.append(s)
-                    size += len(s)
-                    if size > 1_000_000:
-                        yield flush()
-                        held, size = [], 0
-        if size:
-            yield flush()
+def merged_counts(packed: DataFrame, least: int | None = None) -> DataFrame:
+    """Of ``bucket``, ``kind`` and ``payload`` the tokens counted ``least`` (``FREQUENT``) times or more, with how many."""
+    least = FREQUENT if least is None else least
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         t, c = [], []
@@ -129,13 +113,33 @@ def frequent_tokens(texts: DataFrame, sets: Sets, rule: Rule) -> DataFrame:
         t, c = t[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         n = np.add.reduceat(c, first)
-        keep = n >= FREQUENT
+        keep = n >= least
         return pd.DataFrame({"token": t[first][keep].view(np.int64), "df": n[keep]})
 
-    packed = texts.mapInArrow(count, "bucket int, kind int, payload binary")
     return packed.groupBy("bucket").applyInPandas(merge, "token long, df long")
 
 
+def frequent_tokens(texts: DataFrame, sets: Sets, rule: Rule) -> DataFrame:
+    """Tokens of the counted region in at least ``FREQUENT`` sets, with how many (every row's set counts)."""
+    buckets = bucket_count(texts, 3 * rule.region)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for _, s in sets(batch.column(0).slice(at, 512).to_pylist()):
+                    s = s[s < np.uint64(rule.cut)]
+                    held.append(s)
+                    size += len(s)
+                    if size > 1_000_000:
+                        yield _batch(packed_counts(held, rule, buckets))
+                        held, size = [], 0
+        if size:
+            yield _batch(packed_counts(held, rule, buckets))
+
+    return merged_counts(texts.mapInArrow(count, "bucket int, kind int, payload binary"))
+
+
 def bounded(frequent: DataFrame, limit: int = FREQUENT_LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """The frequent tokens (sorted) and their counts: at most ``limit``, by a higher least count if there are more."""
     if frequent.count() > limit:
@@ -187,176 +191,15 @@ def prefix(s: np.ndarray, rule: Rule, tokens: np.ndarray, df: np.ndarray) -> tup
     return ranked[:k], np.arange(k) >= len(light), l, typical
 
 
-def prefixes(tokens: np.ndarray, sizes: np.ndarray, rule: Rule, frequent: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, ...]:
-    """:func:`prefix` of many sets that lie end to end, without a loop over sets.
-
-    Returns the prefix tokens with, for each, its set, its position (from 1) and whether it is
-    frequent or uncounted; and the l and the typicality of each set. Empty sets have no tokens.
-    """
-    k = len(sizes)
-    off = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(k), sizes)
-    counted = tokens < np.uint64(rule.cut)
-    n_df = np.zeros(len(tokens), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        hit = counted & (frequent[at] == tokens)
-        n_df[hit] = df[at[hit]]
-    often = n_df > 0
-    rank = np.where(counted, np.minimum(n_df, (1 << 30) - 1), 1 << 30)
-    order = np.argsort(owner * (1 << 31) + rank, kind="stable")
-    tokens, n_df, often, counted = tokens[order], n_df[order], often[order], counted[order]
-    need = -(-rule.percent * sizes // 100)
-    base = sizes - need + 1
-    ls = np.arange(1, rule.matches + 1)
-    sums = np.concatenate([[0.0], np.cumsum(np.where(often, n_df - 1.0, RARE_COST))])
-    upto = np.minimum(off[:, None] + base[:, None] + ls[None] - 1, len(tokens))
-    cost = (sums[upto] - sums[off][:, None]) * (1 + VERIFY_COST / ls)[None]
-    cost[ls[None] > need[:, None]] = np.inf
-    chosen = cost.argmin(1) + 1
-    place = np.arange(len(tokens)) - off[owner]
-    keep = place < (base + chosen - 1)[owner]
-    typical = 255 * np.bincount(owner, often, k) / np.maximum(np.bincount(owner, counted, k), 1)
-    return tokens[keep], owner[keep], place[keep] + 1, ((n_df >= rule.paired) | ~counted)[keep], chosen, typical.astype(np.int64)
-
-
-_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("m", "u1")])
-
-
-def _run_pairs(x: np.ndarray, rule: Rule) -> np.ndarray:
-    """All pairs of nodes under each token (postings sorted by token, then node) whose sizes and positions allow a match."""
-    if not len(x):
-        return np.empty(0, _PAIR)
-    out = []
-    start = np.flatnonzero(np.concatenate([[True], x["t"][1:] != x["t"][:-1]]))
-    length = np.diff(np.concatenate([start, [len(x)]]))
-    left = np.repeat(start + length, length) - np.arange(len(x))  # nodes of the token from here on
-    at, gap = np.arange(len(x)), 0
-    while True:
-        gap += 1
-        at = at[left[at] > gap]
-        if not len(at):
-            break
-        a, b = x[at], x[at + gap]
-        na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-        ok = 100 * np.minimum(na, nb) >= rule.percent * np.maximum(na, nb)
-        # What they can share: all before the token, the token, all after it.
-        pa_, pb_ = a["p"].astype(np.int64), b["p"].astype(np.int64)
-        most = np.minimum(pa_, pb_) + np.minimum(na - pa_, nb - pb_)
-        ok &= rule.similar(most, na, nb) | (pa_ >= 65535) | (pb_ >= 65535)
-        p = np.empty(int(ok.sum()), _PAIR)
-        p["a"], p["b"], p["m"] = a["d"][ok], b["d"][ok], np.minimum(a["l"], b["l"])[ok]
-        out.append(p)
-    return np.concatenate(out) if out else np.empty(0, _PAIR)
-
-
-def pair_postings(texts: DataFrame, flat: Callable, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Postings of many small sets a row (every token counted), met in place.
-
-    Pairs under tokens of fewer than ``rule.paired`` sets come out packed (``bucket``, ``payload``), by a hash of the pair;
-    postings of frequent tokens come out as rows (``token, node, n, p, l, c``).
-    ``flat`` gives (sources, tokens, sizes) for runs of rows.
-    """
-    buckets = bucket_count(texts, 6 * rule.region)
-    held = texts.sparkSession.sparkContext.broadcast(frequent)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, df = held.value
-        seen: set[int] = set()
-        light, heavy, size = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            rows = []
-            if light and (x := np.concatenate(light)).size:
-                x = x[np.argsort(x["t"], kind="stable")]
-                rows += _packed(x["t"], x, rule, buckets, 0)
-            if heavy and (x := np.concatenate(heavy)).size:
-                own = (x["d"].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(own, kind="stable")
-                x, own = x[order], own[order]
-                cut = np.flatnonzero(np.diff(own)) + 1
-                rows += [(b, 1, part.tobytes()) for b, part in zip(own[np.concatenate([[0], cut])].tolist(), np.split(x, cut), strict=True)]
-            return _batch(rows)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for _, tokens, sizes in flat(batch.column(0).slice(at, 512).to_pylist()):
-                    node = set_hashes(tokens, sizes)
-                    first = np.zeros(len(node), bool)
-                    first[np.unique(node, return_index=True)[1]] = True
-                    first &= sizes > 0
-                    names = node.tolist()
-                    for i in np.flatnonzero(first).tolist():
-                        if names[i] in seen:
-                            first[i] = False
-                        elif len(seen) < 1 << 19:
-                            seen.add(names[i])
-                    tokens, sizes, node = tokens[np.repeat(first, sizes)], sizes[first], node[first]
-                    if not len(sizes):
-                        continue
-                    t, owner, place, often, l, typical = prefixes(tokens, sizes, rule, words, df)  # noqa: E741
-                    x = np.empty(len(t), _POST)
-                    x["t"], x["d"], x["n"], x["p"], x["l"], x["c"] = t, node[owner], sizes[owner], np.minimum(place, 65535), l[owner], typical[owner]
-                    light.append(x[~often])
-                    heavy.append(x[often])
-                    size += len(t)
-                    if size > 500_000:
-                        yield flush()
-                        light, heavy, size = [], [], 0
-        if size:
-            yield flush()
-
-    kinds_of = {"bucket": "Int32", "payload": object, "token": "Int64", "node": "Int64", "n": "Int64", "p": "Int32", "l": "Int32", "c": "Int32"}
-
-    def part(rows: int, **given) -> pd.DataFrame:
-        """A part of the result; columns that are not given are null, in their own type (hashes must not pass through floats)."""
-        return pd.DataFrame({k: pd.Series(given[k], dtype=t) if k in given else pd.Series([None] * rows, dtype=t) for k, t in kinds_of.items()})
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds, parts = pdf["kind"].to_numpy(), [part(0)]
-        for kind in (0, 1):
-            got = [np.frombuffer(p, _POST) for p in pdf["payload"][kinds == kind]]
-            if not got:
-                continue
-            x = np.concatenate(got)
-            x = x[np.lexsort((x["d"], x["t"]))]
-            x = x[~np.concatenate([[False], (x["t"][1:] == x["t"][:-1]) & (x["d"][1:] == x["d"][:-1])])]
-            if kind:
-                parts.append(part(len(x), token=x["t"].astype(np.uint64).view(np.int64), node=x["d"].copy(), n=x["n"].astype(np.int64), p=x["p"].astype(np.int32), l=x["l"].astype(np.int32), c=x["c"].astype(np.int32)))
-                continue
-            p = _run_pairs(x, rule)
-            own = (mix(p["a"].view(np.uint64) ^ mix(p["b"].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(own, kind="stable")
-            p, own = p[order], own[order]
-            if len(p):
-                cut = np.flatnonzero(np.diff(own)) + 1
-                parts.append(part(len(cut) + 1, bucket=own[np.concatenate([[0], cut])].astype(np.int32), payload=[q.tobytes() for q in np.split(p, cut)]))
-        return pd.concat([x for x in parts if len(x)] or parts)
-
-    packed = texts.mapInArrow(post, "bucket int, kind int, payload binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "bucket int, payload binary, token long, node long, n long, p int, l int, c int")
-
-
-def counted_pairs(met: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share as many rare prefix tokens as they must."""
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.frombuffer(p, _PAIR) for p in pdf["payload"]])
-        x = x[np.lexsort((x["b"], x["a"]))]
-        first = np.flatnonzero(np.concatenate([[True], (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])]))
-        keep = np.diff(np.concatenate([first, [len(x)]])) >= x["m"][first]
-        return pd.DataFrame({"a": x["a"][first][keep], "b": x["b"][first][keep]})
-
-    return met.where("payload IS NOT NULL").select("bucket", "payload").groupBy("bucket").applyInPandas(count, "a long, b long")
-
-
 def postings(texts: DataFrame, sets: Sets, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Nodes that meet under a token of their prefixes.
 
-    ``token, node, n, p, l, c`` (size, position from 1, chosen l, typicality), ``heavy``, and for
-    rare tokens the leader with its own ``ln, lp, ll``; a rare token with one node is left out.
+    ``token, node, n, p, l, c`` (size, position from 1, chosen l, typicality), ``heavy`` (a token
+    with ``FREQUENT`` nodes or more), and, where ``led``, the leader with its own ``ln, lp, ll``: all
+    tokens but those in the table of frequent ones. One of these with a single node is left out. A
+    token that the bounded table has no room for is heavy by the nodes that meet here, so none is paired at length.
     """
-    buckets = bucket_count(texts, 6 * rule.region)
+    buckets, many = bucket_count(texts, 6 * rule.region), FREQUENT
     held = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,26 +257,28 @@ def postings(texts: DataFrame, sets: Sets, rule: Rule, frequent: tuple[np.ndarra
             first = np.concatenate([[True], x["t"][1:] != x["t"][:-1]])
             run = np.cumsum(first) - 1
             start = np.flatnonzero(first)
+            met = np.bincount(run)[run]
             out = {"token": x["t"].view(np.int64), "node": x["d"], "n": x["n"].astype(np.int64), "p": x["p"].astype(np.int32), "l": x["l"].astype(np.int32), "c": x["c"].astype(np.int32)}
             if kind == 0:
                 lead = x[start[run]]
-                out |= {"leader": lead["d"], "ln": lead["n"].astype(np.int64), "lp": lead["p"].astype(np.int32), "ll": lead["l"].astype(np.int32), "heavy": False}
-                out = pd.DataFrame(out)[np.bincount(run)[run] > 1]
+                out |= {"leader": lead["d"], "ln": lead["n"].astype(np.int64), "lp": lead["p"].astype(np.int32), "ll": lead["l"].astype(np.int32), "heavy": met >= many}
+                out = pd.DataFrame(out)[met > 1]
             else:
-                out = pd.DataFrame(out | {"leader": np.int64(0), "ln": np.int64(0), "lp": np.int32(0), "ll": np.int32(0), "heavy": True})
+                out = pd.DataFrame(out | {"leader": np.int64(0), "ln": np.int64(0), "lp": np.int32(0), "ll": np.int32(0), "heavy": True, "led": False})
+                out["led"] = True
             parts.append(out)
-        return pd.concat(parts)[["token", "node", "n", "p", "l", "c", "leader", "ln", "lp", "ll", "heavy"]]
+        return pd.concat(parts)[["token", "node", "n", "p", "l", "c", "leader", "ln", "lp", "ll", "heavy", "led"]]
 
     packed = texts.mapInArrow(post, "bucket int, kind int, payload binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "token long, node long, n long, p int, l int, c int, leader long, ln long, lp int, ll int, heavy boolean")
+    return packed.groupBy("bucket").applyInPandas(meet, "token long, node long, n long, p int, l int, c int, leader long, ln long, lp int, ll int, heavy boolean, led boolean")
 
 
 def with_leaders(met: DataFrame) -> DataFrame:
-    """The postings with the leader of frequent tokens filled in; tokens with one node are left out."""
-    rare, often = met.where("NOT heavy"), met.where("heavy").drop("leader", "ln", "lp", "ll").dropDuplicates(["token", "node"])
+    """The postings with the leader of frequent tokens filled in; tokens with one node are left out. Tokens with many nodes get it by a bounded broadcast."""
+    led, often = met.where("led").drop("led"), met.where("NOT led").drop("leader", "ln", "lp", "ll", "led").dropDuplicates(["token", "node"])
     lead = often.groupBy("token").agg(F.min(F.struct((-F.col("c")).alias("k"), "node", "n", "p", "l")).alias("x"), F.count("*").alias("m")).where("m > 1")
-    lead = lead.select("token", F.col("x.node").alias("leader"), F.col("x.n").alias("ln"), F.col("x.p").alias("lp"), F.col("x.l").alias("ll"))
-    return rare.unionByName(often.join(lead, "token").select(*rare.columns))
+    lead = stage(lead.select("token", F.col("x.node").alias("leader"), F.col("x.n").alias("ln"), F.col("x.p").alias("lp"), F.col("x.l").alias("ll"), "m"), "leaders")
+    return led.unionByName(hot_join(often, lead, "token", "m", met.count()).where("leader IS NOT NULL").select(*led.columns))
 
 
 def node_texts(texts: DataFrame, sets: Sets, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -518,13 +363,11 @@ def rare_pairs(met: DataFrame, unsettled: Callable[[Column, Column], Column], st
     return candidates(both.select(*[F.col(f"x.{c}").alias(f"{k}") for c, k in (("node", "a"), ("n", "na"), ("p", "pa"), ("l", "la"))], *[F.col(f"y.{c}").alias(f"{k}") for c, k in (("node", "b"), ("n", "nb"), ("p", "pb"), ("l", "lb"))]), rule)
 
 
-def group_links(groups: DataFrame, sets: Sets, rule: Rule, components: bool) -> DataFrame:
+def group_links(groups: DataFrame, sets: Sets, rule: Rule) -> DataFrame:
     """Links between the unsettled nodes of each group and all of it, in blocks.
 
-    ``groups``: leader, node, text, open (unsettled), mark (component, or the order of first
-    occurrence). For components a link matters if it joins two marks, and each unsettled node
-    reports one link to the settled ones of a block; else a node reports one link to a node of a
-    lower mark. Blocks of ``BLOCK_BYTES`` pair every open block with every block of the group.
+    ``groups``: leader, node, text, open (unsettled), mark (component). A link matters if it joins
+    two marks. Blocks of ``BLOCK_BYTES`` pair every open block with every block of the group.
     """
     size = F.octet_length("text") + 64
     blocks = groups.groupBy("leader").agg(
@@ -572,18 +415,11 @@ def group_links(groups: DataFrame, sets: Sets, rule: Rule, components: bool) ->
             idx = np.repeat(b - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             common = np.bincount(whose[idx], minlength=len(ls))
             hit = np.flatnonzero(rule.similar(common, sizes, len(s)) & (ln != rn[k]))
-            if components:
-                for h in hit[lm[hit] != rm[k]].tolist():
-                    x, y = top(int(lm[h])), top(int(rm[k]))
-                    if x != y:
-                        boss[x] = y
-                        out.append((rn[k], ln[h]))
-            else:
-                lower = hit[lm[hit] < rm[k]]
-                if len(lower):
-                    out.append((rn[k], ln[lower[0]]))
-                if inner and right is not left:
-                    out += [(ln[h], rn[k]) for h in hit[lm[hit] > rm[k]].tolist()]
+            for h in hit[lm[hit] != rm[k]].tolist():
+                x, y = top(int(lm[h])), top(int(rm[k]))
+                if x != y:
+                    boss[x] = y
+                    out.append((rn[k], ln[h]))
         return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
     return x.groupBy("leader", "i", "j").applyInPandas(compare, "a long, b long")

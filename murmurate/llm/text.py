@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -51,12 +51,12 @@ def encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about ``limit`` bytes: (index of the first, their bytes)."""
+def chunks(texts: list[str | None], limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``limit`` bytes and at most ``rows`` texts: (index of the first, their bytes)."""
     first, size, run = 0, 0, []
     for i, t in enumerate(texts):
         b = encode(t)
-        if run and size + len(b) > limit:
+        if run and (size + len(b) > limit or len(run) >= rows):
             yield first, run
             first, size, run = i, 0, []
         run.append(b)
@@ -133,13 +133,22 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def distinct(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct hashes in order, end to end, and how many each text has."""
-    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+    """Each text's distinct hashes end to end (in a fixed order), and how many each text has."""
+    k = len(begin) - 1
+    owner = np.repeat(np.arange(k), np.diff(begin))
+    # One sort by owner and as many of the hash's first bits as there is room for; a tie of other hashes in these bits takes both in full.
+    bits = np.uint64(max(k - 1, 1).bit_length())
+    key = owner.astype(np.uint64) << (np.uint64(64) - bits) | h >> bits
+    order = np.argsort(key)
+    key, sorted_h = key[order], h[order]
+    same = key[1:] == key[:-1]
+    if (same & (sorted_h[1:] != sorted_h[:-1])).any():
+        order = np.lexsort((h, owner))
+        sorted_h = h[order]
+        same = (sorted_h[1:] == sorted_h[:-1]) & (owner[order][1:] == owner[order][:-1])
     keep = np.ones(len(h), dtype=bool)
-    keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[keep], np.bincount(owner[keep], minlength=len(begin) - 1)
+    keep[1:] = ~same
+    return sorted_h[keep], np.bincount(owner[order[keep]], minlength=k)
 
 
 def set_hashes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:

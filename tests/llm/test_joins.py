@@ -134,14 +134,24 @@ def test_prefixes_of_similar_sets_share_enough():
             c = len(np.intersect1d(a, b))
             if rule.similar(c, len(a), len(b)):
                 assert len(np.intersect1d(parts[i][0], parts[i + 1][0])) >= min(parts[i][2], parts[i + 1][2])
-        flat = setjoin.prefixes(np.concatenate(sets), np.array([len(s) for s in sets]), rule, frequent, df)
-        for i, (t, h, l, c) in enumerate(parts):  # noqa: E741
-            m = flat[1] == i
-            assert (flat[0][m] == t).all() and (flat[3][m] == h).all() and flat[4][i] == l and flat[5][i] == c
         assert set_hashes(np.concatenate(sets), np.array([len(s) for s in sets])).tolist() == [set_hash(s) for s in sets]
 
 
-def test_line_dedup_against_brute_force(spark):
+def _lines(rows, body, percent=80):
+    """(id, body, n_lines, removed) of each distinct row by brute force."""
+    order = sorted({(d is None, 0 if d is None else d, body[t or ""], t or "") for d, t in rows})
+    seen, gone = [], {}
+    for z, d, b, t in order:
+        for k, line in enumerate(t.split("\n")):
+            s = frozenset(SPLIT(line.translate(LOW)))
+            if s and any(100 * len(s & o) >= percent * len(s | o) for o in seen):
+                gone.setdefault((z, d, b), []).append(k)
+            if s:
+                seen.append(s)
+    return sorted(((None if z else d, b, t.count("\n") + 1, tuple(gone.get((z, d, b), []))) for z, d, b, t in order), key=str)
+
+
+def _line_corpus():
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(150)]
     lines = [" ".join(rng.sample(vocab, rng.randint(1, 25))) for _ in range(40)]
@@ -154,22 +164,47 @@ def test_line_dedup_against_brute_force(spark):
                 w[rng.randrange(len(w))] = rng.choice(vocab)
             ls.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
         docs.append((i, "\n".join(ls)))
-    docs += [(200, None), (201, ""), (202, "\n\n"), (3, docs[3][1]), (None, lines[0]), (-5, lines[1])]
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as line", "2 as body2")
+    docs.append((150, " ".join(rng.choice(vocab) + str(rng.randrange(400)) for _ in range(20_000)) + "\n" + lines[2]))  # a very long line
+    docs += [(200, None), (201, ""), (202, "\n\n"), (3, docs[3][1]), (None, lines[0]), (-5, lines[1]), (None, lines[3] + "\nquite another text of a null id with eight words"), (7, "another text of a repeated id with words of its own\n" + lines[5])]
+    return docs
+
+
+@pytest.mark.parametrize("kind, longest, nearest", [("long", 512, 2), ("long", 2, 1), ("double", 2, 1), ("decimal(12,2)", 512, 1), ("string", 2, 2)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, kind, longest, nearest):
+    """Also with frequent words that need keys of two and three words, with lines that stop early, and with ids that are no integers."""
+    monkeypatch.setattr(line_dedup, "LONGEST", longest)
+    monkeypatch.setattr(line_dedup, "NEAREST", nearest)
+    monkeypatch.setattr(line_dedup, "MOST", nearest)
+    monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", 1_000_000 if nearest == 2 else 0)
+    monkeypatch.setattr(setjoin, "FREQUENT", 2)
+    docs = _line_corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text", "1 as line", "2 as body2", "3 as __id", "4 as __body", "5 as ord", "6 as __Removed")
     body = {t: b for t, b in df.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
-    order = sorted({(d is None, d or 0, body[t or ""], t or "") for d, t in docs})
-    seen, gone = [], {}
-    for z, d, b, t in order:
-        for k, line in enumerate(t.split("\n")):
-            s = frozenset(SPLIT(line.translate(LOW)))
-            if s and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
-                gone.setdefault((z, d, b), []).append(k)
-            if s:
-                seen.append(s)
-    want = sorted((None if z else d, b, t.count("\n") + 1, gone.get((z, d, b), [])) for z, d, b, t in order if not z)
+    as_kind = {"long": int, "double": float, "decimal(12,2)": int, "string": str}[kind]
+    rows = [(None if d is None else as_kind(d), t) for d, t in docs]
     got = line_dedup.line_dedup(df).collect()
     assert len(got) == len(docs)
-    assert sorted({(r["doc_id"], r["body"], r["n_lines"], tuple(r["removed"])) for r in got if r["doc_id"] is not None}) == [(*w[:3], tuple(w[3])) for w in want]
-    cut = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(df).collect()}
-    assert cut[202] == "\n\n" and cut[200] is None and len(cut) == len({d for d, _ in docs})
-    assert line_dedup.line_dedup(df.limit(0)).count() == 0
+    assert sorted({(r["doc_id"] if kind != "decimal(12,2)" or r["doc_id"] is None else int(r["doc_id"]), r["body"], r["n_lines"], tuple(r["removed"])) for r in got}, key=str) == _lines(rows, body)
+    cut = line_dedup.remove_lines(df)
+    assert cut.columns == df.columns and cut.count() == len(docs)
+    if kind == "long":
+        texts = {r["doc_id"]: r["text"] for r in cut.collect()}
+        assert texts[202] == "\n\n" and texts[200] is None
+        assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+def test_keys_of_similar_lines_meet():
+    rng = np.random.default_rng(1)
+    rule, universe = setjoin.Rule(80, 1.0), np.unique(mix(np.arange(90, dtype=np.uint64)))
+    df = np.sort(rng.integers(8, 4000, len(universe)))
+    sets = []
+    for _ in range(150):
+        s = rng.choice(universe, rng.integers(5, 40), replace=False)
+        t = s.copy()
+        t[: len(t) // 9] = rng.choice(universe, len(t) // 9)
+        sets += [np.unique(s), np.unique(t)]
+    key, who, rest, n = line_dedup.keys_of(np.concatenate(sets), np.array([len(s) for s in sets]), rule, line_dedup.Counts(universe, df), 5000)
+    of = lambda i: set(key[who == i].tolist())
+    linked = [(i, i + 1) for i in range(0, len(sets), 2) if rule.similar(len(np.intersect1d(sets[i], sets[i + 1])), len(sets[i]), len(sets[i + 1])) and set(sets[i]) != set(sets[i + 1])]
+    assert len(linked) > 20 and {1, 2, 3} == set(n.tolist())
+    assert all(of(i) & of(j) for i, j in linked)
