@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from .text import LOWER, chunks, joined, mix
 from .training import bounded_sample, remainder
 
-#: Bounds of the fit: labelled rows of each language; so many languages have all of them, more have equally fewer, and LEAST_ROWS at least.
+#: Bounds of the fit: labelled rows of each language and of all; more languages have equally fewer rows each, but LEAST_ROWS at least.
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
+ALL_ROWS = 8_000
 LEAST_ROWS = 10
+#: Texts whose features are held at once (64 KB each).
+RUN_ROWS = 256
 DIMENSIONS = 1 << 13
 ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.15
@@ -95,7 +97,7 @@ def fit(texts: list[str | None], labels: list[str], steps: int = 150, rate: floa
     if not languages:
         return Model([], np.ones((0, 1), np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
     code = codewords(len(languages), seed)
-    x = np.concatenate([features(run) for _, run in chunks(texts, 1 << 19)])
+    x = np.concatenate([features(run) for _, run in chunks(texts, 1 << 19, RUN_ROWS)])
     y = code[[languages.index(v) for v in labels]]
     w, b = np.zeros((DIMENSIONS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
@@ -113,17 +115,16 @@ def fit(texts: list[str | None], labels: list[str], steps: int = 150, rate: floa
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, per_language: int = PER_LANGUAGE) -> Model:
     """Fits on a bounded sample of the rows with a language and a checksum remainder other than 0.
 
-    Every language found is in the model. Above ``MAX_LANGUAGES`` each has fewer rows, so that all
-    rows stay bounded; where that is fewer than ``LEAST_ROWS`` it raises ValueError.
+    Every language found is in the model. So many that ``ALL_ROWS`` leaves fewer than ``LEAST_ROWS``
+    rows for each raise ValueError. Repeated ids give their texts once each; null ids and null languages,
+    and texts without a letter, are left out; an empty table gives a model that knows no language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (remainder(id_col, modulus) != 0) & F.col(id_col).isNotNull())
     n = known.agg(F.countDistinct(lang_col)).first()[0]
-    if n > MAX_LANGUAGES:
-        most = PER_LANGUAGE * MAX_LANGUAGES // n
-        if most < LEAST_ROWS:
-            raise ValueError(f"{n} languages are more than the fit has room for")
-        per_language = min(per_language, most)
-    rows = bounded_sample(known.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")), known.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__lang", per_language, max(n, MAX_LANGUAGES))
+    most = ALL_ROWS // max(n, 1)
+    if most < LEAST_ROWS:
+        raise ValueError(f"{n} languages are more than the fit has room for")
+    rows = bounded_sample(known.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")), known.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__lang", min(per_language, most), max(n, 1))
     rows = [r for r in rows if any(map(str.isalpha, r["__text"] or ""))]
     return fit([r["__text"] for r in rows], [r["__lang"] for r in rows])
 
@@ -144,7 +145,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             texts = batch.column(2).to_pylist()
             lang, score, close = [], [], []
-            for first, run in chunks(texts, 1 << 18):
+            for first, run in chunks(texts, 1 << 18, RUN_ROWS):
                 letters = [any(map(str.isalpha, t or "")) for t in texts[first : first + len(run)]]
                 if not m.languages:
                     letters = [False] * len(run)

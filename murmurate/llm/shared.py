@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,11 +33,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: What a batch between the JVM and a Python worker holds at most while a table is staged.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches to Python workers are bounded in rows and bytes for what runs inside."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes a DataFrame to the shared folder and reads it back: the lineage ends at the files."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +73,14 @@ def drop_staged(*tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(columns: list[str]) -> Callable[[str], str]:
+    """Gives names that none of the columns has (whatever the case): the operators' own columns beside any input."""
+    mark, taken = "__", {c.lower() for c in columns}
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return lambda name: mark + name
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file sizes for a scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
