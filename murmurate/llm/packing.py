@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +16,16 @@ from pyspark.sql import functions as F
 from .shared import stage
 from .tokens import word_bpe
 
-BLOCK_PIECES = 2048
+BLOCK_PIECES = 16384
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 4
-#: Blocks whose loosest bins are packed together in one step of the merge, and pieces that a block hands on.
+POPULATION = 8
+#: An epoch ends after so many generations (fewer above ``FULL_PIECES``, in proportion, but six), or after so many
+#: in a row without fewer bins; at the lower bound there is nothing to do.
+GENERATIONS, PATIENCE, FULL_PIECES = 40, 12, 4096
+#: Blocks whose loosest bins are packed together in one step of the merge, and pieces that a block hands on (or its loosest bin, if that has more).
 MERGE_BLOCKS = 64
-MERGE_PIECES = 32
+MERGE_PIECES = 64
 
 
 class Bins:
@@ -91,23 +94,52 @@ def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
     return child.fill(displaced)
 
 
+def tight(sizes: list[int], items: list[int], capacity: int) -> list[list[int]]:
+    """Bins that each hold the largest item left and then, item by item, the one or the two others that leave least room."""
+    items = sorted(items, key=sizes.__getitem__)
+    out = []
+    while items:
+        room, one = capacity - sizes[items[-1]], [items.pop()]
+        while items and sizes[items[0]] <= room:
+            keys = [sizes[i] for i in items]
+            best, pick = 0, ()
+            k = bisect_right(keys, room) - 1
+            best, pick = keys[k], (k,)
+            lo, hi = 0, k
+            while lo < hi and best < room:
+                total = keys[lo] + keys[hi]
+                if total > room:
+                    hi -= 1
+                else:
+                    if total > best:
+                        best, pick = total, (lo, hi)
+                    lo += 1
+            for j in sorted(pick, reverse=True):
+                one.append(items.pop(j))
+            room -= best
+        out.append(one)
+    return out
+
+
 def mutate(a: Bins, rng: random.Random) -> Bins:
-    """Dissolves the loosest bins and a random one and best-fits their items, largest first."""
+    """Dissolves some of the loosest bins and some random ones and fills new bins with their items as tightly as it can."""
     n = len(a.items)
-    out = set(sorted(range(n), key=a.free.__getitem__, reverse=True)[: max(1, n // 20)])
-    out.add(rng.randrange(n))
+    few = min(max(2, n // 20), 24)
+    out = set(sorted(range(n), key=a.free.__getitem__, reverse=True)[: rng.randint(1, few)])
+    out.update(rng.randrange(n) for _ in range(few))
     child, loose = Bins(a.sizes, a.capacity), []
     for k in range(n):
         if k in out:
             loose.extend(a.items[k])
         else:
             child.add(list(a.items[k]), a.free[k])
-    loose.sort(key=lambda i: a.sizes[i] + rng.random() * 8, reverse=True)
-    return child.fill(loose)
+    for items in tight(a.sizes, loose, a.capacity):
+        child.add(items, a.capacity - sum(a.sizes[i] for i in items))
+    return child
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, migrants: list[list[int]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
-    """One island's epoch: the fittest packing after a few generations. Migrants are bin numbers by item."""
+def evolve(sizes: list[int], capacity: int, seed: int, migrants: list[list[int]] = (), population: int = POPULATION, generations: int | None = None) -> Bins:
+    """One island's epoch: the fittest packing of its generations. Migrants are bin numbers by item."""
     rng = random.Random(seed)
     least = -(-sum(sizes) // capacity)
     order = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
@@ -124,13 +156,17 @@ def evolve(sizes: list[int], capacity: int, seed: int, migrants: list[list[int]]
         noise = 0 if not pool else capacity / 16
         pool.append(Bins(sizes, capacity).fill(sorted(order, key=lambda i: sizes[i] + rng.random() * noise, reverse=True)))
     pool.sort(key=Bins.fitness, reverse=True)
+    if generations is None:
+        generations = min(GENERATIONS, max(6, GENERATIONS * FULL_PIECES // max(len(sizes), 1)))
+    dull, best = 0, pool[0].fitness()
     for _ in range(generations):
-        if len(pool[0].items) <= least:
-            break  # no packing has fewer bins
+        if len(pool[0].items) <= least or dull >= PATIENCE:
+            break  # no packing has fewer bins, or none has been found for long
         parents = pool[: max(2, population // 2)]
         young = [crossover(*rng.sample(parents, 2), rng) for _ in range(population // 2)]
-        young.append(mutate(pool[0], rng))
+        young += [mutate(p, rng) for p in (pool[0], rng.choice(pool))]
         pool = sorted(pool + young, key=Bins.fitness, reverse=True)[:population]
+        dull, best = (dull + 1, best) if pool[0].fitness()[0] <= best[0] else (0, pool[0].fitness())
     return pool[0]
 
 
@@ -180,7 +216,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     ``BLOCK_PIECES``. Each block evolves on ``ISLANDS`` islands, whose elites go round between
     ``EPOCHS``. Then blocks hand on the pieces of their loosest bins, which are packed together,
     ``MERGE_BLOCKS`` blocks at a time, until one group is left. No task holds more than a block or
-    ``MERGE_BLOCKS * MERGE_PIECES`` pieces, whatever the input's size.
+    the loosest bins of ``MERGE_BLOCKS`` blocks, whatever the input's size.
     """
     spark = docs.sparkSession
     cut = pieces(docs, id_col, text_col, capacity, end_id, path)
@@ -222,11 +258,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         """Places pieces in their bins; unless ``last``, those of the loosest bins stay open."""
         pdf = pdf.assign(bin=bins).sort_values(["bin", "uid"], kind="stable").reset_index(drop=True)
         pdf["offset"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
-        pdf["sequence_id"] = (block << 24 | level << 20) + pdf["bin"].astype("int64")
+        pdf["sequence_id"] = (block << 26 | level << 21) + pdf["bin"].astype("int64")
         pdf["open"] = False
         if not last:
             used = pdf.groupby("bin")["length"].agg(["sum", "size"]).sort_values("sum")
-            loose = used[(used["size"].cumsum() <= MERGE_PIECES) & (used["sum"] < capacity)].index
+            handed = used["size"].cumsum() <= MERGE_PIECES
+            handed.iloc[0] = True
+            loose = used[handed & (used["sum"] < capacity)].index
             pdf["open"] = pdf["bin"].isin(loose)
         return pdf[["uid", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open"]]
 
