@@ -47,12 +47,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
-    return language_model.score(docs, language_model.train(docs, least=1))
+    return language_model.score(docs, language_model.train(docs))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
-    return quality.score(docs, quality.train(docs, _t(spark, sf_dir, "labels")))
+    machine = quality.train(docs, _t(spark, sf_dir, "labels"), metadata=("n_chars",))
+    return quality.score(docs, machine, metadata=("n_chars",))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

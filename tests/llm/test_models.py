@@ -34,47 +34,90 @@ def _texts():
     return [(i, " ".join(rng.choice(vocab[: 5 + i % 50]) for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(500, None), (501, ""), (502, "ÄÖ Word\tword\x0bW60")]
 
 
-def test_language_model_against_brute_force(spark):
-    rows = _texts()
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score", "2 as n_tokens")
-    got = {r["doc_id"]: r for r in language_model.score(df, language_model.train(df)).collect()}
-    toks = {i: SPLIT((t or "").translate(LOW)) + ["</s>"] for i, t in rows}
-    train = [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2]
+def _brute_scores(toks, train, least):
+    """(base, score) of each text under the interpolated trigram model."""
     c = collections.Counter(w for i in train for w in toks[i])
     n, v = sum(c.values()), len(c)
-    pair = collections.Counter((p, w) for i in train for p, w in zip(["<s>", *toks[i]], toks[i]))
-    total, kept = collections.Counter(), collections.Counter()
-    for (p, _), k in pair.items():
-        total[p] += k
-    for (p, _), k in pair.items():
-        kept[p] += k - 0.75 if k >= 2 else 0
+    seen = {1: collections.Counter(), 2: collections.Counter()}
+    for i in train:
+        t = ["<s>", *toks[i]]
+        seen[1].update(zip([(x,) for x in t], t[1:]))
+        seen[2].update(zip(zip(t, t[1:]), t[2:]))
+    total, mass = collections.Counter(), collections.Counter()
+    for level in seen.values():
+        for (ctx, _), k in level.items():
+            total[ctx] += k
+            mass[ctx] += k - 0.75 if k >= least else 0
+    base = lambda w: (c[w] + 1) / (n + v + 1)
+
+    def p(ctx, w):
+        below = p(ctx[1:], w) if len(ctx) > 1 else base(w)
+        if not total[ctx]:
+            return below
+        k = seen[len(ctx)][ctx, w]
+        return (k - 0.75 if k >= least else 0) / total[ctx] + (1 - mass[ctx] / total[ctx]) * below
+
+    out = {}
     for i, t in toks.items():
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
-        full = sum(math.log10(((pair[p, w] - 0.75) / total[p] if pair[p, w] >= 2 else 0) + (1 - kept[p] / total[p] if total[p] else 1) * (c[w] + 1) / (n + v + 1)) for p, w in zip(["<s>", *t], t))
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(c[w] > 0 for w in t), n, i not in train)
-        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(full, abs=0.02 * len(t))
+        s = ["<s>", *t]
+        out[i] = sum(math.log10(base(w)) for w in t), sum(math.log10(p(tuple(s[max(0, k - 1) : k + 1]), w)) for k, w in enumerate(t))
+    return out, c, n
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_language_model_against_brute_force(spark, least):
+    rows = [*_texts(), (None, "w1 w2 w3"), (7, "w1 w2 w3"), (7, "w1 w2 w3"), (600, "w3 " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score", "2 as n_tokens")
+    toks = {k: SPLIT((t or "").translate(LOW)) + ["</s>"] for k, (_, t) in enumerate(rows)}
+    train = [k for k, (i, _) in enumerate(rows) if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    want, c, n = _brute_scores(toks, train, least)
+    got = language_model.score(df, language_model.train(df, least=least)).collect()
+    assert len(got) == len(rows)
+    of = collections.defaultdict(list)
+    for r in got:
+        of[r["doc_id"]].append(r)
+    for k, (i, _) in enumerate(rows):
+        t = toks[k]
+        near = [r for r in of[i] if r["n_tokens"] == len(t) and r["base_score"] == pytest.approx(want[k][0]) and r["score"] == pytest.approx(want[k][1], abs=0.02 * len(t))]
+        assert near and all((r["n_known"], r["train_tokens"], r["held_out"]) == (sum(c[w] > 0 for w in t), n, k not in train) for r in near)
     assert language_model.score(df.limit(0), language_model.train(df)).count() == 0
     assert language_model.score(df.limit(3), language_model.fit(df.limit(0).select("text"))).count() == 3
 
 
-def test_the_query_keeps_pairs_seen_once(spark, tmp_path):
+def test_the_query_keeps_all_ngrams_and_three_words_beat_two(spark, tmp_path, monkeypatch):
     rows = _texts()
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in queries.op7_lm_scoring(spark, str(tmp_path)).collect()}
     toks = {i: SPLIT((t or "").translate(LOW)) + ["</s>"] for i, t in rows}
-    train = [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = collections.Counter(w for i in train for w in toks[i])
-    n, v = sum(c.values()), len(c)
-    pair = collections.Counter((p, w) for i in train for p, w in zip(["<s>", *toks[i]], toks[i]))
-    total, types = collections.Counter(), collections.Counter()
-    for (p, _), k in pair.items():
-        total[p] += k
-        types[p] += 1
-    assert 1 in pair.values()
-    for i, t in toks.items():
-        full = sum(math.log10((max(pair[p, w] - 0.75, 0) / total[p] if total[p] else 0) + (0.75 * types[p] / total[p] if total[p] else 1) * (c[w] + 1) / (n + v + 1)) for p, w in zip(["<s>", *t], t))
-        assert got[i]["score"] == pytest.approx(full, abs=0.02 * len(t))
+    want, _, _ = _brute_scores(toks, [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2], 1)
+    assert all(got[i]["score"] == pytest.approx(want[i][1], abs=0.02 * len(t)) for i, t in toks.items())
+
+
+def test_searches_are_bounded_by_the_pointers(spark):
+    """A trie whose pointers say that contexts have no successors finds none."""
+    df = spark.createDataFrame(_texts(), "doc_id long, text string")
+    m = language_model.train(df)
+    run = [b"w1 w2 w3 w4 w1 w2"]
+    whole = language_model.score_run(m, m.folder, run)[3][0]
+    tries = [x for path, x in language_model._OPEN.items() if x is not None and "trie-" in path]
+    for name in ("pointers2", "pointers1"):
+        kept = [getattr(x, name) for x in tries]
+        for x in tries:
+            setattr(x, name, EliasFano(encode(np.zeros(getattr(x, name).n, np.uint64))))
+        assert language_model.score_run(m, m.folder, run)[3][0] < whole - 0.1
+        for x, was in zip(tries, kept, strict=True):
+            setattr(x, name, was)
+    assert language_model.score_run(m, m.folder, run)[3][0] == whole
+
+
+def test_levels_are_fetched_where_the_shared_folder_is_not_mounted(spark, monkeypatch):
+    df = spark.createDataFrame(_texts(), "doc_id long, text string")
+    want = {r["doc_id"]: r["score"] for r in language_model.score(df, language_model.train(df)).collect()}
+    monkeypatch.setattr(language_model, "urlparse", lambda p: None)
+    monkeypatch.setattr(language_model, "new_path", lambda spark, name: "hdfs:/nowhere")
+    m = language_model.train(df)
+    assert m.folder is None and m.files
+    assert {r["doc_id"]: r["score"] for r in language_model.score(df, m).collect()} == pytest.approx(want)
 
 
 def test_hot_contexts_are_dealt_out(spark, monkeypatch):
@@ -105,10 +148,10 @@ def test_language_identification(spark):
 def test_every_language_is_learnt(spark, monkeypatch):
     parts = {"aa": "tha", "bb": "ung", "cc": "que"}
     df = spark.createDataFrame([(i, f"{parts[k]} {parts[k]}{parts[k]} " * 5, k) for i in range(240) for k in [list(parts)[i % 3]]], "doc_id long, text string, lang string")
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    monkeypatch.setattr(language_id, "ALL_ROWS", 90)
     got = language_id.identify(df, language_id.train(df)).collect()
     assert {(r["doc_id"] % 3, r["lang_pred"]) for r in got} == {(0, "aa"), (1, "bb"), (2, "cc")}
-    monkeypatch.setattr(language_id, "PER_LANGUAGE", 10)
+    monkeypatch.setattr(language_id, "ALL_ROWS", 20)
     with pytest.raises(ValueError, match="3 languages"):
         language_id.train(df)
 
@@ -154,6 +197,24 @@ def test_word_ids_equal_the_tokenizer():
         assert bpe(t) == np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_the_fast_encoder_equals_the_model():
+    bpe = tokens.WordBpe(tokens.public_path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    found = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 14))) for _ in range(20_000)}
+    found |= {c * k for c in map(chr, range(33, 127)) if not c.isupper() for k in range(1, 40)}
+    found |= {"".join(rng.choice(["the", "ing", "er", "an", "in", "re", "tion", "a!", ".."]) for _ in range(rng.randint(1, 6))) for _ in range(20_000)}
+    for w in found:
+        assert bpe._piece(w) == np.array([t.id for t in bpe.model.tokenize(w)], "<u4").tobytes(), w
+
+
+def test_the_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    bpe, plain = tokens.WordBpe(tokens.public_path("word_bpe_49k.json")), tokens.WordBpe(tokens.public_path("word_bpe_49k.json"))
+    text = " ".join(f"word{i % 130} Ünd{i % 70}," for i in range(2000))
+    assert bpe(text) == np.array(plain.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(bpe.young) <= 50 and len(bpe.old) <= 50
+
+
 def test_token_counts_tile_documents(spark):
     tok = pytest.importorskip("tokenizers").Tokenizer.from_file(tokens.public_path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
@@ -204,7 +265,7 @@ def test_packing_is_whole_and_tight(spark, monkeypatch):
             at += n
         assert at <= 64
     first_fit = packing.Bins([r["length"] for r in rows], 64).fill(sorted(range(len(rows)), key=lambda i: -rows[i]["length"]))
-    assert len(bins) <= len(first_fit.items) + 2
+    assert len(bins) <= len(first_fit.items)
     assert packing.pack(df.limit(0)).count() == 0
 
 
@@ -215,3 +276,21 @@ def test_crossover_keeps_every_item():
     for child in (packing.crossover(a, b, rng), packing.mutate(a, rng), packing.evolve(sizes, 64, 1, [packing.numbered(a)])):
         assert sorted(i for items in child.items for i in items) == list(range(120))
         assert all(sum(sizes[i] for i in items) + f == 64 and f >= 0 for items, f in zip(child.items, child.free, strict=True))
+
+
+def test_generations_make_packings_fitter():
+    for seed in range(3):
+        rng = random.Random(seed)
+        sizes = [rng.randint(300, 1300) for _ in range(1024)]
+        best_fit = packing.Bins(sizes, 2048).fill(sorted(range(1024), key=lambda i: -sizes[i]))
+        seeds = packing.evolve(sizes, 2048, seed, generations=0)
+        grown = packing.evolve(sizes, 2048, seed)
+        assert len(grown.items) < len(seeds.items) <= len(best_fit.items)
+        assert len(grown.items) >= -(-sum(sizes) // 2048)
+
+
+def test_a_loose_bin_of_many_small_pieces_is_handed_on(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 300)
+    monkeypatch.setattr(packing, "MERGE_PIECES", 4)
+    rows = packing.pack(spark.range(1000).selectExpr("id as doc_id", "'a b c' as text"), capacity=64).collect()
+    assert len({r["sequence_id"] for r in rows}) == -(-sum(r["length"] for r in rows) // 64)
