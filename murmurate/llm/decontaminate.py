@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stage, unused
+
 #: Words: runs of ASCII letters and digits and of anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,8 +61,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, ratio: int
     partial aggregate leaves one row each). With more than ``SET_LIMIT`` windows the probe is the
     join itself, broadcast up to ``BROADCAST_WINDOWS`` and shuffled beyond.
     """
-    spark = docs.sparkSession
-    windows = benchmark_windows(benchmark, n, item_col, item_text_col).persist()
+    windows = stage(benchmark_windows(benchmark, n, item_col, item_text_col), "windows")
     count = windows.count()
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), normalised_words(F.col(text_col)).alias("w"))
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect()) if count else []
@@ -105,14 +106,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, ratio: int
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, ratio: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows that are not contaminated, with all their columns.
 
-    Rows are told apart by id and text, so a repeated id with another text is judged alone.
+    Rows are told apart by id and text, so a repeated or null id with another text is judged alone;
+    null and empty texts stay, as does an empty table; other columns may have any name.
     """
-    from .shared import stage
-
-    found = contamination(docs.select(F.struct(id_col, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha")).alias("__key"), F.col(text_col).alias("__text")), benchmark, n, ratio, "__key", "__text")
-    gone = stage(found.where("contaminated").select(F.col(f"doc_id.{id_col}").alias("__id"), F.col("doc_id.sha").alias("__sha")).distinct(), "contaminated")
+    found = contamination(docs.select(F.struct(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha")).alias("__key"), F.col(text_col).alias("__text")), benchmark, n, ratio, "__key", "__text")
+    name = unused(docs.columns)
+    gone = stage(found.where("contaminated").select(F.col("doc_id.id").alias(name("id")), F.col("doc_id.sha").alias(name("sha"))).distinct(), "contaminated")
     gone = F.broadcast(gone) if gone.count() <= 500_000 else gone
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)) == F.col("__sha"))
+    same = F.col(id_col).eqNullSafe(F.col(name("id"))) & (F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)) == F.col(name("sha")))
     return docs.join(gone, same, "left_anti")
 
 

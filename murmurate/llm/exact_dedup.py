@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import stage, unused
 
 #: A group of more rows than this (and than a 100,000th of all) is joined by a broadcast row, not by a shuffle of its key.
 HOT_ROWS = 1000
@@ -69,9 +69,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The input's rows without the copies that :func:`exact_dedup` drops, with all their columns."""
+    """The input's rows without the copies that :func:`exact_dedup` drops, with all their columns, whatever the names.
+
+    Nulls, empty and repeated rows and an empty table as there: rows that repeat the id and the text that stay all stay.
+    """
     gone = exact_dedup(docs, id_col, text_col, keep).where("NOT kept")
-    gone = stage(gone.select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct(), "gone")
+    name = unused(docs.columns)
+    gone = stage(gone.select(F.col("doc_id").alias(name("id")), F.unhex("text_sha256").alias(name("sha"))).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)) == F.col("__sha"))
+    same = F.col(id_col).eqNullSafe(F.col(name("id"))) & (F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)) == F.col(name("sha")))
     return docs.join(gone, same, "left_anti")

@@ -49,8 +49,11 @@ def merkle_tree(records: DataFrame, id_col: str, record_col: str, bits: int = FA
     SHA-256 of their number and of sums of their digests' words, which partial aggregation builds,
     so an id with very many records costs no task more than the others. Inner nodes cover 2^bits
     ids, then 2^(2 bits) and so on, so a lost record changes its own branch only. Null ids come
-    first, as one leaf; an empty table has no root.
+    first, as one leaf; an empty table has no root. Ids must be integers (TypeError): ranges are
+    runs of them, so other ids are to be numbered first. Records of any length are hashed whole.
     """
+    if records.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte", "void"):
+        raise TypeError(f"{id_col} must be an integer column")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
     rows = records.select(key.alias("node"), F.sha2(record_col, 256).alias("digest"), F.octet_length(record_col).cast("long").alias("bytes"))
     words = [F.sum(F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long")).cast("string").alias(f"w{i}") for i in range(8)]

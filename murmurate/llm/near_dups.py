@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import setjoin as sj
 from .components import components
 from .exact_dedup import BROADCAST_ROWS
-from .shared import drop_staged, hot_join, stage
+from .shared import drop_staged, hot_join, stage, unused
 from .text import chunks, set_hash, shingles, words
 
 
@@ -67,7 +67,7 @@ def node_components(texts: DataFrame, sets: sj.Sets, rule: sj.Rule) -> DataFrame
     group = stage(comp_of(group, "leader", "lead_comp").withColumn("open", F.col("comp") != F.col("lead_comp")), "groups")
     unsettled = group.where("open").select("leader").distinct()
     group = group.join(unsettled, "leader", "left_semi").join(known, "node").select("leader", "node", "text", "open", F.col("comp").alias("mark"))
-    last = stage(sj.group_links(group, sets, rule, components=True), "links3")
+    last = stage(sj.group_links(group, sets, rule), "links3")
     return components(links.unionByName(more).unionByName(last))
 
 
@@ -101,11 +101,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     A row is told by its id and the sha256 of its text, so null and repeated ids take no other text
     with them. Null ids lose against any id; of several texts under the smallest id the one with
-    the smallest sha256 stays. Only rows with the same id and the same text stay together.
+    the smallest sha256 stays. Only rows with the same id and the same text stay together. Null and
+    empty texts have no words; an empty table stays empty; other columns may have any name.
     """
     sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), sha.alias("sha")).alias("doc_id"), F.col(text_col).alias("text"))
     found = near_duplicates(keyed, k=k, percent=percent)
-    gone = stage(found.where("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.sha").alias("__sha")).distinct(), "near")
+    name = unused(docs.columns)
+    gone = stage(found.where("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id.id").alias(name("id")), F.col("doc_id.sha").alias(name("sha"))).distinct(), "near")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(name("id"))) & (sha == F.col(name("sha"))), "left_anti")

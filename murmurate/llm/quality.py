@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,14 +107,14 @@ class Machine:
 
 
 def meta_bins(columns: list[list], n: int) -> np.ndarray:
-    """Numbers by powers of two, other values by a hash, null alone."""
+    """Numbers by powers of two (infinity with the largest), other values by a hash, null alone."""
     out = np.zeros((n, len(columns)), dtype=np.int64)
     for j, c in enumerate(columns):
         for i, x in enumerate(c):
             if isinstance(x, (int, float)) and x == x:
-                out[i, j] = 1 + min(int(np.log2(1 + abs(x)) / 2), _BINS - 2)
+                out[i, j] = 1 + int(min(np.log2(1 + min(abs(x), 1e300)) / 2, _BINS - 2))
             elif x is not None:
-                out[i, j] = 1 + sum(str(x).encode()) % (_BINS - 1)
+                out[i, j] = 1 + zlib.crc32(str(x).encode("utf-8", "surrogatepass")) % (_BINS - 1)
     return out
 
 
