@@ -90,17 +90,20 @@ def word_pattern(forms: list[str]) -> str:
 
 
 def mark_target(body: Column, form: Column, offset: Column, width: int = 1200) -> Column:
-    """The part of a body around an offset with the form marked; its place is sought near the offset."""
-    half = width // 2
-    lo = F.greatest(F.lit(0), offset - half)
-    hi = F.least(F.length(body), offset + half)
-    seg = F.substring(body, lo + 1, hi - lo)
-    near = F.greatest(F.lit(0), offset - lo - 40)
-    at = F.instr(F.lower(F.substring(seg, near + 1, offset - lo + 80 - near)), F.lower(form))
-    start = near + at - 1
-    marked = F.concat(F.substring(seg, F.lit(1), start), F.lit("<<TARGET:"), F.substring(seg, start + 1, F.length(form)), F.lit(">>"), F.substring(seg, start + 1 + F.length(form), F.length(seg)))
-    out = F.when(at > 0, marked).otherwise(F.concat(F.lit("[target: "), form, F.lit("]\n"), seg))
-    return F.concat(F.when(lo > 0, "…").otherwise(""), out, F.when(hi < F.length(body), "…").otherwise(""))
+    """A window of ``width`` characters around an offset, with the occurrence of the form that is nearest to it marked.
+
+    Cut ends show as an ellipsis. The offset may be off by a few characters, as markup was taken out
+    when it was found; a form that does not occur in the window is named in a line above it.
+    """
+    begin = F.greatest(offset - width // 2, F.lit(0))
+    window = F.substring(body, begin + 1, F.least(F.lit(width), offset - begin + width // 2))
+    places = F.transform(F.split(F.lower(window), F.concat(F.lit("\\Q"), F.lower(form), F.lit("\\E")), -1), F.length)
+    starts = F.transform(F.slice(places, 1, F.size(places) - 1), lambda _, i: F.aggregate(F.slice(places, 1, i + 1), F.lit(0), lambda n, x: n + x) + i * F.length(form))
+    nearest = F.array_min(F.transform(starts, lambda at: F.struct(F.abs(at + begin - offset).alias("off"), at.alias("at"))))["at"]
+    marked = F.concat(F.substring(window, F.lit(1), nearest), F.lit("<<TARGET:"), F.substring(window, nearest + 1, F.length(form)), F.lit(">>"), F.substring(window, nearest + F.length(form) + 1, F.length(window)))
+    named = F.concat(F.lit("[target: "), form, F.lit("]\n"), window)
+    cut = F.when(begin + F.length(window) < F.length(body), "…").otherwise("")
+    return F.concat(F.when(begin > 0, "…").otherwise(""), F.coalesce(marked, named), cut)
 
 
 def name_tokens(c: Column) -> Column:
@@ -169,3 +172,8 @@ def first_json(c: Column) -> Column:
 def batch_id(ids: Column) -> Column:
     """SHA-256 of a list's sorted members."""
     return F.sha2(F.array_join(F.sort_array(ids), "").cast("binary"), 256)
+
+
+def json_root_text(c: Column) -> Column:
+    """The text of a JSON value: a string without its quotes, a number or a boolean as it stands; JSON null is null."""
+    return F.get_json_object(c, "$")

@@ -42,7 +42,8 @@ def truncated_median(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
-    return df.groupBy(group).agg(F.element_at(F.sort_array(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int") + 1).alias("median"))
+    """The middle value, the larger of the two of an even number; counts of distinct values are held, not all rows."""
+    return df.groupBy(group).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)").cast(df.schema[value].dataType).alias("median"))
 
 
 def rule_of_three(hits: Column, n: Column) -> Column:

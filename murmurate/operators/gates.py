@@ -65,3 +65,117 @@ def unique_names(tiers: list[tuple[str, DataFrame]], key: str) -> DataFrame:
 
 def all_of_tiers(tiers: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [df.select(key, F.lit(t).alias("tier"), F.lit(i).alias("order")) for i, (t, df) in enumerate(tiers)])
+
+
+def flagged_communities(mentions: DataFrame, communities: DataFrame, key: str, flag: Column, name: str) -> DataFrame:
+    """Communities that must not score but have mentions, with how many; used for vendors' own and for hostile ones."""
+    bad = communities.where(flag).select(key).distinct()
+    return violation(mentions.join(bad, key, "left_semi").groupBy(key).agg(F.count("*").alias("n")), name, F.col(key), F.col("n"))
+
+
+def unrevalidated(removals: DataFrame, doc: str, purged: str, revalidated: str) -> DataFrame:
+    """Purged documents whose cached page was never rebuilt."""
+    return violation(removals.where(F.col(purged).isNotNull() & F.col(revalidated).isNull()), "purged but not revalidated", F.col(doc))
+
+
+def malformed_links(df: DataFrame, link: str, pattern: str, subject: Column) -> DataFrame:
+    """Links of another shape than the pattern's; a missing link is one of them."""
+    return violation(df.where(~F.coalesce(F.col(link).rlike(pattern), F.lit(False))), "malformed permalink", subject)
+
+
+def assert_links(df: DataFrame, link: str, pattern: str) -> DataFrame:
+    """The rows as they are; the job fails at the first row whose link has another shape."""
+    checked = F.assert_true(F.coalesce(F.col(link).rlike(pattern), F.lit(False)), F.concat(F.lit("malformed permalink: "), F.coalesce(F.col(link), F.lit("null"))))
+    return df.where(checked.isNull())
+
+
+def score_gates(scores: DataFrame, subject: Column, interval: list[str], named: list[str]) -> DataFrame:
+    """What a row of scores must satisfy by itself: ``eligible``, ``pos``, ``neg``, ``n_op``, ``n``, ``score`` and the columns named.
+
+    An eligible score has its interval, an ineligible one names the test that it failed; a score
+    has evidence; opinions are the positive and the negative ones, and no more than what was collected.
+    """
+    lacks = lambda cols: reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+    rules = {
+        "eligible score without interval": F.col("eligible") & lacks(interval),
+        "ineligible score without named test": ~F.col("eligible") & lacks(named),
+        "score without evidence": F.col("score").isNotNull() & (F.coalesce("n_op", F.lit(0)) == 0),
+        "opinions are not positive and negative": ~F.col("n_op").eqNullSafe(F.col("pos") + F.col("neg")),
+        "more opinions than collected": F.col("n_op") > F.col("n"),
+    }
+    found = F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])
+    return scores.select(F.explode(F.array_compact(found)).alias("assertion"), subject.cast("string").alias("subject"), F.lit(1).cast("long").alias("n"))
+
+
+def thin_categories(scores: DataFrame, bridge: DataFrame, category: str, least: int = 5) -> DataFrame:
+    """Categories with eligible scores though fewer than ``least`` communities score for them."""
+    enough = bridge.where("is_scoring").groupBy(category).agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    bad = scores.where("eligible").join(enough, category, "left_anti").groupBy(category).agg(F.count("*").alias("n"))
+    return violation(bad, "ranked in an unrankable category", F.col(category), F.col("n"))
+
+
+def several_labels(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs with more than one label of a version (the version is one of the keys)."""
+    many = labels.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return violation(many, "more than one label", F.concat_ws(":", *[F.col(k).cast("string") for k in keys]), F.col("n"))
+
+
+def misplaced_extremes(scored: DataFrame, category: str, brand: str, least: int = 10, brands: int = 4) -> DataFrame:
+    """Brands whose rate of positives is extreme but whose score stands in the opposite quarter of its category.
+
+    Only categories with ``brands`` scored brands of ``least`` opinions count, and in these only
+    brands with at least the (upper) median of opinions. Ranks are averages over ties, lowest score first.
+    """
+    from .ranking import average_rank
+
+    ev = scored.where((F.col("n_op") >= least) & F.col("score").isNotNull())
+    per = ev.groupBy(category).agg(F.count("*").alias("size"), F.sort_array(F.collect_list("n_op")).alias("all")).where(F.col("size") >= brands)
+    per = per.select(category, "size", F.element_at("all", F.floor(F.col("size") / 2).cast("int") + 1).alias("typical"))
+    ranked = ev.withColumn("place", average_rank([category], "score")).join(per, category).where(F.col("n_op") >= F.col("typical"))
+    rate, edge = F.col("pos") / F.col("n_op"), (F.col("size") + 1) / 4
+    low, high = (rate >= 0.75) & (F.col("place") <= edge), (rate <= 0.25) & (F.col("place") >= F.col("size") + 1 - edge)
+    return ranked.where(low | high).select(category, brand, F.when(low, "bottom").otherwise("top").alias("quarter"), "place")
+
+
+def publishable(blocked: DataFrame, categories: DataFrame, category: str) -> DataFrame:
+    """One row: blocked categories, all categories, and whether the load must be refused as a whole."""
+    b, a = blocked.agg(F.countDistinct(category).alias("blocked")), categories.agg(F.countDistinct(category).alias("categories"))
+    return b.join(a, F.lit(True)).withColumn("refuse", F.col("blocked") > F.greatest(F.lit(3), F.floor(F.col("categories") / 20)))
+
+
+def tri_state(value: Column, warn: float, fail: float, higher_is_worse: bool = True) -> Column:
+    """ok, warn or fail by two thresholds; nothing measured is a failure."""
+    worse = (lambda t: value > t) if higher_is_worse else (lambda t: value < t)
+    return F.when(value.isNull() | worse(fail), "fail").when(worse(warn), "warn").otherwise("ok")
+
+
+def health(measures: DataFrame, limits: dict[str, tuple[float, float, bool]]) -> DataFrame:
+    """One row a check: its value and state. ``measures`` is one row with a column for each check of ``limits``."""
+    rows = [F.struct(F.lit(c).alias("check"), F.col(c).cast("double").alias("value"), tri_state(F.col(c), *limit).alias("state")) for c, limit in limits.items()]
+    return measures.select(F.inline(F.array(*rows)))
+
+
+def misshapen_names(names: DataFrame, key: str, reserved: list[str], pattern: str = r"^[a-z0-9]+(-[a-z0-9]+)*$") -> DataFrame:
+    """Names that are reserved, claimed more than once or of another shape than the pattern's, with each reason."""
+    counted = names.groupBy(key).agg(F.count("*").alias("claims"))
+    reasons = F.array_compact(F.array(F.when(~F.col(key).rlike(pattern), "shape"), F.when(F.col(key).isin(reserved), "reserved"), F.when(F.col("claims") > 1, "duplicate")))
+    return counted.select(key, F.explode(reasons).alias("problem"))
+
+
+def assert_unique_names(names: DataFrame, key: str) -> None:
+    """Raises ValueError naming a few names that are claimed twice."""
+    twice = [r[0] for r in names.groupBy(key).count().where("count > 1").orderBy(key).limit(5).collect()]
+    if twice:
+        raise ValueError(f"names claimed more than once: {twice}")
+
+
+def changed_slugs(old: DataFrame, new: DataFrame, key: str, slug: str, frozen: Column) -> DataFrame:
+    """Rows that were frozen and whose slug is another one or gone."""
+    was = old.where(frozen).select(key, F.col(slug).alias("was"))
+    return was.join(new.select(key, F.col(slug).alias("is")), key, "left").where(~F.col("was").eqNullSafe(F.col("is")))
+
+
+def refused_by_vendor(new: DataFrame, communities: DataFrame, key: str, vendor: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows to write and rows refused because their community is a vendor's own."""
+    own = communities.where(vendor).select(key).distinct()
+    return new.join(own, key, "left_anti"), new.join(own, key, "left_semi")

@@ -66,3 +66,26 @@ def append_only_csv(spark, path: str, new: DataFrame, key: str) -> DataFrame:
     old = spark.read.option("header", True).csv(path)
     seen = old.select(F.lower(key).alias("__k")).distinct()
     return new.withColumn("__k", F.lower(key)).join(seen, "__k", "left_anti").drop("__k")
+
+
+def commit_together(tables: dict[str, DataFrame], root: str, version: str) -> None:
+    """Writes several tables as one version: all are staged first, and a pointer file that is written last makes them count.
+
+    A reader goes by :func:`current_version`, so it sees all of a version's tables or none of them.
+    """
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_current_{version}")
+
+
+def current_version(spark, root: str) -> str | None:
+    """The newest version that is whole (versions are told apart by their names, in order)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/_current_*")) or [])]
+    whole = [p.getName().removeprefix("_current_") for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(whole, default=None)

@@ -109,3 +109,40 @@ def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
 def enough(new_rows: int, least: int = 500) -> bool:
     """Whether so much has come that publishing is due."""
     return new_rows >= least
+
+
+def due(fresh: DataFrame, keys: list[str], least: int = 500) -> DataFrame:
+    """How many fresh rows each key has and whether :func:`enough` have come to publish it."""
+    return fresh.groupBy(*keys).agg(F.count("*").alias("fresh")).withColumn("due", F.col("fresh") >= least)
+
+
+def coverage(oldest: Column, cutoff: Column) -> Column:
+    """A bounded listing is complete if it reaches back to the cutoff; else what it has of the window is approximate."""
+    return F.when(oldest < cutoff, "complete").otherwise("approximate")
+
+
+def resumed(state: DataFrame, mode_col: str, mode: str, reset: list[str]) -> DataFrame:
+    """The state to go on from: where it was kept under another mode the columns in ``reset`` start anew and the rest is kept."""
+    same = F.col(mode_col).eqNullSafe(F.lit(mode))
+    return state.withColumns({**{c: F.when(same, F.col(c)) for c in reset}, mode_col: F.lit(mode)})
+
+
+def commit_policy(rows: int = 500, seconds: int = 30) -> tuple[dict[str, str], dict[str, str]]:
+    """Options of a source and of ``writeStream.trigger`` by which a micro-batch commits after so many rows or so long, whichever is first."""
+    return {"maxRowsPerBatch": str(rows), "maxFilesPerTrigger": "1"}, {"processingTime": f"{seconds} seconds"}
+
+
+def committed(sink: Callable[[DataFrame, int], None], valid: Column, aside: Callable[[DataFrame, int], None], rows: int = 500) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: valid rows go to the sink, at most ``rows`` to a partition of it, and bad ones are set aside, so one bad row holds up no other."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        from ..operators.writes import split_valid
+
+        good, bad = split_valid(batch, valid)
+        n = good.count()
+        if n:
+            sink(good.repartition(-(-n // rows)) if n > rows else good, number)
+        if not bad.isEmpty():
+            aside(bad, number)
+
+    return write

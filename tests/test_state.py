@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from murmurate.operators import ranking, selection, writes
 from murmurate.plans.catalog import QUERIES
 from murmurate.sources import readers, sinks
@@ -107,3 +108,32 @@ def test_neighbours_of_all_parts(spark, tmp_path):
     want = sorted({(p, q) for p, s in rows for q, t in rows if None not in (p, q, s) and s == t and p != q})
     got = QUERIES["c20_neighbours_all"](spark, str(tmp_path)).select("source", "sibling").collect()
     assert max(p for p, _ in want) == 901 and sorted(map(tuple, got)) == want
+
+
+def test_release_helpers(spark, tmp_path):
+    from murmurate.functions import colour
+    from murmurate.operators import gates, qualify, writes
+    from murmurate.streaming import incremental as inc
+
+    names = spark.createDataFrame([("a",), ("b",), ("a",)], "slug string")
+    with pytest.raises(ValueError, match="'a'"):
+        gates.assert_unique_names(names, "slug")
+    gates.assert_unique_names(names.distinct(), "slug")
+    links = spark.createDataFrame([("https://f.example/r/x/comments/1",), (None,)], "link string")
+    with pytest.raises(Exception, match="malformed permalink: null"):
+        gates.assert_links(links, "link", "^https://f").collect()
+    assert writes.current_version(spark, str(tmp_path / "v")) is None
+    for v, n in (("v1", 2), ("v2", 3)):
+        writes.commit_together({"one": spark.range(n), "two": spark.range(2 * n)}, str(tmp_path / "v"), v)
+    spark.range(9).write.parquet(str(tmp_path / "v" / "v3" / "one"))  # a version that was never finished
+    v = writes.current_version(spark, str(tmp_path / "v"))
+    assert v == "v2" and spark.read.parquet(str(tmp_path / "v" / v / "two")).count() == 6
+    good, bad = [], []
+    inc.committed(lambda df, n: good.append((df.rdd.getNumPartitions(), df.count(), n)), F.col("id") > 3, lambda df, n: bad.append(df.count()), rows=4)(spark.range(20), 7)
+    assert good == [(4, 16, 7)] and bad == [4]
+    assert inc.commit_policy(500, 30)[1] == {"processingTime": "30 seconds"}
+    c = spark.createDataFrame([("#000000",), ("#777777",), ("no",), (None,)], "c string")
+    got = [r[0] for r in c.select(F.round(colour.contrast(F.col("c"), F.lit("#ffffff")), 2)).collect()]
+    assert got == [21.0, 4.48, None, None]
+    empty = spark.createDataFrame([], "k long, label string, entity_ok boolean, evidence string")
+    assert [tuple(r) for r in qualify.label_results(spark.range(1).withColumnRenamed("id", "k"), empty, "k", ["x"]).collect()] == [(0, "abstain", None)]
