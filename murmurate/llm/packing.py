@@ -153,6 +153,8 @@ def evolve(sizes: list[int], capacity: int, seed: int, migrants: list[list[int]]
             one.add(items, capacity - sum(sizes[i] for i in items))
         pool.append(one)
     while len(pool) < population:
+        if pool and min(len(p.items) for p in pool) <= least:
+            break  # no packing has fewer bins
         noise = 0 if not pool else capacity / 16
         pool.append(Bins(sizes, capacity).fill(sorted(order, key=lambda i: sizes[i] + rng.random() * noise, reverse=True)))
     pool.sort(key=Bins.fitness, reverse=True)
