@@ -262,10 +262,9 @@ def postings(texts: DataFrame, sets: Sets, rule: Rule, frequent: tuple[np.ndarra
             if kind == 0:
                 lead = x[start[run]]
                 out |= {"leader": lead["d"], "ln": lead["n"].astype(np.int64), "lp": lead["p"].astype(np.int32), "ll": lead["l"].astype(np.int32), "heavy": met >= many}
-                out = pd.DataFrame(out)[met > 1]
+                out = pd.DataFrame(out)[met > 1].assign(led=True)
             else:
                 out = pd.DataFrame(out | {"leader": np.int64(0), "ln": np.int64(0), "lp": np.int32(0), "ll": np.int32(0), "heavy": True, "led": False})
-                out["led"] = True
             parts.append(out)
         return pd.concat(parts)[["token", "node", "n", "p", "l", "c", "leader", "ln", "lp", "ll", "heavy", "led"]]
 
