@@ -85,6 +85,18 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS r(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach AS (SELECT a AS doc_id, a AS r FROM e UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.r = e.a),
+        least_ AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)
+    """,
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
