@@ -421,4 +421,5 @@ def group_links(groups: DataFrame, sets: Sets, rule: Rule) -> DataFrame:
                     out.append((rn[k], ln[h]))
         return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
-    return x.groupBy("leader", "i", "j").applyInPandas(compare, "a long, b long")
+    # Dealt by block: the join above leaves all blocks of a leader in one task.
+    return x.repartition("leader", "i", "j").groupBy("leader", "i", "j").applyInPandas(compare, "a long, b long")
