@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,39 +27,61 @@ BROADCAST_FORMS = 2_000_000
 _RUN = re.compile(r"[a-z0-9]+")
 
 
+def automaton(needles: Iterable[str]) -> ahocorasick.Automaton | None:
+    """Finds all occurrences of all needles in one pass over a text; None without needles."""
+    found = ahocorasick.Automaton()
+    for n in needles:
+        found.add_word(n, n)
+    if not len(found):
+        return None
+    found.make_automaton()
+    return found
+
+
 class Matcher:
     """Finds all forms of a dictionary between word boundaries.
 
     A form that begins and ends with a letter or digit is a run of whole words with what stands
-    between them, so candidates are looked up by hash from each word's start; the few other forms
-    are searched one by one.
+    between them: its first word is looked up at each word of the text and gives the lengths that
+    are worth a second look-up. The few other forms are found by one automaton.
     """
 
     def __init__(self, forms: dict[str, list]):
-        self.plain = {f: v for f, v in forms.items() if f and _RUN.match(f[0]) and _RUN.match(f[-1])}
-        self.odd = {f: v for f, v in forms.items() if f and f not in self.plain}
-        self.longest = max(map(len, self.plain), default=0)
+        self.plain = {f for f in forms if f and _RUN.match(f[0]) and _RUN.match(f[-1])}
+        lengths: dict[str, set[int]] = {}
+        for f in self.plain:
+            lengths.setdefault(_RUN.match(f).group(), set()).add(len(f))
+        self.lengths = {w: tuple(sorted(n)) for w, n in lengths.items()}
+        self.odd = automaton(f for f in forms if f and f not in self.plain)
 
     def hits(self, text: str) -> list[tuple[int, str]]:
         """(position, form) in the order of their ends, shorter first at one end's position."""
-        runs = [m.span() for m in _RUN.finditer(text)]
-        out = []
-        for i, (s, _) in enumerate(runs):
-            for _, e in runs[i:]:
-                if e - s > self.longest:
-                    break
-                if (form := text[s:e]) in self.plain:
+        out, ends = [], lambda e: e == len(text) or (e < len(text) and not _RUN.match(text[e]))
+        for m in _RUN.finditer(text):
+            for n in self.lengths.get(m.group(), ()):
+                s = m.start()
+                if (form := text[s : s + n]) in self.plain and ends(s + n):
                     out.append((s, form))
-        for form in self.odd:
-            at = text.find(form)
-            while at >= 0:
-                end = at + len(form)
-                if not (at and _RUN.match(text[at - 1])) and not (end < len(text) and _RUN.match(text[end])):
-                    out.append((at, form))
-                at = text.find(form, at + 1)
+        for last, form in self.odd.iter(text) if self.odd else ():
+            s = last + 1 - len(form)
+            if not (s and _RUN.match(text[s - 1])) and ends(last + 1):
+                out.append((s, form))
         return sorted(out, key=lambda h: (h[0] + len(h[1]), -h[0]))
 
 
+def near_others(hits: list[tuple], width: int) -> list[bool]:
+    """Whether a safe hit of another brand begins within ``width`` of each (position, form, brand, class, canonical).
+
+    Safe hits in reach are counted by bisection, less those of the own brand.
+    """
+    safe = sorted(h[0] for h in hits if h[3] == "SAFE")
+    own: dict[str, list[int]] = {}
+    for p, b in sorted((h[0], h[2]) for h in hits if h[3] == "SAFE"):
+        own.setdefault(b, []).append(p)
+    within = lambda ps, p: bisect_left(ps, p + width) - bisect_right(ps, p - width)
+    return [within(safe, h[0]) > within(own.get(h[2], ()), h[0]) for h in hits]
+
+
 def usable_forms(aliases: DataFrame, blocked: DataFrame | None = None, english: DataFrame | None = None, generic: list[str] = ()) -> DataFrame:
     """The dictionary after its own rules: disabled and short forms go, blocked (form, brand) pairs go, plain English words are never safe.
 
@@ -102,20 +126,25 @@ def signal_hits(docs: DataFrame, aliases: DataFrame, domains: DataFrame | None =
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms, domain_of, stops_of, nouns_of = tables.value
         matcher, verbs = Matcher(forms), re.compile(VERBS, re.I)
-        by_domain = [(d, b) for b, ds in domain_of.items() for d in ds]
+        owners: dict[str, set] = {}
+        for b, ds in domain_of.items():
+            for d in ds:
+                owners.setdefault(d, set()).add(b)
+        links = automaton(d for d in owners if d)
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             index = []
             for i, (t, head) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 norm, head = normalise_text(t or ""), (head or "").lower()
-                proven = {b for d, b in by_domain if d in norm}
+                proven = {b for _, d in links.iter(norm) for b in owners[d]} if links else set()
                 hits = [(p, f, *b) for p, f in matcher.hits(norm) for b in forms[f]]
+                others = near_others(hits, NEAR_BRAND)
                 for k, (p, f, brand, cls, canon) in enumerate(hits):
                     ns = nouns_of.get(brand, ())
                     near = norm[max(0, p - NOUN_WINDOW) : p + NOUN_WINDOW]
                     around = norm[max(0, p - STOP_WINDOW) : p + STOP_WINDOW]
                     bare = " " not in f and "." not in f
-                    values = [k, p, f, brand, cls, canon, brand in proven, bare and any(s in around for s in stops_of.get(brand, ())), any(o[2] != brand and o[3] == "SAFE" and abs(o[0] - p) < NEAR_BRAND for o in hits), any(x in head for x in ns), any(x in near for x in ns), bool(verbs.search(norm[max(0, p - VERB_WINDOW) : p]))]
+                    values = [k, p, f, brand, cls, canon, brand in proven, bare and any(s in around for s in stops_of.get(brand, ())), others[k], any(x in head for x in ns), any(x in near for x in ns), bool(verbs.search(norm[max(0, p - VERB_WINDOW) : p]))]
                     index.append(i)
                     for col, v in zip(rows[1:], values, strict=True):
                         col.append(v)

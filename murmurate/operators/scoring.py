@@ -104,11 +104,33 @@ def eligibility(n_min: Column | int = stats.N_MIN["thin"]) -> dict[str, Column]:
     return {"eligible": failed.isNull(), "failed_test": failed, "failed_observed": first([t[2] for t in tests]), "failed_required": first([t[3] for t in tests])}
 
 
+def measures(m: DataFrame, s: MentionSchema = MentionSchema()) -> DataFrame:
+    """All counts, distinct parts, largest shares and cluster sums of each (category, brand) from one scan.
+
+    Grouping sets count the rows of every thread, author and community of a key in one shuffle; a second,
+    over these counts, folds them to the key. Rows without a category or brand are left out.
+    """
+    parts, label = [s.thread, s.author, s.community], F.col(s.label)
+    names = ["thread", "author", "community"]
+    rows = m.dropna(subset=s.keys).select(*s.keys, label.alias("__label"), *[F.col(c).alias(f"__{n}") for c, n in zip(parts, names, strict=True)])
+    sets = [[*s.keys, f"__{n}"] for n in names]
+    counts = {"pos": POSITIVE, "neg": NEGATIVE, "neu": NEUTRAL, "abstain": ABSTAIN}
+    per = rows.groupingSets(sets, *s.keys, *[f"__{n}" for n in names]).agg(*[F.count_if(F.col("__label") == v).alias(f"__{k}") for k, v in counts.items()], F.count("*").alias("__n"), *[F.grouping(f"__{n}").alias(f"__g_{n}") for n in names])
+    of = lambda n, c: F.when(F.col(f"__g_{n}") == 0, c)
+    named = lambda n: F.col(f"__{n}").isNotNull() & (F.col(f"__{n}").cast("string") != "")
+    c, p = F.col("__pos") + F.col("__neg"), F.col("__pos")
+    aggs = [F.sum(of("thread", F.col(f"__{k}"))).alias(k) for k in [*counts, "n"]]
+    aggs += [F.count_if(of(n, named(n))).alias(a) for n, a in (("author", "n_authors"), ("community", "n_communities"), ("thread", "n_threads"))]
+    for n in ("thread", "author"):
+        most = F.coalesce(F.max(of(n, F.when(named(n), F.col("__n")))), F.lit(0))
+        aggs += [(most / F.greatest(F.sum(of(n, F.col("__n"))), F.lit(1))).alias(f"max_{n}_share")]
+        aggs += [F.count_if(of(n, c > 0)).alias(f"k_{n}"), F.sum(of(n, c * c)).alias(f"sq_{n}"), F.sum(of(n, F.when(c > 0, p * p / c))).alias(f"between_{n}")]
+    return per.groupBy(*s.keys).agg(*aggs).withColumn("n_op", F.col("pos") + F.col("neg"))
+
+
 def score_table(m: DataFrame, s: MentionSchema = MentionSchema(), n_min: Column | int = stats.N_MIN["thin"]) -> DataFrame:
     """One row per (category, brand) with all measures short of intervals and ranks."""
-    keys = s.keys
-    t = label_counts(m, keys, s).join(diversity(m, keys, s), keys).join(max_share(m, keys, s.thread, "max_thread_share"), keys).join(max_share(m, keys, s.author, "max_author_share"), keys)
-    t = t.join(cluster_sums(m, keys, s.thread, "thread", s), keys, "left").join(cluster_sums(m, keys, s.author, "author", s), keys, "left")
+    t = measures(m, s)
     t = with_design_effect(with_design_effect(t, "thread"), "author")
     t = t.withColumn("deff", F.greatest("deff_thread", "deff_author")).withColumn("n_eff", F.when(F.col("deff") > 0, F.col("n_op") / F.col("deff")).otherwise(F.col("n_op").cast("double")))
     return with_score(with_prior(t.withColumns(eligibility(n_min)), s))
@@ -118,7 +140,7 @@ def intervals(m: DataFrame, scored: DataFrame, s: MentionSchema = MentionSchema(
     """ci_low and ci_high of eligible rows with enough opinions: a cluster bootstrap per key on cluster sums."""
     keys = s.keys
     want = scored.where(F.col("eligible") & (F.col("n_op") >= least)).select(*keys, "alpha0", "beta0")
-    op = m.where(F.col(s.label).isin(POSITIVE, NEGATIVE)).join(F.broadcast(want), keys)
+    op = m.where(F.col(s.label).isin(POSITIVE, NEGATIVE)).join(want, keys)
     per = op.groupBy(*keys, s.thread, "alpha0", "beta0").agg(F.count("*").alias("c"), F.count_if(F.col(s.label) == POSITIVE).alias("p"))
 
     def resample(key, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from murmurate.functions import dates, text
@@ -37,6 +39,22 @@ def test_known_texts(spark):
     assert [sorted(got.get(i, [])) for i in range(len(CASES))] == EXPECTED
 
 
+def test_near_others_counts_what_pairs_show():
+    rng = random.Random(3)
+    for _ in range(50):
+        hits = [(rng.randrange(900), "f", rng.choice("abc"), rng.choice(("SAFE", "HOSTILE")), True) for _ in range(rng.randrange(12))]
+        want = [any(o[2] != h[2] and o[3] == "SAFE" and abs(o[0] - h[0]) < 400 for o in hits) for h in hits]
+        assert rs.near_others(hits, 400) == want
+
+
+def test_domains_prove_inside_any_text(spark):
+    aliases, _ = _tables(spark)
+    domains = spark.createDataFrame([("pipedrive", "pipedrive.com"), ("stripe", "stripe.com")], "brand string, domain string")
+    docs = spark.createDataFrame([(1, "see www.stripe.com/x or stripe"), (2, "stripe and pipedrive.community"), (3, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["brand"], r["rule_fired"]) for r in rs.resolve(docs, aliases, domains=domains).collect()}
+    assert got == {(1, "stripe", "domain_autoaccept"), (2, "stripe", "safe_word_boundary"), (2, "pipedrive", "domain_autoaccept")}
+
+
 def test_stop_context_and_signals(spark):
     a = spark.createDataFrame([("square", "square", "AMBIGUOUS", False, True)], "alias string, brand string, surface_class string, bare_disabled boolean, is_canonical boolean")
     stops = spark.createDataFrame([("square", "town square")], "brand string, stop string")
