@@ -55,7 +55,7 @@ def projected(done: DataFrame, all_rows: DataFrame, bucket: str, value: str) ->
     """Rows of each bucket and the sum of its median, or of the overall median where a bucket has none yet."""
     med = done.groupBy(bucket).agg(F.percentile(value, F.lit(0.5)).alias("__m"))
     overall = all_rows.agg(F.percentile(value, F.lit(0.5)).alias("__g"))
-    j = all_rows.join(F.broadcast(med), bucket, "left").join(F.broadcast(overall), F.lit(True))
+    j = all_rows.join(med, bucket, "left").join(F.broadcast(overall), F.lit(True))
     return j.groupBy(bucket).agg(F.count("*").alias("threads"), F.sum(F.coalesce("__m", "__g")).alias("projected"))
 
 

@@ -71,7 +71,7 @@ def _(spark, d):
 @query("b15_membership", f"WITH {M}, pr AS (SELECT DISTINCT p_brand AS brand, p_type AS category FROM part WHERE p_size % 2 = 0) SELECT m.category, m.brand, count(*) AS n FROM m WHERE EXISTS (SELECT 1 FROM pr WHERE pr.brand = m.brand AND pr.category = m.category) GROUP BY 1, 2")
 def _(spark, d):
     pr = table(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("category")).distinct()
-    return mentions(spark, d).join(F.broadcast(pr), ["brand", "category"], "left_semi").groupBy("category", "brand").agg(F.count("*").alias("n"))
+    return mentions(spark, d).join(pr, ["brand", "category"], "left_semi").groupBy("category", "brand").agg(F.count("*").alias("n"))
 
 
 @query("b16_j07_whole_groups")
@@ -133,7 +133,7 @@ def _(spark, d):
 @query("c07_semi_join", f"WITH {M}, {BRIDGE} SELECT brand, count(*) AS n FROM m WHERE community IN (SELECT community FROM b WHERE category = 'PROMO' AND is_scoring) GROUP BY 1")
 def _(spark, d):
     b = bridge(spark, d).where("category = 'PROMO' AND is_scoring").select("community")
-    return mentions(spark, d).join(F.broadcast(b), "community", "left_semi").groupBy("brand").agg(F.count("*").alias("n"))
+    return mentions(spark, d).join(b, "community", "left_semi").groupBy("brand").agg(F.count("*").alias("n"))
 
 
 VERSIONED = f"""{M}, v AS (SELECT DISTINCT doc_id, brand, 'v1' AS version, label, CAST('2001-01-01' AS DATE) AS scored_at FROM m
@@ -338,7 +338,7 @@ def _(spark, d):
 def _(spark, d):
     b = bridge(spark, d)
     c = b.groupBy("category").agg(F.count("*").alias("covered"))
-    g = b.join(F.broadcast(c), "category").groupBy("community").agg(F.min("covered").alias("least_cov"), F.sum("rate").alias("total"))
+    g = b.join(c, "category").groupBy("community").agg(F.min("covered").alias("least_cov"), F.sum("rate").alias("total"))
     return g.select("community", "least_cov", F.row_number().over(W.orderBy("least_cov", F.desc("total"), "community")).cast("long").alias("place"))
 
 

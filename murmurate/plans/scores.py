@@ -292,7 +292,7 @@ def _(spark, d):
 def _(spark, d):
     b = bridge(spark, d).where("is_scoring").select(F.col("category").alias("scored_in"), "community")
     per = mentions(spark, d).groupBy("community", "brand").agg(F.count("*").alias("c"))
-    return per.join(F.broadcast(b), "community").groupBy(F.col("scored_in").alias("category"), "brand").agg(F.sum("c").alias("n"))
+    return per.join(b, "community").groupBy(F.col("scored_in").alias("category"), "brand").agg(F.sum("c").alias("n"))
 
 
 @query("l16_calibration_pairs", f"""WITH {SCORED}, ev AS (SELECT category, brand, pos / n_op AS rate, n_op, score FROM scored WHERE n_op >= 10)
@@ -329,7 +329,7 @@ def _(spark, d):
     SELECT b.category, b.community, round(hits / n * rate, 6) AS bb_per_hour, round(CASE WHEN hits = 0 THEN 3.0 / n ELSE hits / n END, 6) AS ub95 FROM b JOIN s USING (community)""")
 def _(spark, d):
     s = mentions(spark, d).groupBy("community").agg(F.count_if(F.col("label").isin(1, 2)).alias("hits"), F.count("*").alias("n"))
-    j = bridge(spark, d).join(F.broadcast(s), "community")
+    j = bridge(spark, d).join(s, "community")
     return _r(j.select("category", "community", (F.col("hits") / F.col("n") * F.col("rate")).alias("bb_per_hour"), ag.rule_of_three(F.col("hits"), F.col("n")).alias("ub95")), "bb_per_hour", "ub95")
 
 
@@ -346,7 +346,7 @@ def _(spark, d):
     SELECT category, community, round((0.45 * re + 0.35 * rb + CASE WHEN region = 0 THEN 0.2 ELSE 0 END) * CASE WHEN is_scoring THEN 1 ELSE 0.55 END, 6) AS core FROM r""")
 def _(spark, d):
     s = mentions(spark, d).groupBy("community").agg(F.count("*").alias("n"))
-    x = bridge(spark, d).join(F.broadcast(s), "community")
+    x = bridge(spark, d).join(s, "community")
     return _r(rk.core_score(x, "category", "n", "rate", F.col("region") == 0, F.col("is_scoring")).select("category", "community", "core"), "core")
 
 

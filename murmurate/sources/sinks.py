@@ -33,7 +33,7 @@ def published_mentions(mentions: DataFrame, labels: DataFrame, brands: DataFrame
     """Mentions of published brands with the label of one model version, without internal columns."""
     live = brands.where("status = 'published'").select("brand")
     lab = labels.where(F.col("version") == version).select("doc_id", "brand", "label")
-    return mentions.drop(*hidden).join(F.broadcast(live), "brand", "left_semi").join(lab, ["doc_id", "brand"], "left")
+    return mentions.drop(*hidden).join(live, "brand", "left_semi").join(lab, ["doc_id", "brand"], "left")
 
 
 def sitemap(pages: DataFrame, base: str) -> DataFrame:

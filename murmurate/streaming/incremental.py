@@ -23,7 +23,7 @@ def advance_watermarks(state: DataFrame, seen: DataFrame, reads: DataFrame, scop
 
 def newer_than(rows: DataFrame, state: DataFrame, scope: str, ts: str) -> DataFrame:
     """Rows beyond their scope's watermark; scopes without one give all."""
-    j = rows.join(F.broadcast(state.select(scope, F.col("watermark").alias("__w"))), scope, "left")
+    j = rows.join(state.select(scope, F.col("watermark").alias("__w")), scope, "left")
     return j.where(F.col("__w").isNull() | (F.col(ts) > F.col("__w"))).drop("__w")
 
 
