@@ -25,6 +25,18 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_per_group(df, keys, order, 1)
 
 
+def neighbours(links: DataFrame, node: str, via: str, most: int = 15) -> DataFrame:
+    """``source`` and ``sibling``: for each node its first ``most`` others (in order) with which it shares a ``via``.
+
+    Null nodes and null vias link nothing. Exact without all pairs of a via: a sibling among a
+    source's first is, but for the source itself, among the first of the via that they share.
+    """
+    e = links.select(F.col(node).alias("source"), F.col(via).alias("via")).dropna().distinct()
+    first = top_per_group(e.select(F.col("source").alias("sibling"), "via"), ["via"], [F.col("sibling")], most + 1)
+    pairs = e.join(first, "via").where("source <> sibling").select("source", "sibling").distinct()
+    return top_per_group(pairs, ["source"], [F.col("sibling")], most)
+
+
 def average_rank(partition: list[str], value: str) -> Column:
     """1-based ranks in which equal values share the mean of their places."""
     tied = F.count("*").over(W.partitionBy(*partition, value))

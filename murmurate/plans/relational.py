@@ -187,19 +187,11 @@ def _(spark, d):
     return t.join(o, "w").where("p_name <> other").groupBy(F.col("p_name").alias("a")).agg(F.min("other").alias("b"))
 
 
-@query("c20_neighbours", "WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_partkey < 200) SELECT DISTINCT x.p AS source, y.p AS sibling FROM e x JOIN e y ON x.s = y.s AND x.p <> y.p WHERE x.p < 20")
+@query("c20_neighbours", "WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), x AS (SELECT DISTINCT a.p AS source, b.p AS sibling FROM e a JOIN e b ON a.s = b.s AND a.p <> b.p), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sibling) AS rn FROM x) SELECT source, sibling, p_type AS category FROM r JOIN part ON source = p_partkey WHERE rn <= 15")
 def _(spark, d):
-    e = table(spark, d, "lineitem").where("l_partkey < 200").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
-    return e.where("p < 20").join(e.select(F.col("p").alias("sibling"), "s"), "s").where("p <> sibling").select(F.col("p").alias("source"), "sibling").distinct()
-
-
-@query("c20_neighbours_all")
-def _(spark, d):
-    """All parts with all parts that share a supplier with them: c20_neighbours without its key ranges. The result grows with the square of a supplier's parts."""
-    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
-    pairs = e.join(e.select(F.col("p").alias("q"), "s"), "s").where("p < q").select("p", "q").distinct()
-    both = F.array(F.struct(F.col("p").alias("source"), F.col("q").alias("sibling")), F.struct(F.col("q").alias("source"), F.col("p").alias("sibling")))
-    return pairs.select(F.inline(both))
+    """Each part's first 15 parts that share a supplier with it; they inherit its category."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("source"), F.col("p_type").alias("category"))
+    return rk.neighbours(table(spark, d, "lineitem"), "l_partkey", "l_suppkey").join(part, "source").select("source", "sibling", "category")
 
 
 @query("c21_query_grid", "SELECT category, q FROM (SELECT category, q, row_number() OVER (PARTITION BY category ORDER BY q) AS rn FROM (SELECT DISTINCT p_type AS category, lower(t.t || ' ' || p_name) AS q FROM part, (VALUES ('best'), ('worst')) t(t))) WHERE rn <= 20")

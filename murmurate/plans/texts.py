@@ -22,7 +22,7 @@ def aliases(spark, d):
     return a.withColumns({"surface_class": F.lit("SAFE"), "is_canonical": F.lit(True), "bare_disabled": F.lit(False)})
 
 
-MATCHED = f"""{ALIASES}, nd AS (SELECT doc_id, regexp_replace(lower(regexp_replace(text, '''s\\b', '', 'g')), '\\s+', ' ', 'g') AS t FROM documents WHERE NOT contains(text, '`') AND NOT contains(text, '>')),
+MATCHED = f"""{ALIASES}, nd AS (SELECT doc_id, regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '```(?:.|\\n)*?```|`[^`]+`', ' ', 'g'), '(?m)^>.*$', ' ', 'g'), '''s\\b', '', 'g')), '\\s+', ' ', 'g') AS t FROM documents),
     hit AS (SELECT DISTINCT doc_id, brand, alias FROM nd, fo WHERE contains(t, alias) AND regexp_matches(t, '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)'))"""
 
 

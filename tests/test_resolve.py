@@ -4,7 +4,7 @@ import pytest
 
 from murmurate.functions import dates, text
 from murmurate.operators import resolve as rs
-from murmurate.plans.catalog import QUERIES
+from murmurate.plans.catalog import ORACLE_SQL, QUERIES
 from murmurate.sources import readers
 from pyspark.sql import functions as F
 
@@ -110,3 +110,8 @@ def test_documents_with_markup_have_their_hits(spark, tmp_path, name):
     spark.createDataFrame([(1, "acme widget is good"), (2, "Nova tool too")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = [r.asDict() for r in QUERIES[name](spark, str(tmp_path)).collect()]
     assert sorted((r["doc_id"], r.get("brand")) for r in got) == [(i, (f"brand-{1 + (i == 5)}" if "brand" in got[0] else None)) for i in (1, 2, 3, 5, 6)]
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cols = [c for c in got[0] if c != "conf"]
+    assert sorted(tuple(r[c] for c in cols) for r in got) == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE_SQL[name]})").fetchall())

@@ -102,12 +102,15 @@ def test_published_mentions_hide_internal_columns(spark):
     assert set(got.columns) == {"doc_id", "brand", "label"} and [tuple(r) for r in got.select("doc_id", "label").collect()] == [(1, 2)]
 
 
-def test_neighbours_of_all_parts(spark, tmp_path):
-    rows = [(i % 7 * 50, i % 5) for i in range(0, 60, 3)] + [(900, 77), (901, 77), (902, 78), (None, 77), (903, None), (904, None)]
+def test_neighbours_are_the_first_of_all(spark, tmp_path):
+    rows = [(i % 7 * 50, i % 5) for i in range(0, 60, 3)] + [(1000 - i, 33) for i in range(40)] + [(900, 77), (901, 77), (902, 78), (None, 77), (903, None), (904, None)]
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
-    want = sorted({(p, q) for p, s in rows for q, t in rows if None not in (p, q, s) and s == t and p != q})
-    got = QUERIES["c20_neighbours_all"](spark, str(tmp_path)).select("source", "sibling").collect()
-    assert max(p for p, _ in want) == 901 and sorted(map(tuple, got)) == want
+    parts = sorted({p for p, _ in rows if p is not None})
+    spark.createDataFrame([(p, f"type {p % 3}") for p in parts], "p_partkey long, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    siblings = {p: sorted({q for q, t in rows for o, s in rows if o == p and None not in (q, s) and s == t and q != p}) for p in parts}
+    want = sorted((p, q, f"type {p % 3}") for p in parts for q in siblings[p][:15])
+    got = QUERIES["c20_neighbours"](spark, str(tmp_path)).select("source", "sibling", "category").collect()
+    assert max(map(len, siblings.values())) > 30 and sorted(map(tuple, got)) == want
 
 
 def test_release_helpers(spark, tmp_path):
