@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.staging import staged
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, place: str | None = None) -> DataFrame:
     """The first k rows of each group; the limit is pushed below the shuffle as a group limit."""
@@ -20,6 +22,29 @@ def quota_per_type(df: DataFrame, keys: list[str], kind: str, quota: dict[int, i
     return top_per_group(df, [*keys, kind], order, most, "place").where(F.col("place") <= allowed)
 
 
+def global_position(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Rows with their 1-based place in a total order of the whole table, without a single-task sort.
+
+    Rows are range-partitioned by the order, sorted in their partition and written to the shared
+    folder with their number there; a partition's first place is the sum of the counts before it
+    (one row a partition reaches the driver). Rows that are equal in ``order`` share a partition and
+    are numbered as they lie, so give an order that tells rows apart.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbered = staged(dealt.withColumn("__at", F.monotonically_increasing_id()), "positions")
+    own = F.shiftright("__at", 33).cast("int")
+    counts = {r["p"]: r["n"] for r in numbered.groupBy(own.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, at = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append((p, at))
+        at += counts.get(p, 0)
+    begin = F.broadcast(spark.createDataFrame(before, "__p int, __begin long"))
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn("__p", own).join(begin, "__p").withColumn(name, F.col("__begin") + within + 1).drop("__p", "__begin", "__at")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key: the first in the given order."""
     return top_per_group(df, keys, order, 1)
