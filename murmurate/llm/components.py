@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_staged, stage
+from .shared import drop_staged, hot_join, stage
 
 
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
@@ -43,3 +43,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def with_component_ids(meta: DataFrame, comp: DataFrame) -> DataFrame:
+    """``meta`` (``doc_id``, ``node`` and more) with ``component_id``: the smallest ``doc_id`` of the node's component.
+
+    ``comp`` has ``node`` and ``comp`` of the nodes that are linked with another. Rows without a node have
+    a null ``component_id``, and so have components of null ids. ``meta`` and ``comp`` are read several times.
+    """
+    total = meta.count()
+    nodes = meta.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    named = nodes.join(comp, "node").groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    # A component may be most of the input, but not most of its distinct nodes' rows in one key: see hot_join.
+    far = hot_join(comp, named.withColumnRenamed("comp", "key").select("key", "component_id", "size").withColumnRenamed("key", "comp"), "comp", "size", total).select("node", "component_id")
+    nodes = stage(nodes.join(far, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), "rows"), "named")
+    return hot_join(meta, nodes, "node", "rows", total)

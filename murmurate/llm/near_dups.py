@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin as sj
-from .components import components
+from .components import components, with_component_ids
 from .exact_dedup import BROADCAST_ROWS
-from .shared import drop_staged, hot_join, stage, unused
+from .shared import drop_staged, stage, unused
 from .text import chunks, set_hash, shingles, words
 
 
@@ -85,14 +85,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets, rule = shingle_sets(k), sj.Rule(percent, region)
     meta = stage(document_nodes(docs, sets, id_col, text_col), "meta")
     comp = stage(node_components(docs.select(F.col(text_col).alias("text")), sets, rule), "components")
-    total = meta.count()
-    nodes = meta.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    tied = nodes.join(comp, "node")
-    named = tied.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
-    # A component may be most of the input, but not most of its distinct sets' rows in one key: see hot_join.
-    far = hot_join(comp, named.withColumnRenamed("comp", "key").select("key", "component_id", "size").withColumnRenamed("key", "comp"), "comp", "size", total).select("node", "component_id")
-    nodes = stage(nodes.join(far, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), "rows"), "named")
-    out = hot_join(meta, nodes, "node", "rows", total)
+    out = with_component_ids(meta, comp)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

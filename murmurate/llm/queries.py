@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, language_model, quality
+from . import conversations, language_id, language_model, quality, vector_codes
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .fixity import fixity_report, warc_record
 from .line_dedup import line_dedup
 from .near_dups import near_duplicates
 from .packing import pack
+from .simhash import simhash_duplicates
 from .token_counts import token_counts
 
 
@@ -71,6 +72,41 @@ def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity_report(primary, replica, "page_id", "record")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null and empty texts have fingerprint zero."""
+    return simhash_duplicates(_t(spark, sf_dir, "documents"), k=3, radius=3)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of finite components, in four parts of 256 entries after four rounds."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    books = vector_codes.train(vectors)
+    coded = vector_codes.with_label_error(vector_codes.encode(vectors, books))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def damaged_conversations(conversations: DataFrame) -> DataFrame:
+    """The conversations with a twentieth of the rows lost, emptied, stripped of ends, repeated and given to the user each."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    sum_ = F.pmod(F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")), F.lit(20))
+    x = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), sum_.alias("sum")).where("sum <> 0")
+    role = F.when(F.col("sum") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("sum") == 1, "").when(F.col("sum") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("sum") == 3, 2).otherwise(1)))
+    return x.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage, those that lost every row included."""
+    original = _t(spark, sf_dir, "conversations")
+    found = conversations.report(conversations.repair(damaged_conversations(original))).withColumnRenamed("conv_id", "c")
+    ids = original.select("conv_id").distinct()
+    x = ids.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return x.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -82,6 +118,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_merkle_fixity": op10_merkle_fixity,
+    "op11_simhash": op11_simhash,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -155,4 +194,87 @@ ORACLE_SQL = {
                CASE WHEN s % 103 = 7 THEN 'missing' WHEN s % 101 = 5 THEN 'corrupt' ELSE 'ok' END AS status
         FROM leaf JOIN rng USING (range_id) JOIN crc USING (page_id)
     """,
+    "op12_vector_codes": r"""
+        WITH k AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, len(embedding) // 4 AS w
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS MATERIALIZED (SELECT vec_id, part, e[part * w + 1:(part + 1) * w] AS p FROM k, unnest(range(4)) AS t(part)),
+        c0 AS MATERIALIZED (SELECT part, entry, p FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 256) USING (vec_id)),
+"""
+    + "".join(
+        f"""
+        a{r} AS MATERIALIZED (
+            SELECT v.vec_id, v.part, min(256 * list_sum(list_transform(list_zip(v.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + c.entry) AS d
+            FROM v JOIN c{r} c ON v.part = c.part GROUP BY ALL),"""
+        + (
+            f"""
+        m{r} AS (
+            SELECT part, entry, list(x ORDER BY i) AS p FROM (
+                SELECT a.part, a.d % 256 AS entry, i, CAST(floor(sum(v.p[i]) / count(*)) AS BIGINT) AS x
+                FROM a{r} a JOIN v USING (vec_id, part), unnest(range(1, len(v.p) + 1)) AS t(i) GROUP BY ALL) GROUP BY ALL),
+        c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.p, c.p) AS p FROM c{r} c LEFT JOIN m{r} m USING (part, entry)),"""
+            if r < 4
+            else ""
+        )
+        for r in range(5)
+    )
+    + r"""
+        f AS (SELECT vec_id, string_agg(printf('%02x', d % 256), '' ORDER BY part) AS code, CAST(sum(d // 256) AS BIGINT) AS error FROM a4 GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(p, ','), ',' ORDER BY part, entry)) FROM c4) AS codebooks_sha256
+        FROM f JOIN k USING (vec_id)
+    """,
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE
+        crc_table AS (
+            WITH RECURSIVE t(i, k, c) AS (
+                SELECT i, 0, CAST(i AS BIGINT) FROM range(256) AS x(i)
+                UNION ALL
+                SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8)
+            SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+        damage AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t,
+                   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                   lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) % 20 AS d
+            FROM conversations, crc_table),
+        y AS (
+            SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE r END AS r, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS t
+            FROM damage, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS u(j) WHERE d <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS i FROM y),
+        f AS MATERIALIZED (
+            SELECT conv_id, turn, r, t, i, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+                   CASE WHEN NOT regexp_matches(t, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, r, t ORDER BY i) > 1 THEN 'duplicate'
+                        WHEN NOT regexp_matches(t, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+            FROM o),
+        step(s, c, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        clo(s, t, c, a) AS (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+        ed AS MATERIALIZED (
+            SELECT conv_id, i, s, s AS t, 4 AS c, 'D' AS a FROM f, unnest(range(4)) AS u(s)
+            UNION ALL SELECT conv_id, i, s, step.t, CASE WHEN left(r, 1) = step.c THEN 0 ELSE 3 END + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, CASE WHEN left(r, 1) = step.c THEN 'K' ELSE 'R' END
+            FROM f, step WHERE fault NOT IN ('blank', 'duplicate') AND (step.c <> 's' OR left(r, 1) = 's')),
+        dp AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, '000000000' AS k FROM f
+            UNION ALL
+            SELECT dp.conv_id, ed.i, ed.t, min(lpad(CAST(CAST(left(k, 9) AS INTEGER) + clo.c + ed.c AS VARCHAR), 9, '0') || substr(k, 10) || clo.a || ed.a)
+            FROM dp JOIN clo ON clo.s = dp.s JOIN ed ON ed.conv_id IS NOT DISTINCT FROM dp.conv_id AND ed.i = dp.i + 1 AND ed.s = clo.t GROUP BY ALL),
+        n AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(r, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM f GROUP BY conv_id),
+        best AS (
+            SELECT n.conv_id, min(lpad(CAST(CAST(left(k, 9) AS INTEGER) + clo.c AS VARCHAR), 9, '0') || substr(k, 10) || clo.a) AS k
+            FROM n JOIN dp ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i JOIN clo ON clo.s = dp.s AND clo.t IN (0, 3) GROUP BY n.conv_id),
+        letters AS (
+            SELECT conv_id, j, substr(k, 9 + j, 1) AS a, length(replace(substr(k, 10), 'D', '')) % 2 AS sys
+            FROM best, unnest(range(1, length(k) - 8)) AS u(j)),
+        places AS (
+            SELECT *, count(*) FILTER (a <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count(*) FILTER (a <> 'D') OVER (PARTITION BY conv_id ORDER BY j) - 1 AS q FROM letters),
+        said AS (
+            SELECT p.conv_id, string_agg(CASE WHEN a = 'K' THEN r ELSE CASE WHEN (q - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN a = 'I' THEN '' ELSE t END, chr(10) ORDER BY j) AS told
+            FROM places p LEFT JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.i = f.i WHERE a <> 'D' GROUP BY p.conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(left(best.k, 9), '0') AS BIGINT) AS cost, coalesce(substr(best.k, 10), '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON o.conv_id IS NOT DISTINCT FROM n.conv_id
+        LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN said ON o.conv_id IS NOT DISTINCT FROM said.conv_id
+    """,
 }

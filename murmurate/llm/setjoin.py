@@ -150,7 +150,8 @@ def bounded(frequent: DataFrame, limit: int = FREQUENT_LIMIT) -> tuple[np.ndarra
                 least = df + 1
                 break
             held += n
-        frequent = frequent.where(F.col("df") >= least).limit(limit)
+            least = df
+        frequent = frequent.where(F.col("df") >= least)
     got = frequent.toPandas()
     t = got["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(t)
@@ -233,7 +234,8 @@ def postings(texts: DataFrame, sets: Sets, rule: Rule, frequent: tuple[np.ndarra
                     x = np.empty(len(head), _POST)
                     x["t"], x["d"], x["n"], x["p"], x["l"], x["c"] = head, node, len(s), np.minimum(np.arange(1, len(head) + 1), 65535), l, typical
                     k = int(often.argmax()) if often.any() else len(head)
-                    light.append(x[:k])
+                    if k:
+                        light.append(x[:k])
                     if k < len(head):
                         heavy.append(x[k:])
                     size += len(head)

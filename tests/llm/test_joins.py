@@ -208,3 +208,19 @@ def test_keys_of_similar_lines_meet():
     linked = [(i, i + 1) for i in range(0, len(sets), 2) if rule.similar(len(np.intersect1d(sets[i], sets[i + 1])), len(sets[i]), len(sets[i + 1])) and set(sets[i]) != set(sets[i + 1])]
     assert len(linked) > 20 and {1, 2, 3} == set(n.tolist())
     assert all(of(i) & of(j) for i, j in linked)
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_a_task_of_short_texts_only(spark, k, percent):
+    rows = [(i, t) for i, t in enumerate(["x y z", "x y z", "a", "b c", "b c", "q r s t", "", None] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(map(tuple, near_dups.near_duplicates(df, k=k, percent=percent).collect()), key=str)
+    assert got == _near(rows, k, percent)
+    kept = near_dups.keep_one(df.where("doc_id < 3")).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in kept] == [0, 2]
+
+
+def test_the_table_of_frequent_tokens_keeps_the_most_frequent(spark):
+    n = 70_000
+    tokens, df = setjoin.bounded(spark.range(n).select(F.col("id").alias("token"), (F.col("id") + 8).alias("df")), limit=100)
+    assert sorted(df.tolist()) == list(range(n - 92, n + 8)) and (tokens[:-1] < tokens[1:]).all()
