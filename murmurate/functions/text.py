@@ -175,5 +175,5 @@ def batch_id(ids: Column) -> Column:
 
 
 def json_root_text(c: Column) -> Column:
-    """The text of a JSON value: a string without its quotes, a number or a boolean as it stands; JSON null is null."""
-    return F.get_json_object(c, "$")
+    """The text of a JSON value: a string without its quotes, a number or a boolean as it stands; JSON null is null (the string "null" is not)."""
+    return F.when(F.trim(c) != "null", F.get_json_object(c, "$"))

@@ -200,10 +200,10 @@ def _(spark, d):
     return qualify.valid_batches(o, o.where("item % 11 <> 0").unionByName(o.where("item % 500 = 1").select("batch", (-F.col("item")).alias("item"))), "batch", "item")
 
 
-@query("h32_root_text", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN CAST(event_id AS VARCHAR) WHEN event_id % 4 = 2 THEN 'true' END AS root FROM events""")
+@query("h32_root_text", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type WHEN event_id % 5 = 1 THEN CAST(event_id AS VARCHAR) WHEN event_id % 5 = 2 THEN 'true' WHEN event_id % 5 = 4 THEN 'null' END AS root FROM events""")
 def _(spark, d):
-    k = F.col("event_id") % 4
-    e = table(spark, d, "events").withColumn("j", F.when(k == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(k == 1, F.col("event_id").cast("string")).when(k == 2, "true").otherwise("null"))
+    k = F.col("event_id") % 5
+    e = table(spark, d, "events").withColumn("j", F.when(k == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(k == 1, F.col("event_id").cast("string")).when(k == 2, "true").when(k == 3, " null").otherwise('"null"'))
     return e.select("event_id", tx.json_root_text(F.col("j")).alias("root"))
 
 

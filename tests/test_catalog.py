@@ -23,13 +23,21 @@ def con():
 
 
 def _plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return "null"
+    """A value as (kind, text): null, booleans, numbers and texts are never equal to each other."""
+    if v is None:
+        return ("", "")
     if isinstance(v, bool):
-        return str(v)
+        return ("bool", str(v))
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
-        return f"{float(v):.5f}"
-    return str(v)
+        return ("number", "nan" if math.isnan(v) else f"{float(v):.5f}")
+    if isinstance(v, (list, tuple)):
+        return ("list", str([_plain(x) for x in v]))
+    return (type(v).__name__, str(v))
+
+
+@pytest.mark.parametrize(("one", "other"), [(None, "null"), (None, "nan"), (None, ""), (True, "True"), (True, 1), (1, "1.00000"), (float("nan"), None)])
+def test_the_comparison_tells_kinds_apart(one, other):
+    assert _plain(one) != _plain(other) and _plain(one) == _plain(one)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
