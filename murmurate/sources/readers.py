@@ -1,4 +1,4 @@
-"""Sources: text tables, JSON payloads, cached label files, comment trees and paginated listings."""
+"""Sources: text tables, JSON payloads, cached label files and comment trees."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def csv_table(spark: SparkSession, path: str, booleans: tuple[str, ...] = (), numbers: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> DataFrame:
@@ -79,48 +77,3 @@ def flatten_comments(trees: DataFrame, key: str, tree: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "order", "id", "link_id", "author", "score", "depth", "body", "more"]).astype({"score": "Int64", "depth": "Int64"})
 
     return trees.select(key, tree).mapInPandas(walk, f"{key} {kind}, order int, {_COMMENT}, more long")
-
-
-class ListingPages(DataSource):
-    """A paginated listing kept as JSON pages in a folder: follows ``after`` from page to page.
-
-    Options: path, first (name of the first page), max_pages, until (stop at items not newer).
-    Columns: id, created, title, complete (the walk ended by itself or at ``until``).
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "listing_pages"
-
-    def schema(self) -> str:
-        return "id string, created long, title string, complete boolean"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _ListingReader(dict(self.options))
-
-
-class _ListingReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(x) for x in str(self.options.get("first", "page0")).split(",")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        page, left, rows, complete = partition.value, int(self.options.get("max_pages", 100)), [], False
-        until = int(self.options.get("until", -1))
-        while page and left:
-            left -= 1
-            try:
-                with open(f"{self.options['path']}/{page}.json") as f:
-                    data = json.load(f)
-            except (OSError, ValueError):
-                break
-            items = data.get("items", [])
-            rows += [(i["id"], int(i["created"]), i.get("title")) for i in items if int(i["created"]) > until]
-            page = data.get("after")
-            if not page or any(int(i["created"]) <= until for i in items):
-                complete = True
-                break
-        for r in rows:
-            yield (*r, complete)

@@ -128,8 +128,11 @@ def resumed(state: DataFrame, mode_col: str, mode: str, reset: list[str]) -> Dat
 
 
 def commit_policy(rows: int = 500, seconds: int = 30) -> tuple[dict[str, str], dict[str, str]]:
-    """Options of a source and of ``writeStream.trigger`` by which a micro-batch commits after so many rows or so long, whichever is first."""
-    return {"maxRowsPerBatch": str(rows), "maxFilesPerTrigger": "1"}, {"processingTime": f"{seconds} seconds"}
+    """Options of the ``listing_pages`` source and of ``writeStream.trigger``: a micro-batch starts at least every so many seconds and admits at most so many rows.
+
+    For sources that can't bound rows, :func:`.commits.row_commits` cuts a micro-batch into commits of so many rows.
+    """
+    return {"max_rows": str(rows)}, {"processingTime": f"{seconds} seconds"}
 
 
 def committed(sink: Callable[[DataFrame, int], None], valid: Column, aside: Callable[[DataFrame, int], None], rows: int = 500) -> Callable[[DataFrame, int], None]:

@@ -62,15 +62,6 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(out).select("id").collect()) == [1, 2, 3]
 
 
-def test_paginated_listing(spark, tmp_path):
-    for i in range(3):
-        (tmp_path / f"page{i}.json").write_text(json.dumps({"items": [{"id": f"i{i}{j}", "created": 100 - 10 * i - j, "title": None} for j in range(3)], "after": f"page{i + 1}" if i < 2 else None}))
-    spark.dataSource.register(readers.ListingPages)
-    read = lambda **o: spark.read.format("listing_pages").options(path=str(tmp_path), **o).load().collect()
-    assert len(read()) == 9 and all(r["complete"] for r in read())
-    assert len(read(until=89)) == 4 and len(read(max_pages=2)) == 6 and not any(r["complete"] for r in read(max_pages=2))
-
-
 def test_csv_keeps_columns_and_caches_merge(spark, tmp_path):
     df = spark.createDataFrame([("a", "True", "x; y;")], "k string, b string, l string")
     sinks.preserving_csv(df, str(tmp_path / "c"), ["k", "b"])
