@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, release, scores, streams, texts  # noqa: F401
+from . import loads, relational, release, scores, streams, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
