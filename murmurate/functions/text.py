@@ -44,6 +44,23 @@ def normalised_ascii(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"['’]s\b", ""), r"\s+", " ")
 
 
+#: Characters that NFKC leaves alone and whose case folding is lower case (but for the sharp s).
+_SETTLED = r"À-ÖØ-öø-ÿ‘’“”–—А-яЁё\u4E00-\u9FFF"
+
+
+def normalised_column(c: Column, source: Column | None = None) -> Column:
+    """:func:`normalise_text` as an expression: in the JVM for texts of settled characters, by Python for the others only.
+
+    ``source`` is a column whose characters include those of ``c``; it tells which way to go (``c`` itself if unset).
+    """
+    seen = c if source is None else source
+    # The few characters beyond ASCII are looked at alone: a class of many ranges is slow.
+    settled = (F.length(seen) == F.octet_length(seen)) | ~F.regexp_replace(seen, r"[\x00-\x7F]+", "").rlike(f"[^{_SETTLED}]")
+    folded = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    inside = F.regexp_replace(F.regexp_replace(folded, r"(?U)['’]s\b", ""), r"[\s\x0B\x1C-\x1F]+", " ")
+    return F.when(settled, inside).otherwise(normalised(F.when(~settled, c)))
+
+
 def slugify(name: Column, domains: Column | None = None) -> Column:
     """A slug of the name's Latin letters and digits, else of the first domain that gives one; null if neither does."""
     def kebab(c: Column) -> Column:

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Iterator
-
-import ahocorasick
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import normalise_text
+from ..sources.staging import staged
 
 # Fixed values of the decision rules.
 MIN_FORM = 3
@@ -21,65 +15,13 @@ VERBS = r"\b(use|using|used|switch(?:ed)? to|migrat(?:e|ed|ing) to|mov(?:e|ed|in
 CONFIDENCE = {"domain": 0.98, "SAFE": 0.95, "AMBIGUOUS": 0.85, "HOSTILE": 0.78}
 SIGNALS_NEEDED = {"AMBIGUOUS": 1, "HOSTILE": 2}
 
-#: The dictionary travels as a broadcast; beyond this many forms use ngram_hits, which joins.
-BROADCAST_FORMS = 2_000_000
-
-_RUN = re.compile(r"[a-z0-9]+")
-
-
-def automaton(needles: Iterable[str]) -> ahocorasick.Automaton | None:
-    """Finds all occurrences of all needles in one pass over a text; None without needles."""
-    found = ahocorasick.Automaton()
-    for n in needles:
-        found.add_word(n, n)
-    if not len(found):
-        return None
-    found.make_automaton()
-    return found
-
-
-class Matcher:
-    """Finds all forms of a dictionary between word boundaries.
-
-    A form that begins and ends with a letter or digit is a run of whole words with what stands
-    between them: its first word is looked up at each word of the text and gives the lengths that
-    are worth a second look-up. The few other forms are found by one automaton.
-    """
-
-    def __init__(self, forms: dict[str, list]):
-        self.plain = {f for f in forms if f and _RUN.match(f[0]) and _RUN.match(f[-1])}
-        lengths: dict[str, set[int]] = {}
-        for f in self.plain:
-            lengths.setdefault(_RUN.match(f).group(), set()).add(len(f))
-        self.lengths = {w: tuple(sorted(n)) for w, n in lengths.items()}
-        self.odd = automaton(f for f in forms if f and f not in self.plain)
-
-    def hits(self, text: str) -> list[tuple[int, str]]:
-        """(position, form) in the order of their ends, shorter first at one end's position."""
-        out, ends = [], lambda e: e == len(text) or (e < len(text) and not _RUN.match(text[e]))
-        for m in _RUN.finditer(text):
-            for n in self.lengths.get(m.group(), ()):
-                s = m.start()
-                if (form := text[s : s + n]) in self.plain and ends(s + n):
-                    out.append((s, form))
-        for last, form in self.odd.iter(text) if self.odd else ():
-            s = last + 1 - len(form)
-            if not (s and _RUN.match(text[s - 1])) and ends(last + 1):
-                out.append((s, form))
-        return sorted(out, key=lambda h: (h[0] + len(h[1]), -h[0]))
-
-
-def near_others(hits: list[tuple], width: int) -> list[bool]:
-    """Whether a safe hit of another brand begins within ``width`` of each (position, form, brand, class, canonical).
-
-    Safe hits in reach are counted by bisection, less those of the own brand.
-    """
-    safe = sorted(h[0] for h in hits if h[3] == "SAFE")
-    own: dict[str, list[int]] = {}
-    for p, b in sorted((h[0], h[2]) for h in hits if h[3] == "SAFE"):
-        own.setdefault(b, []).append(p)
-    within = lambda ps, p: bisect_left(ps, p + width) - bisect_right(ps, p - width)
-    return [within(safe, h[0]) > within(own.get(h[2], ()), h[0]) for h in hits]
+#: Two neighbouring words and what stands between them, at each word but the last; what stands around a dot.
+PAIRS = r"(?<![a-z0-9])(?=([a-z0-9]+[^a-z0-9]+[a-z0-9]+))"
+DOTS = r"(?s)(?=(.\..))"
+#: Characters in which forms are sought at once, and what is seen beyond them (besides the longest form).
+CHUNK, CHUNK_MARGIN = 4096, 160
+#: So many texts with something met are told to all executors (ids and forms, no texts); more are joined by a shuffle.
+BROADCAST_TEXTS = 200_000
 
 
 def usable_forms(aliases: DataFrame, blocked: DataFrame | None = None, english: DataFrame | None = None, generic: list[str] = ()) -> DataFrame:
@@ -111,51 +53,115 @@ def proving_domains(domains: DataFrame) -> DataFrame:
     return d.join(once, "domain").where(owns_domain(F.col("domain"), F.col("brand")))
 
 
+def _form_keys(form: Column) -> Column:
+    """What a text that holds the form must hold: its longest two neighbouring words, its word, or a character of a form without words."""
+    longest = lambda pattern: F.array_max(F.transform(F.regexp_extract_all(form, F.lit(pattern), F.lit(1)), lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
+    return F.coalesce(longest(PAIRS), longest("([a-z0-9]+)"), F.concat(F.lit("\0"), F.array_max(F.split(form, ""))))
+
+
+def _text_keys(norm: Column, words: bool, pairs: bool, others: bool) -> Column:
+    """The words, neighbouring words and other characters of a text, as far as the dictionary has such keys."""
+    parts = [F.array_distinct(F.regexp_extract_all(norm, F.lit("([a-z0-9]+)"), F.lit(1)))] if words else []
+    parts += [F.regexp_extract_all(norm, F.lit(PAIRS), F.lit(1))] if pairs else []
+    if others:
+        parts.append(F.transform(F.array_distinct(F.split(F.regexp_replace(norm, "[a-z0-9 ]+", ""), "")), lambda c: F.concat(F.lit("\0"), c)))
+    return F.concat(*parts) if parts else F.array().cast("array<string>")
+
+
+def _places(text: Column, form: Column) -> Column:
+    """0-based places of a form in a text where no letter or digit stands before or after it, overlaps included."""
+    there = F.concat(F.lit("(?<![a-z0-9])(?=\\Q"), form, F.lit("\\E(?![a-z0-9]))"))
+    lengths = F.transform(F.split(text, there), F.length)
+    first = text.startswith(form) & ~F.substring(text, F.length(form) + 1, F.lit(1)).rlike("[a-z0-9]")
+    later = F.transform(F.slice(lengths, 1, F.size(lengths) - 1), lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda n, x: n + x))
+    return F.concat(F.when(first, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), later)
+
+
+def _lists(df: DataFrame | None, spark, name: str) -> DataFrame:
+    """One list a brand."""
+    if df is None:
+        return spark.createDataFrame([], f"brand string, {name} array<string>")
+    b, v = df.columns[:2] if "brand" not in df.columns else ("brand", next(c for c in df.columns if c != "brand"))
+    return df.where(F.col(v) != "").groupBy(F.col(b).alias("brand")).agg(F.collect_set(v).alias(name))
+
+
 def signal_hits(docs: DataFrame, aliases: DataFrame, domains: DataFrame | None = None, stops: DataFrame | None = None, nouns: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
-    """Every hit with its signals: doc_id, seq, pos, alias, brand, cls, canonical, domain, stopped, and near_brand, noun_title, noun_near, verb."""
-    if (n := aliases.count()) > BROADCAST_FORMS:
-        raise ValueError(f"{n} forms are more than a broadcast should hold; use ngram_hits")
-    forms: dict[str, list] = {}
-    for r in aliases.select("alias", "brand", "surface_class", "is_canonical").orderBy("alias", "brand").collect():
-        forms.setdefault(r["alias"], []).append((r["brand"], r["surface_class"], bool(r["is_canonical"])))
-    table = lambda df, k, v: {} if df is None else {r[0]: list(r[1]) for r in df.groupBy(k).agg(F.collect_set(v)).collect()}
-    tables = docs.sparkSession.sparkContext.broadcast((forms, table(domains, "brand", "domain"), table(stops, "brand", "stop"), table(nouns, "brand", "noun")))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    names = ["doc_id", "seq", "pos", "alias", "brand", "cls", "canonical", "domain", "stopped", "near_brand", "noun_title", "noun_near", "verb"]
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms, domain_of, stops_of, nouns_of = tables.value
-        matcher, verbs = Matcher(forms), re.compile(VERBS, re.I)
-        owners: dict[str, set] = {}
-        for b, ds in domain_of.items():
-            for d in ds:
-                owners.setdefault(d, set()).add(b)
-        links = automaton(d for d in owners if d)
-        for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            index = []
-            for i, (t, head) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                norm, head = normalise_text(t or ""), (head or "").lower()
-                proven = {b for _, d in links.iter(norm) for b in owners[d]} if links else set()
-                hits = [(p, f, *b) for p, f in matcher.hits(norm) for b in forms[f]]
-                others = near_others(hits, NEAR_BRAND)
-                for k, (p, f, brand, cls, canon) in enumerate(hits):
-                    ns = nouns_of.get(brand, ())
-                    near = norm[max(0, p - NOUN_WINDOW) : p + NOUN_WINDOW]
-                    around = norm[max(0, p - STOP_WINDOW) : p + STOP_WINDOW]
-                    bare = " " not in f and "." not in f
-                    values = [k, p, f, brand, cls, canon, brand in proven, bare and any(s in around for s in stops_of.get(brand, ())), others[k], any(x in head for x in ns), any(x in near for x in ns), bool(verbs.search(norm[max(0, p - VERB_WINDOW) : p]))]
-                    index.append(i)
-                    for col, v in zip(rows[1:], values, strict=True):
-                        col.append(v)
-            types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), *[pa.bool_()] * 7]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *[pa.array(c, t) for c, t in zip(rows[1:], types, strict=True)]], names=names)
-
-    head = F.col(title) if title else F.lit(None).cast("string")
-    shape = f"doc_id {kind}, seq int, pos int, alias string, brand string, cls string, canonical boolean, domain boolean, stopped boolean, near_brand boolean, noun_title boolean, noun_near boolean, verb boolean"
-    from ..functions.text import strip_markup
-
-    return docs.select(F.col(doc_id).alias("doc_id"), strip_markup(F.col(text)).alias("text"), head.alias("title")).mapInArrow(match, shape)
+    """Every hit with its signals: doc_id, seq, pos, alias, brand, cls, canonical, domain, stopped, and near_brand, noun_title, noun_near, verb.
+
+    A text meets only the forms and domains with which it shares a key (an equi-join of narrow
+    rows); its text comes in where something was met, is cut into overlapping chunks, and there the
+    forms' places are found. Domains count anywhere in a text (also inside words); their keys are the
+    characters around dots. Tables other than the dictionary are looked up by brand. ``seq`` orders the
+    hits of a text by their ends, then the shorter, then the brand. Rows that repeat an id,
+    text and title give their hits once. Null texts have none.
+    """
+    from ..functions.text import normalised_column, strip_markup
+
+    spark = docs.sparkSession
+    head = F.lower(title) if title else F.lit("")
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(head, F.lit("")).alias("title")).where("text IS NOT NULL")
+
+    def normal(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", normalised_column(strip_markup(F.col("text")), F.col("text")).alias("norm"), "title").withColumn("h", F.xxhash64("norm", "title"))
+
+    # A table that lies in fewer partitions than there are cores is dealt over them.
+    cores = spark.sparkContext.defaultParallelism
+    dealt = (lambda df: df.repartition(cores)) if read.rdd.getNumPartitions() < cores else (lambda df: df)
+    base = normal(dealt(read))
+    forms = aliases.select("alias", "brand", F.col("surface_class").alias("cls"), F.coalesce("is_canonical", F.lit(False)).alias("canonical"))
+    keyed = forms.select("alias").distinct().withColumn("key", _form_keys(F.col("alias")))
+    other, pair = F.col("key").startswith("\0"), F.col("key").rlike("[a-z0-9][^a-z0-9]+[a-z0-9]")
+    kinds = keyed.agg(F.count_if(~other & ~pair), F.count_if(pair), F.count_if(other)).first()
+    met = base.select("doc_id", "h", F.explode_outer(_text_keys(F.col("norm"), *map(bool, kinds))).alias("key")).join(keyed, "key")
+    met = met.select("doc_id", "h", "alias", F.lit(None).cast("struct<domain: string, brand: string>").alias("link"))
+    if domains is not None:
+        links = domains.select("brand", F.lower("domain").alias("domain")).distinct().withColumn("key", F.regexp_extract("domain", DOTS, 1))
+        dots = base.select("doc_id", "h", F.explode_outer(F.array_distinct(F.regexp_extract_all("norm", F.lit(DOTS), F.lit(1)))).alias("key"))
+        met = met.unionByName(dots.join(links, "key").select("doc_id", "h", F.lit(None).cast("string").alias("alias"), F.struct("domain", "brand").alias("link")))
+    # Sets of the dictionary's matches with one text.
+    met = met.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_set("alias").alias("aliases"), F.collect_set("link").alias("links")).where(F.size("aliases") > 0)
+    met = staged(met, "met")
+    same = F.col("doc_id").eqNullSafe(F.col("d"))
+    if met.count() <= BROADCAST_TEXTS:
+        found = normal(dealt(read.join(F.broadcast(met.select("d").distinct()), same, "left_semi")))
+        x = found.join(F.broadcast(met), same & (F.col("h") == F.col("k")))
+    else:
+        x = base.join(met.hint("shuffle_hash"), same & (F.col("h") == F.col("k")))
+    proven = F.array_distinct(F.transform(F.filter("links", lambda y: F.col("norm").contains(y["domain"])), lambda y: y["brand"]))
+    margin = CHUNK_MARGIN + F.array_max(F.transform("aliases", F.length))
+    x = x.select("doc_id", "h", "title", "norm", "aliases", proven.alias("proven"), margin.alias("margin"), F.explode_outer(F.expr(f"sequence(0, CAST((length(norm) - 1) / {CHUNK} AS int))")).alias("c"))
+    begin = F.greatest(F.col("c") * CHUNK - F.col("margin"), F.lit(0))
+    x = x.withColumn("begin", begin).withColumn("chunk", F.substring("norm", F.col("begin") + 1, F.col("c") * CHUNK + CHUNK + F.col("margin") - F.col("begin")))
+    x = x.select("doc_id", "h", "title", "proven", "c", "begin", "chunk", F.explode_outer(F.filter("aliases", lambda a: F.col("chunk").contains(a))).alias("alias"))
+    x = x.withColumn("at", F.explode_outer(_places(F.col("chunk"), F.col("alias")))).withColumn("pos", F.col("begin") + F.col("at"))
+    x = x.where(F.floor(F.col("pos") / CHUNK) == F.col("c"))
+
+    def around(width: int, after: int) -> Column:
+        left = F.greatest(F.col("at") - width, F.lit(0))
+        return F.substring("chunk", left + 1, F.col("at") + after - left)
+
+    x = x.select("doc_id", "h", "title", "proven", "alias", F.col("pos").cast("int").alias("pos"), around(STOP_WINDOW, STOP_WINDOW).alias("near_stop"), around(NOUN_WINDOW, NOUN_WINDOW).alias("near_noun"), around(VERB_WINDOW, 0).alias("ahead"))
+    # Rows of one id, text and title have the same hits.
+    x = x.dropDuplicates(["doc_id", "h", "alias", "pos"])
+    x = x.join(forms, "alias").join(_lists(stops, spark, "stops"), "brand", "left").join(_lists(nouns, spark, "nouns"), "brand", "left")
+    within = lambda keys: F.sum((F.col("cls") == "SAFE").cast("int")).over(W.partitionBy("doc_id", "h", *keys).orderBy("pos").rangeBetween(1 - NEAR_BRAND, NEAR_BRAND - 1))
+    some = lambda values, where: F.coalesce(F.exists(values, lambda v: where.contains(v)), F.lit(False))
+    bare = ~F.col("alias").contains(" ") & ~F.col("alias").contains(".")
+    return x.select(
+        "doc_id",
+        F.struct((F.col("pos") + F.length("alias")).alias("end"), (-F.col("pos")).alias("shorter"), "brand", "h").alias("seq"),
+        "pos",
+        "alias",
+        "brand",
+        "cls",
+        "canonical",
+        F.array_contains("proven", F.col("brand")).alias("domain"),
+        (bare & some("stops", F.col("near_stop"))).alias("stopped"),
+        (within([]) > within(["brand"])).alias("near_brand"),
+        some("nouns", F.col("title")).alias("noun_title"),
+        some("nouns", F.col("near_noun")).alias("noun_near"),
+        F.col("ahead").rlike("(?i)" + VERBS).alias("verb"),
+    )
 
 
 def decide(hits: DataFrame) -> DataFrame:

@@ -48,13 +48,45 @@ def _(spark, d):
     return rs.has_alias(table(spark, d, "documents"), rs.usable_forms(aliases(spark, d))).select("doc_id")
 
 
-@query("j02_resolve_rules")
+VERB_PATTERN = rs.VERBS.replace("'", "''")
+#: Forms of three classes, with domains, nouns and stop contexts that come from the dictionary itself; SQL finds hits by scanning.
+RULES = f"""{MATCHED}, cl AS (SELECT alias, brand, CAST(regexp_extract(brand, '[0-9]+') AS BIGINT) AS n, ['SAFE', 'AMBIGUOUS', 'HOSTILE'][CAST(regexp_extract(brand, '[0-9]+') AS BIGINT) % 3 + 1] AS cls FROM fo),
+    own AS (SELECT *, split_part(alias, ' ', 1) AS noun, CASE WHEN n % 5 = 0 THEN alias || ' t' END AS stop, CASE WHEN n % 7 = 3 THEN right(split_part(alias, ' ', 1), 1) || '. ' || left(split_part(alias, ' ', 2), 1) END AS dom FROM cl),
+    bare AS (SELECT split_part(alias, ' ', 2) AS alias, brand, n, cls, noun, split_part(alias, ' ', 2) || ' ' || left(noun, 1) AS stop, dom, false AS canonical FROM own WHERE length(split_part(alias, ' ', 2)) >= 3 AND n % 4 = 1),
+    forms AS (SELECT alias, brand, cls, noun, stop, dom, true AS canonical FROM own UNION ALL SELECT alias, brand, cls, noun, stop, dom, canonical FROM bare),
+    stops AS (SELECT DISTINCT brand, stop FROM forms WHERE stop IS NOT NULL),
+    src AS (SELECT DISTINCT nd.doc_id, replace(nd.t, 'ß', 'ss') AS t, lower(coalesce(source, '')) AS title FROM nd JOIN documents USING (doc_id)),
+    raw AS (
+        SELECT doc_id, t, title, i - 1 AS pos, p.alias, brand, cls, noun, dom, canonical
+        FROM (SELECT doc_id, t, title, f.* FROM src JOIN forms f ON contains(t, alias)) p, unnest(range(1, length(t) - length(p.alias) + 2)) AS u(i)
+        WHERE substr(t, i, length(p.alias)) = p.alias AND NOT regexp_matches(substr(t, i - 1, CASE WHEN i = 1 THEN 0 ELSE 1 END), '[a-z0-9]') AND NOT regexp_matches(substr(t, i + length(p.alias), 1), '[a-z0-9]')),
+    sig AS (
+        SELECT r.*, coalesce(contains(t, dom), false) AS domain,
+               NOT contains(r.alias, ' ') AND EXISTS (SELECT 1 FROM stops s WHERE s.brand = r.brand AND contains(substr(t, greatest(pos - 80, 0) + 1, pos + 80 - greatest(pos - 80, 0)), s.stop)) AS stopped,
+               CAST(count(*) FILTER (cls = 'SAFE') OVER (PARTITION BY doc_id, t, title ORDER BY pos RANGE BETWEEN 399 PRECEDING AND 399 FOLLOWING)
+                    > count(*) FILTER (cls = 'SAFE') OVER (PARTITION BY doc_id, t, title, brand ORDER BY pos RANGE BETWEEN 399 PRECEDING AND 399 FOLLOWING) AS INTEGER)
+               + CAST(contains(title, noun) AS INTEGER) + CAST(contains(substr(t, greatest(pos - 120, 0) + 1, pos + 120 - greatest(pos - 120, 0)), noun) AS INTEGER)
+               + CAST(regexp_matches(substr(t, greatest(pos - 40, 0) + 1, pos - greatest(pos - 40, 0)), '(?i){VERB_PATTERN}') AS INTEGER) AS signals
+        FROM raw r),
+    one AS (SELECT * FROM sig QUALIFY row_number() OVER (PARTITION BY doc_id, brand, pos ORDER BY pos + length(alias), -pos, brand) = 1),
+    ruled AS (
+        SELECT *, CASE WHEN domain THEN 'domain_autoaccept' WHEN stopped THEN NULL WHEN cls = 'SAFE' THEN 'safe_word_boundary' WHEN cls = 'AMBIGUOUS' AND signals >= 1 THEN 'ambiguous_corroborated_' || signals WHEN cls = 'HOSTILE' AND signals >= 2 THEN 'hostile_corroborated_' || signals END AS rule_fired,
+               CASE WHEN domain THEN 0.98 WHEN cls = 'SAFE' THEN 0.95 WHEN cls = 'AMBIGUOUS' THEN 0.85 ELSE 0.78 END AS conf FROM one),
+    won AS (SELECT * FROM ruled WHERE rule_fired IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, pos, alias ORDER BY canonical DESC, conf DESC, pos + length(alias), -pos, brand) = 1)"""
+
+
+@query("j02_resolve_rules", f"WITH {RULES} SELECT doc_id, brand, alias, pos, conf, rule_fired FROM won QUALIFY row_number() OVER (PARTITION BY doc_id, brand ORDER BY conf DESC, pos + length(alias), -pos, brand) = 1")
 def _(spark, d):
-    """Ambiguous and hostile forms over conversations, with nouns and stop contexts from the texts themselves."""
-    a = aliases(spark, d).withColumn("surface_class", F.element_at(F.array(*map(F.lit, ("SAFE", "AMBIGUOUS", "HOSTILE"))), (F.pmod(F.crc32(F.col("alias").cast("binary")), F.lit(3)) + 1).cast("int")))
-    nouns = a.select("brand", F.split("alias", " ")[0].alias("noun"))
-    stops = a.where(F.pmod(F.crc32(F.col("brand").cast("binary")), F.lit(5)) == 0).select("brand", F.concat(F.col("alias"), F.lit(" the")).alias("stop"))
-    return rs.resolve(table(spark, d, "documents"), rs.usable_forms(a), nouns=nouns, stops=stops)
+    """All classes over all documents: whole forms and their bare second words, with domains, stop contexts, nouns and the source as the title."""
+    n = F.regexp_extract("brand", "[0-9]+", 0).cast("long")
+    w = F.split("alias", " ")
+    own = aliases(spark, d).withColumns({"surface_class": F.element_at(F.array(*map(F.lit, ("SAFE", "AMBIGUOUS", "HOSTILE"))), (n % 3 + 1).cast("int")), "noun": w[0], "second": w[1], "n": n})
+    bare = own.where((F.length("second") >= 3) & (F.col("n") % 4 == 1)).withColumns({"alias": F.col("second"), "is_canonical": F.lit(False)})
+    stops = own.where("n % 5 = 0").select("brand", F.concat("alias", F.lit(" t")).alias("stop")).unionByName(bare.select("brand", F.concat("second", F.lit(" "), F.left("noun", F.lit(1))).alias("stop")))
+    links = own.where("n % 7 = 3").select("brand", F.concat(F.right("noun", F.lit(1)), F.lit(". "), F.left("second", F.lit(1))).alias("domain"))
+    cols = ["alias", "brand", "surface_class", "is_canonical", "bare_disabled"]
+    forms = rs.usable_forms(own.select(*cols).unionByName(bare.select(*cols)))
+    return rs.resolve(table(spark, d, "documents"), forms, domains=links, nouns=own.select("brand", "noun"), stops=stops, title="source")
 
 
 @query("h_strip_markup", r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '```(?:.|\n)*?```|`[^`]+`', ' ', 'g'), '(?m)^>.*$', ' ', 'g') AS clean FROM conversations")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -39,12 +40,46 @@ def test_known_texts(spark):
     assert [sorted(got.get(i, [])) for i in range(len(CASES))] == EXPECTED
 
 
-def test_near_others_counts_what_pairs_show():
-    rng = random.Random(3)
-    for _ in range(50):
-        hits = [(rng.randrange(900), "f", rng.choice("abc"), rng.choice(("SAFE", "HOSTILE")), True) for _ in range(rng.randrange(12))]
-        want = [any(o[2] != h[2] and o[3] == "SAFE" and abs(o[0] - h[0]) < 400 for o in hits) for h in hits]
-        assert rs.near_others(hits, 400) == want
+def _brute(text_, title, aliases, domains, stops, nouns):
+    """Hits and signals by scans of one text."""
+    norm = text.normalise_text(text_)
+    word = lambda c: c.isascii() and c.isalnum()
+    hits = [(i, f, b, cls) for f, b, cls in aliases for i in range(len(norm)) if norm.startswith(f, i) and not (i and word(norm[i - 1])) and not (i + len(f) < len(norm) and word(norm[i + len(f)]))]
+    out = set()
+    for i, f, b, cls in hits:
+        near = any(o[2] != b and o[3] == "SAFE" and abs(o[0] - i) < 400 for o in hits)
+        stop = " " not in f and "." not in f and any(x in norm[max(0, i - 80) : i + 80] for x in stops.get(b, ()))
+        out.add((i, f, b, any(d in norm for d in domains.get(b, ())), stop, near, any(n in title.lower() for n in nouns.get(b, ())), any(n in norm[max(0, i - 120) : i + 120] for n in nouns.get(b, ())), bool(re.search(rs.VERBS, norm[max(0, i - 40) : i], re.I))))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "chunk"), [(1, 4096), (2, 50), (3, 7)])
+def test_hits_and_signals_match_scans(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(rs, "CHUNK", chunk)
+    rng = random.Random(seed)
+    forms = ["acme", "acme crm", "aa aa", ".net", "c++", "été", "ééé", "x-y z", "zz", "straße"]
+    aliases = [(text.normalise_text(f), f"b{rng.randrange(5)}", rng.choice(("SAFE", "AMBIGUOUS", "HOSTILE"))) for f in forms for _ in range(2)]
+    aliases = list(dict.fromkeys(aliases))
+    domains = {"b0": ["acme.com"], "b1": ["t.co", "zz.io"]}
+    stops, nouns = {"b2": ["good day", "zz zz"], "b3": ["z"]}, {"b0": ["shop"], "b4": ["é", "tool"]}
+    words = [*forms, "aa", "Acme's", "ACME", "myacme.company", "zz.io", "we use", "deployed", "shop", "good day", "\u2163", "ﬁne", "x", "y" * 90, "\U0001f600", "-", "STRASSE", "\x1c", "it's\u00e9"]
+    docs = [(i, "".join(rng.choice(words) + rng.choice((" ", " ", "\n", "", ", ")) for _ in range(rng.randrange(60))), rng.choice(("Shop", "the Tool", ""))) for i in range(25)] + [(99, None, "shop"), (100, "", "")]
+    want = {(i, *h) for i, t, title in docs if t is not None for h in _brute(text_=strip(t), title=title, aliases=aliases, domains=domains, stops=stops, nouns=nouns)}
+    frame = lambda d, v: spark.createDataFrame([(b, x) for b, xs in d.items() for x in xs], f"brand string, {v} string")
+    al = spark.createDataFrame([(*a, True) for a in aliases], "alias string, brand string, surface_class string, is_canonical boolean")
+    got = rs.signal_hits(spark.createDataFrame(docs, "doc_id long, text string, head string"), al, frame(domains, "domain"), frame(stops, "stop"), frame(nouns, "noun"), title="head")
+    cols = ["doc_id", "pos", "alias", "brand", "domain", "stopped", "near_brand", "noun_title", "noun_near", "verb"]
+    assert {tuple(r) for r in got.select(*cols).collect()} == want and len(want) > 100
+
+
+def strip(t):
+    return re.sub(r"(?m)^>.*$", " ", re.sub(r"```[\s\S]*?```|`[^`]+`", " ", t))
+
+
+def test_normalising_in_the_jvm_is_the_same(spark):
+    rows = ["Plain’s Text\t\x1fx", "Straße ẞ", "İstanbul", "Café's \u00a0 ok", "ПРИВЕТ Ёж", "\u6f22\u5b57's", "e\u0301", "K\u212a", None, "", "it'sé a's"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(text.normalised_column(F.col("t"))).collect()]
+    assert got == [None if t is None else text.normalise_text(t) for t in rows]
 
 
 def test_domains_prove_inside_any_text(spark):
@@ -64,13 +99,6 @@ def test_stop_context_and_signals(spark):
     assert got == {2: "ambiguous_corroborated_1", 4: "ambiguous_corroborated_1"}
 
 
-def test_matcher_finds_what_a_scan_finds():
-    forms = {f: [f] for f in ("a b", "b", ".net", "c++", "ab", "b c d")}
-    text_ = "a b c d .net c++ab x.net abc b"
-    brute = sorted((i, f) for f in forms for i in range(len(text_)) if text_.startswith(f, i) and not (i and text_[i - 1].isalnum()) and not (i + len(f) < len(text_) and text_[i + len(f)].isalnum()))
-    assert sorted(rs.Matcher(forms).hits(text_)) == brute
-
-
 def test_shared_domains_prove_nothing(spark):
     d = spark.createDataFrame([("word", "office.com"), ("excel", "office.com"), ("notion", "getnotion.io"), ("fooocus", "github.com"), ("tesco", "tesco.co.uk")], "brand string, domain string")
     assert {r["brand"] for r in rs.proving_domains(d).collect()} == {"notion", "tesco"}
