@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -105,6 +106,45 @@ def design_effect(n: Column, sq: Column, rho: Column) -> Column:
     return F.when(n > 0, 1 + (sq / n - 1) * rho).otherwise(1.0)
 
 
+@functools.lru_cache(64)
+def poisson_cdf(power: int) -> tuple[int, np.ndarray]:
+    """Cumulative probabilities of a Poisson variable of mean 2^power, from the first count that matters, and that count."""
+    mean = 2.0**power
+    wide = int(12 * math.sqrt(mean)) + 30
+    first = max(0, int(mean) - wide)
+    n = np.arange(first, int(mean) + wide + 1, dtype=float)
+    log_p = np.concatenate([[first * math.log(mean) - mean - math.lgamma(first + 1)], math.log(mean) - np.log(n[1:])]).cumsum()
+    return first, np.exp(log_p).cumsum()
+
+
+def hashed_uniform(seed: np.ndarray, rounds: int) -> np.ndarray:
+    """For each seed (32 bits) a uniform number in (0, 1) a round: an integer hash of the seed and the round's multiple of a golden step."""
+    mask = np.uint64(0xFFFFFFFF)
+    x = (seed.astype(np.uint64)[:, None] + np.arange(rounds, dtype=np.uint64) * np.uint64(0x9E3779B9)) & mask
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None)):
+        x ^= x >> np.uint64(shift)
+        if factor:
+            x = (x * np.uint64(factor)) & mask
+    return (x + 0.5) / 4294967296.0
+
+
+def poisson_weights(seed: np.ndarray, power: np.ndarray, rounds: int = BOOTSTRAP_ROUNDS) -> np.ndarray:
+    """One row a (seed, power): in each round how often 2^power equal clusters are drawn in sum, by the inverse of the distribution."""
+    out = np.empty((len(seed), rounds), np.int64)
+    for p in np.unique(power).tolist():
+        own = power == p
+        first, cdf = poisson_cdf(p)
+        out[own] = first + np.searchsorted(cdf, hashed_uniform(seed[own], rounds))
+    return out
+
+
+def weighted_interval(size: np.ndarray, good: np.ndarray, alpha: float, beta: float, level: float = INTERVAL_LEVEL) -> tuple[float, float]:
+    """Interval of the posterior mean from each round's resampled opinions and positive ones."""
+    means = np.where(size < 2, 0.5, (good + alpha) / (size + alpha + beta))
+    lo, hi = np.percentile(means, [50 * (1 - level), 50 * (1 + level)])
+    return round(float(lo), 4), round(float(hi), 4)
+
+
 def bootstrap_interval(n: np.ndarray, pos: np.ndarray, alpha: float, beta: float, rounds: int = BOOTSTRAP_ROUNDS, level: float = INTERVAL_LEVEL, seed: int = 42) -> tuple[float | None, float | None]:
     """Interval of the posterior mean over resamples of whole clusters, from cluster sums; under 3 clusters none."""
     k = len(n)

@@ -22,27 +22,33 @@ def quota_per_type(df: DataFrame, keys: list[str], kind: str, quota: dict[int, i
     return top_per_group(df, [*keys, kind], order, most, "place").where(F.col("place") <= allowed)
 
 
-def global_position(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+def global_position(df: DataFrame, order: list[Column], name: str = "place", sums: dict[str, Column] | None = None) -> DataFrame:
     """Rows with their 1-based place in a total order of the whole table, without a single-task sort.
 
     Rows are range-partitioned by the order, sorted in their partition and written to the shared
     folder with their number there; a partition's first place is the sum of the counts before it
     (one row a partition reaches the driver). Rows that are equal in ``order`` share a partition and
-    are numbered as they lie, so give an order that tells rows apart.
+    are numbered as they lie, so give an order that tells rows apart. ``sums`` names whole-number
+    expressions whose running totals, the row's own included, are added in the same way.
     """
-    spark = df.sparkSession
+    spark, sums = df.sparkSession, sums or {}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    numbered = staged(dealt.withColumn("__at", F.monotonically_increasing_id()), "positions")
-    own = F.shiftright("__at", 33).cast("int")
-    counts = {r["p"]: r["n"] for r in numbered.groupBy(own.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, at = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append((p, at))
-        at += counts.get(p, 0)
-    begin = F.broadcast(spark.createDataFrame(before, "__p int, __begin long"))
+    numbered = staged(dealt.withColumns({**{f"__x_{k}": c.cast("long") for k, c in sums.items()}, "__at": F.monotonically_increasing_id()}), "positions")
+    numbered = numbered.withColumn("__p", F.shiftright("__at", 33).cast("int"))
+    totals = numbered.groupBy("__p").agg(F.count("*").alias("n"), *[F.sum(f"__x_{k}").alias(k) for k in sums]).orderBy("__p").collect()
+    before, so_far = [], [0] * (1 + len(sums))
+    for r in totals:
+        before.append((r["__p"], *so_far))
+        so_far = [x + (y or 0) for x, y in zip(so_far, r[1:], strict=True)]
+    fields = ["__begin", *[f"__begin_{k}" for k in sums]]
+    begin = F.broadcast(spark.createDataFrame(before, "__p int, " + ", ".join(f"{f} long" for f in fields)))
     within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn("__p", own).join(begin, "__p").withColumn(name, F.col("__begin") + within + 1).drop("__p", "__begin", "__at")
+    out = numbered.join(begin, "__p").withColumn(name, F.col("__begin") + within + 1)
+    if sums:
+        w = W.partitionBy("__p").orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
+        out = out.withColumns({k: F.coalesce(F.sum(f"__x_{k}").over(w), F.lit(0)) + F.col(f"__begin_{k}") for k in sums})
+    return out.drop("__p", "__at", *fields, *[f"__x_{k}" for k in sums])
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -97,13 +103,61 @@ def rank_gaps(df: DataFrame, scope: str, stored: str) -> DataFrame:
     return df.withColumn("expected", expected).where(F.col(stored) != F.col("expected"))
 
 
+def interval_tie_ranges(df: DataFrame, scope: str, name: str, lo: str, hi: str) -> DataFrame:
+    """How many others of its scope overlap each interval, by one sweep over the sorted ends: ``scope``, ``name``, ``below``, ``reach``, ``n_tied``.
+
+    In the order of upper ends the first ``below`` end before the interval begins; in the order of
+    lower ends the first ``reach`` begin no later than it ends. What is in reach and not below, but
+    for the interval itself, ties with it. Linear in the intervals however many overlap, and no
+    scope lies in one task. Names tell the rows of a scope apart; intervals with a null end or an
+    upper end below the lower one tie with nothing and are left out.
+    """
+    x = df.where(F.col(lo) <= F.col(hi)).select(F.col(scope).alias("__s"), F.col(name).alias("__n"), F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))
+    ends = F.explode(F.array(F.struct(F.col("__lo").alias("v"), F.lit(0).alias("k")), F.struct(F.col("__hi").alias("v"), F.lit(1).alias("k"))))
+    points = x.select("__s", "__n", ends.alias("e")).select("__s", "__n", "e.v", "e.k")
+    run = global_position(points, [F.col(c) for c in ("__s", "v", "k", "__n")], "__place", {"__lows": F.col("k") == 0, "__highs": F.col("k") == 1})
+    # Every interval before the scope has both its ends there.
+    begin = run.groupBy("__s").agg(((F.min("__place") - 1) / 2).cast("long").alias("__begin"))
+    both = run.groupBy("__s", "__n").agg(F.max(F.when(F.col("k") == 0, F.col("__highs"))).alias("__highs"), F.max(F.when(F.col("k") == 1, F.col("__lows"))).alias("__lows"))
+    out = both.join(begin.withColumnRenamed("__s", "__b"), F.col("__s").eqNullSafe(F.col("__b")))
+    below, reach = F.col("__highs") - F.col("__begin"), F.col("__lows") - F.col("__begin")
+    return out.select(F.col("__s").alias(scope), F.col("__n").alias(name), below.alias("below"), reach.alias("reach"), (reach - below - 1).alias("n_tied"))
+
+
 def interval_ties(df: DataFrame, scope: str, name: str, lo: str, hi: str) -> DataFrame:
-    """For each row the others of its scope whose intervals overlap its own, as a sorted list."""
+    """For each row the others of its scope whose intervals overlap its own, as a sorted list.
+
+    The lists are as long as the overlaps are many; :func:`interval_tie_ranges` counts them without making them.
+    """
     o = df.select(F.col(scope).alias("__s"), F.col(name).alias("__n"), F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))
     j = df.join(o, (F.col(scope) == F.col("__s")) & (F.col(name) != F.col("__n")) & (F.col(lo) <= F.col("__hi")) & (F.col("__lo") <= F.col(hi)))
     return j.groupBy(scope, name).agg(F.array_join(F.array_sort(F.collect_list("__n")), ",").alias("tied_with"))
 
 
+def near_another(df: DataFrame, group: str, own: str, at: str, flag: Column, width: float) -> DataFrame:
+    """The distinct (group, own, at) for which a flagged row of the group with another ``own`` lies less than ``width`` away.
+
+    A band join by existence: rows are dealt by group and by bands of the band's width, flagged ones to their two
+    neighbours as well, so that a large group lies in many tasks and every row is copied at most
+    twice. In a band two running counts tell whether a flagged row of another ``own`` is in reach.
+    """
+    x = df.select(F.col(group).alias("__g"), F.col(own).alias("__o"), F.col(at).cast("double").alias("__a"), F.coalesce(flag, F.lit(False)).alias("__f")).dropna()
+    x = x.groupBy("__g", "__o", "__a").agg(F.max("__f").cast("int").alias("__f"))
+    band = F.floor(F.col("__a") / width)
+    copies = F.when(F.col("__f") == 1, F.array(F.lit(0), F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))
+    x = x.withColumn("__d", F.explode(copies)).withColumn("__band", band + F.col("__d"))
+    w = f"{float(width)!r}D"
+
+    def seen(keys: str) -> Column:
+        # All within the width but for what lies at the very width.
+        frame = lambda lo, hi: f"coalesce(sum(__f) OVER (PARTITION BY __g, __band{keys} ORDER BY __a RANGE BETWEEN {lo} AND {hi}), 0)"
+        whole, left, right = frame(f"{w} PRECEDING", f"{w} FOLLOWING"), frame(f"{w} PRECEDING", f"{w} PRECEDING"), frame(f"{w} FOLLOWING", f"{w} FOLLOWING")
+        return F.expr(f"{whole} - {left} - {right}")
+
+    x = x.withColumns({"__all": seen(""), "__mine": seen(", __o")})
+    return x.where("__d = 0 AND __all > __mine").select(F.col("__g").alias(group), F.col("__o").alias(own), F.col("__a").cast(df.schema[at].dataType).alias(at))
+
+
 def core_score(df: DataFrame, group: str, evidence: str, rate: str, bonus: Column, full: Column) -> DataFrame:
     """0.45 of the evidence rank and 0.35 of the rate rank (of logarithms, in the group) plus a bonus, damped for some."""
     x = df.withColumns({"__e": F.log1p(evidence), "__r": F.log1p(rate)})

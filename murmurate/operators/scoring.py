@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,20 +138,49 @@ def score_table(m: DataFrame, s: MentionSchema = MentionSchema(), n_min: Column
     return with_score(with_prior(t.withColumns(eligibility(n_min)), s))
 
 
+#: Parts into which the histogram of one key is dealt.
+INTERVAL_PARTS = 8
+
+
 def intervals(m: DataFrame, scored: DataFrame, s: MentionSchema = MentionSchema(), least: int = 10) -> DataFrame:
-    """ci_low and ci_high of eligible rows with enough opinions: a cluster bootstrap per key on cluster sums."""
+    """ci_low and ci_high of eligible rows with enough opinions: a cluster bootstrap of the posterior mean; under 3 clusters null.
+
+    Clusters (threads) of equal counts are one cell of a key's histogram. In each round a cluster is
+    drawn a Poisson number of times, so a cell of h clusters is drawn a Poisson number of mean h: the
+    sum of one of mean 2^j for each bit j of h, by a seeded hash of the cell, the bit and the round. Each part of a
+    key's cells gives its sums of all rounds, and the parts are added up, so no task holds a
+    key's clusters, and neither order nor partitioning changes the result.
+    """
     keys = s.keys
     want = scored.where(F.col("eligible") & (F.col("n_op") >= least)).select(*keys, "alpha0", "beta0")
-    op = m.where(F.col(s.label).isin(POSITIVE, NEGATIVE)).join(want, keys)
-    per = op.groupBy(*keys, s.thread, "alpha0", "beta0").agg(F.count("*").alias("c"), F.count_if(F.col(s.label) == POSITIVE).alias("p"))
-
-    def resample(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(s.thread)
-        lo, hi = stats.bootstrap_interval(pdf["c"].to_numpy(), pdf["p"].to_numpy(), float(pdf["alpha0"].iloc[0]), float(pdf["beta0"].iloc[0]))
-        return pd.DataFrame({keys[0]: [key[0]], keys[1]: [key[1]], "ci_low": [lo], "ci_high": [hi]})
+    per = m.where(F.col(s.label).isin(POSITIVE, NEGATIVE)).groupBy(*keys, s.thread).agg(F.count("*").alias("c"), F.count_if(F.col(s.label) == POSITIVE).alias("p"))
+    cells = per.groupBy(*keys, "c", "p").agg(F.count("*").alias("h")).join(want, keys)
+    bits = cells.withColumn("j", F.explode(F.expr("filter(sequence(0, 40), j -> (shiftright(h, j) & 1) = 1)")))
+    named = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], *[F.col(c).cast("string") for c in ("c", "p", "j")])
+    seeded = bits.select(*keys, "alpha0", "beta0", "c", "p", "j", F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long").alias("seed"))
+    dealt = seeded.withColumn("__part", F.pmod(F.xxhash64("c", "p"), F.lit(INTERVAL_PARTS))).repartition(*keys, "__part").sortWithinPartitions(*keys)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for key, g in pdf.groupby(keys, sort=False):
+                size, good = np.zeros(stats.BOOTSTRAP_ROUNDS, np.int64), np.zeros(stats.BOOTSTRAP_ROUNDS, np.int64)
+                for at in range(0, len(g), 256):
+                    part = g.iloc[at : at + 256]
+                    w = stats.poisson_weights(part["seed"].to_numpy(), part["j"].to_numpy())
+                    size += part["c"].to_numpy() @ w
+                    good += part["p"].to_numpy() @ w
+                clusters = int((1 << g["j"].to_numpy(np.int64)).sum())
+                yield pd.DataFrame({keys[0]: [key[0]], keys[1]: [key[1]], "alpha0": [g["alpha0"].iloc[0]], "beta0": [g["beta0"].iloc[0]], "k": [clusters], "size": [size], "good": [good]})
+
+    def interval(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = None, None
+        if pdf["k"].sum() >= 3:
+            lo, hi = stats.weighted_interval(np.sum(list(pdf["size"]), axis=0), np.sum(list(pdf["good"]), axis=0), float(pdf["alpha0"].iloc[0]), float(pdf["beta0"].iloc[0]))
+        return pd.DataFrame({keys[0]: [key[0]], keys[1]: [key[1]], "ci_low": pd.Series([lo], dtype="float64"), "ci_high": pd.Series([hi], dtype="float64")})
 
     types = ", ".join(f"{k} {m.schema[k].dataType.simpleString()}" for k in keys)
-    return per.groupBy(*keys).applyInPandas(resample, f"{types}, ci_low double, ci_high double")
+    parts = dealt.mapInPandas(sums, f"{types}, alpha0 double, beta0 double, k long, size array<long>, good array<long>")
+    return parts.groupBy(*keys).applyInPandas(interval, f"{types}, ci_low double, ci_high double")
 
 
 def rank_eligible(scored: DataFrame, s: MentionSchema = MentionSchema()) -> DataFrame:

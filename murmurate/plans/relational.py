@@ -125,8 +125,10 @@ def _(spark, d):
 
 @query("c06_not_exists_arrays", f"WITH {M}, s AS (SELECT DISTINCT brand, category FROM m) SELECT brand, category FROM s WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 10) p WHERE p_brand = brand AND p_type = category)")
 def _(spark, d):
-    kept = table(spark, d, "part").where("p_size < 10").agg(F.collect_list("p_brand").alias("b"), F.collect_list("p_type").alias("c"))
-    pairs = kept.select(F.inline(F.arrays_zip(F.col("b").alias("brand"), F.col("c").alias("category")))).distinct()
+    # Pairs come as two arrays in lock-step, a bounded run of them a row.
+    kept = table(spark, d, "part").where("p_size < 10").select("p_brand", "p_type").distinct()
+    runs = kept.groupBy(F.pmod(F.xxhash64("p_brand", "p_type"), F.lit(64)).alias("run")).agg(F.collect_list(F.struct("p_brand", "p_type")).alias("x")).select(F.col("x.p_brand").alias("b"), F.col("x.p_type").alias("c"))
+    pairs = runs.select(F.inline(F.arrays_zip(F.col("b").alias("brand"), F.col("c").alias("category"))))
     return mentions(spark, d).select("brand", "category").distinct().join(pairs, ["brand", "category"], "left_anti")
 
 
@@ -174,10 +176,7 @@ def _(spark, d):
 
 @query("c16_proximity", f"WITH {M} SELECT DISTINCT a.thread, a.brand FROM m a JOIN m b ON a.thread = b.thread AND a.brand <> b.brand AND b.label = 1 AND abs(a.votes - b.votes) < 5")
 def _(spark, d):
-    m = mentions(spark, d)
-    g = m.groupBy("thread").agg(F.collect_list(F.struct("brand", "label", "votes")).alias("hits"))
-    near = F.filter("hits", lambda a: F.exists("hits", lambda b: (a["brand"] != b["brand"]) & (b["label"] == 1) & (F.abs(a["votes"] - b["votes"]) < 5)))
-    return g.select("thread", F.explode(F.array_distinct(F.transform(near, lambda x: x["brand"]))).alias("brand"))
+    return rk.near_another(mentions(spark, d), "thread", "brand", "votes", F.col("label") == 1, 5.0).select("thread", "brand").distinct()
 
 
 @query("c18_token_overlap", "WITH t AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM part) SELECT a.p_name AS a, min(b.p_name) AS b FROM t a JOIN t b ON a.w = b.w AND a.p_name <> b.p_name GROUP BY 1")
@@ -331,15 +330,15 @@ def _(spark, d):
     b = bridge(spark, d)
     c = b.groupBy("category").agg(F.count("*").alias("covered"))
     g = b.join(c, "category").groupBy("community").agg(F.min("covered").alias("least_cov"), F.sum("rate").alias("total"))
-    return g.select("community", "least_cov", F.row_number().over(W.orderBy("least_cov", F.desc("total"), "community")).cast("long").alias("place"))
+    return rk.global_position(g, [F.col("least_cov"), F.desc("total"), F.col("community")]).select("community", "least_cov", "place")
 
 
 @query("f11_core_first", "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment <> 'MACHINERY', coalesce(f, TIMESTAMP '1970-01-01'), c_custkey) AS place FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def _(spark, d):
     f = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("f"))
     c = table(spark, d, "customer").join(f, "c_custkey", "left")
-    w = W.orderBy(F.col("c_mktsegment") != "MACHINERY", F.coalesce("f", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "c_custkey")
-    return c.select("c_custkey", F.row_number().over(w).cast("long").alias("place"))
+    order = [F.col("c_mktsegment") != "MACHINERY", F.coalesce("f", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), F.col("c_custkey")]
+    return rk.global_position(c, order).select("c_custkey", "place")
 
 
 @query("f12_search", "WITH x AS (SELECT DISTINCT p_name AS name, replace(p_name, ' ', '-') AS slug FROM part), c AS (SELECT *, CASE WHEN name = 'ring' THEN 0 WHEN starts_with(name, 'ring') THEN 1 WHEN contains(name, ' ring') OR contains(name, '-ring') THEN 2 WHEN contains(name, 'ring') THEN 3 WHEN contains(slug, 'ring') THEN 4 END AS match_class FROM x) SELECT name, match_class FROM c WHERE match_class IS NOT NULL ORDER BY match_class, length(name), name LIMIT 12")
@@ -350,7 +349,7 @@ def _(spark, d):
 
 @query("f13_alphabetical", "SELECT p_name, row_number() OVER (ORDER BY p_name) AS place FROM (SELECT DISTINCT p_name FROM part)")
 def _(spark, d):
-    return table(spark, d, "part").select("p_name").distinct().withColumn("place", F.row_number().over(W.orderBy("p_name")).cast("long"))
+    return rk.global_position(table(spark, d, "part").select("p_name").distinct(), [F.col("p_name")])
 
 
 @query("f14_parameters", "SELECT p_partkey AS k, p_name FROM part WHERE p_size = 7 ORDER BY p_name, p_partkey")

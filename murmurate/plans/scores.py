@@ -140,7 +140,23 @@ def _(spark, d):
     return _score_table(spark, d).select("category", "brand", "eligible", "failed_test", "failed_observed", "failed_required")
 
 
-@query("k06_intervals")
+@query("k06_intervals", f"""WITH RECURSIVE {ELIGIBLE.replace("n_eff < 200", "n_eff < 20")},
+    cells AS (
+        SELECT category, brand, c, p, count(*) AS h FROM (SELECT category, brand, thread, count(*) AS c, count(*) FILTER (label = 1) AS p FROM m WHERE label IN (1, 2) GROUP BY ALL) GROUP BY ALL),
+    bits AS (
+        SELECT category, brand, alpha0, beta0, c, p, j, CAST('0x' || substr(md5(category || '|' || brand || '|' || c || '|' || p || '|' || j), 1, 8) AS BIGINT) AS seed
+        FROM cells JOIN (SELECT category, brand, alpha0, beta0 FROM el WHERE failed_test IS NULL AND n_op >= 10) USING (category, brand), range(0, 16) AS t(j) WHERE (h >> j) & 1 = 1),
+    poi(j, n, mean, p) AS (
+        SELECT j, 0, CAST(1 << j AS DOUBLE), exp(-CAST(1 << j AS DOUBLE)) FROM range(0, 9) AS t(j)
+        UNION ALL SELECT j, n + 1, mean, p * mean / (n + 1) FROM poi WHERE n < mean + 12 * sqrt(mean) + 30),
+    cdf AS (SELECT j, list(q ORDER BY n) AS qs FROM (SELECT j, n, sum(p) OVER (PARTITION BY j ORDER BY n) AS q FROM poi) GROUP BY j),
+    x0 AS (SELECT bits.*, b, (seed + b * 2654435769) % 4294967296 AS x FROM bits, range(0, 1999) AS r(b)),
+    x1 AS (SELECT * REPLACE ((xor(x, x >> 16) * 2146121005) % 4294967296 AS x) FROM x0),
+    x2 AS (SELECT * REPLACE (CAST((CAST(xor(x, x >> 15) AS HUGEINT) * 2221713035) % 4294967296 AS BIGINT) AS x) FROM x1),
+    w AS (SELECT category, brand, alpha0, beta0, c, p, b, len(list_filter(qs, lambda q: q < (xor(x, x >> 16) + 0.5) / 4294967296.0)) AS w FROM x2 JOIN cdf USING (j)),
+    means AS (
+        SELECT category, brand, b, CASE WHEN sum(c * w) < 2 THEN 0.5 ELSE (sum(p * w) + alpha0) / (sum(c * w) + alpha0 + beta0) END AS mean FROM w GROUP BY category, brand, alpha0, beta0, b)
+    SELECT category, brand, round(quantile_cont(mean, 0.05), 4) AS ci_low, round(quantile_cont(mean, 0.95), 4) AS ci_high FROM means JOIN (SELECT category, brand FROM cells GROUP BY ALL HAVING sum(h) >= 3) USING (category, brand) GROUP BY ALL""")
 def _(spark, d):
     m = mentions(spark, d)
     return sc.intervals(m, sc.score_table(m, n_min=20).select("category", "brand", "eligible", "n_op", "alpha0", "beta0"))
@@ -240,6 +256,15 @@ def _(spark, d):
     return rk.interval_ties(p.select("category", "brand", (mean - half).alias("lo"), (mean + half).alias("hi")), "category", "brand", "lo", "hi")
 
 
+@query("e14_tie_ranges", """WITH i AS (SELECT o_orderstatus AS scope, o_orderkey AS k, o_totalprice AS lo, o_totalprice + 40 * (o_orderkey % 13) AS hi FROM orders)
+    SELECT scope, k, below, reach, reach - below - 1 AS n_tied FROM (
+        SELECT a.scope, a.k, (SELECT count(*) FROM i b WHERE b.scope = a.scope AND b.hi < a.lo) AS below, (SELECT count(*) FROM i b WHERE b.scope = a.scope AND b.lo <= a.hi) AS reach FROM i a)""")
+def _(spark, d):
+    """All orders as intervals of price: three scopes of many overlaps."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return rk.interval_tie_ranges(o.select(F.col("o_orderstatus").alias("scope"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("lo"), (F.col("o_totalprice") + 40 * (F.col("o_orderkey") % 13)).alias("hi")), "scope", "k", "lo", "hi")
+
+
 @query("d02_ledger_counts", f"WITH {M} SELECT brand, community, doc_type, label, count(*) AS n, max(ts) AS newest, min(ts) AS oldest FROM m GROUP BY 1, 2, 3, 4")
 def _(spark, d):
     return ag.ledger(mentions(spark, d), ["brand", "community", "doc_type", "label"], "ts")
