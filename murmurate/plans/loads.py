@@ -1,13 +1,15 @@
-"""Queries that load tables through the counting upsert sink and read them back."""
+"""Queries that load tables through the counting upsert sink, remove from them, and read them back."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import scratch_path
+from ..sources.staging import scratch_path, staged
 from ..sources.upserts import Dimension, read_table, upsert_into
+from ..streaming.tombstones import Tombstones, probe_queue, verdicts
 from .registry import query, table
+from .standin import M, mentions
 
 SCHEMA = "brand_id long, category_id long, n long, largest int"
 
@@ -42,3 +44,31 @@ def _(spark, d):
 def _(spark, d) -> DataFrame:
     rows = [(i + 1, *(c[k] for k in ("inserted", "updated", "unchanged", "unresolved"))) for i, c in enumerate(_loads(spark, d)[1])]
     return spark.createDataFrame(rows, "load int, inserted long, updated long, unchanged long, unresolved long")
+
+
+def _removed(spark: SparkSession, d: str) -> Tombstones:
+    """All mentions loaded; every eleventh document probed as gone and every 22nd of these pages made anew; then all mentions loaded again."""
+    m = mentions(spark, d).select("doc_id", "brand", "ts").withColumn("ts", F.col("ts").cast("timestamp")).groupBy("doc_id", "brand").agg(F.min("ts").alias("ts"))
+    m = staged(m, "mentions")
+    path = scratch_path(spark, "tombstones")
+    t = Tombstones(spark, f"{path}/mentions", f"{path}/ledger", "doc_id long, brand string, ts timestamp", ("doc_id", "brand"), "doc_id", "brand")
+    t.ingest(m)
+    queue = probe_queue(m, spark.createDataFrame([], "doc_id long, checked_at timestamp"), "doc_id", "ts", 1 << 30)
+    answers = queue.where("doc_id % 11 <> 0 OR doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 11 == 0, "[removed]").otherwise("text").alias("body"), F.lit("someone").alias("author"))
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    t.remove(verdicts(queue, answers, "doc_id", "body", "author"), now)
+    t.revalidated(m.where("doc_id % 22 = 0"), now)
+    t.ingest(m)
+    return t
+
+
+@query("i11_purged_stay_gone", f"WITH {M} SELECT DISTINCT doc_id, brand FROM m WHERE doc_id % 11 <> 0")
+def _(spark, d):
+    return _removed(spark, d).mentions().select("doc_id", "brand")
+
+
+@query("i11_receipts", f"""WITH {M}, g AS (SELECT doc_id, count(DISTINCT brand) AS rows, string_agg(DISTINCT brand, ',' ORDER BY brand) AS brands FROM m WHERE doc_id % 11 = 0 GROUP BY 1)
+    SELECT *, CASE WHEN doc_id % 22 <> 0 THEN 'not revalidated' END AS defect FROM g""")
+def _(spark, d):
+    t = _removed(spark, d)
+    return t.ledger().join(t.defects(), "doc_id", "left").select("doc_id", "rows", F.array_join("brands", ",").alias("brands"), "defect")

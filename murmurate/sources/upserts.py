@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from .listing import file_system, write_whole
 
-CHANGES = ("inserted", "updated", "unchanged", "kept", "unresolved")
+CHANGES = ("inserted", "updated", "unchanged", "kept", "deleted", "unresolved")
 
 
 @dataclass
@@ -56,7 +56,7 @@ class Written(WriterCommitMessage):
 
 
 class CountedParquet(DataSource):
-    """Write-only format ``counted_parquet``: rows with ``__bucket`` and ``__change``. Options: path, buckets."""
+    """Write-only format ``counted_parquet``: rows with ``__bucket`` and ``__change``. Options: path, buckets, touched (the buckets that are written anew)."""
 
     @classmethod
     def name(cls) -> str:
@@ -69,6 +69,7 @@ class CountedParquet(DataSource):
 class _CountedWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.buckets = options["path"].rstrip("/"), int(options["buckets"])
+        self.touched = {b for b in options.get("touched", "").split(",") if b}
         self.run = uuid.uuid4().hex
         self.before = manifest(self.path).number
 
@@ -104,7 +105,8 @@ class _CountedWriter(DataSourceArrowWriter):
             for b, f in (m.files if m else {}).items():
                 files.setdefault(b, []).append(f)
             changes.update(m.changes if m else {})
-        new = Manifest(now.number + 1, self.buckets, now.files | files, dict(changes))
+        kept = {b: f for b, f in now.files.items() if b not in self.touched}
+        new = Manifest(now.number + 1, self.buckets, kept | files, dict(changes))
         write_whole(f"{self.path}/_manifest/{new.number}.json", json.dumps(vars(new)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -170,7 +172,33 @@ def upsert_into(path: str, new: DataFrame, keys: list[str], dimensions: list[Dim
     change = F.when(F.col("__n").isNull(), "kept").when(F.col("__t").isNull(), "inserted").when(same, "unchanged").otherwise("updated")
     out = merged.select(*keys, *cols, bucket.alias("__bucket"), change.alias("__change"))
     lost = rows.where(~known).select(*keys, *cols, F.lit(None).cast("int").alias("__bucket"), F.lit("unresolved").alias("__change"))
-    out.repartition("__bucket").unionByName(lost).write.format("counted_parquet").options(path=path, buckets=count).mode("append").save()
+    _write(out.repartition("__bucket").unionByName(lost), path, count, touched)
+    return manifest(path).changes
+
+
+def _write(rows: DataFrame, path: str, buckets: int, touched: list[int]) -> None:
+    rows.write.format("counted_parquet").options(path=path, buckets=buckets, touched=",".join(map(str, touched))).mode("append").save()
+
+
+def delete_from(path: str, schema: str | T.StructType, keys: list[str], gone: DataFrame) -> dict[str, int]:
+    """Deletes the rows whose values in the columns of ``gone`` it lists, and tells how many; only buckets that hold one are written anew.
+
+    ``keys`` are the table's, by which it lies in buckets.
+    """
+    spark = gone.sparkSession
+    spark.dataSource.register(CountedParquet)
+    held = manifest(path)
+    if not held.number:
+        return dict.fromkeys(CHANGES, 0)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(held.buckets)).cast("int")
+    gone = gone.distinct()
+    hit = read_table(spark, path, schema).join(gone, gone.columns, "left_semi")
+    touched = [r[0] for r in hit.select(bucket.alias("b")).distinct().collect()]
+    old = read_table(spark, path, schema, touched)
+    marked = old.join(gone.withColumn("__gone", F.lit(True)), gone.columns, "left")
+    dead = F.col("__gone").isNotNull()
+    out = marked.select(*old.columns, F.when(~dead, bucket).alias("__bucket"), F.when(dead, "deleted").otherwise("kept").alias("__change"))
+    _write(out.repartition("__bucket"), path, held.buckets, touched)
     return manifest(path).changes
 
 
