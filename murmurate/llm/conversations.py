@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.ranking import global_position
-from .shared import hot_join, stage
+from .shared import hot_join, quoted, stage
 
 RETOLD, DELETED, INSERTED, CUT_OFF = 3, 4, 3, 3
 BLANKS = " \t\n\x0b\x0c\r"
@@ -325,7 +325,6 @@ def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     does not begin with s, u or a can't be kept. Repeated rows are duplicates. Very long texts are
     read whole. An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    quoted = lambda c: "`" + c.replace("`", "``") + "`"
     space = lambda c: F.coalesce(conversations[quoted(c)].cast("string"), F.lit(" "))
     rows = conversations.select(conversations[quoted(id_col)].alias("conv_id"), conversations[quoted(turn_col)].cast("long").alias("turn"), space(role_col).alias("role"), space(text_col).alias("text"))
     kind_of_id = rows.schema["conv_id"].dataType.simpleString()

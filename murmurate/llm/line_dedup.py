@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin as sj
-from .shared import bucket_count, drop_staged, hot_join, stage, unused
+from .shared import bucket_count, drop_staged, hot_join, quoted, stage, unused
 from .text import chunks, distinct, mix, set_hashes, words
 
 #: A key expected in so many lines takes a further word.
@@ -194,7 +194,7 @@ def least_size(rule: sj.Rule) -> int:
 
 def postings(docs: DataFrame, rule: sj.Rule, frequent: tuple[np.ndarray, np.ndarray], lines: int, wanted: np.ndarray, exempt: bool) -> DataFrame:
     """Postings of all lines under their keys, packed by ``bucket``; only under the keys in ``wanted`` (a bit set) or, if these are ``exempt``, of more than one word."""
-    buckets = bucket_count(docs, 2.0)
+    buckets = bucket_count(docs, POSTED)
     context = docs.sparkSession.sparkContext
     held, want = context.broadcast(frequent), context.broadcast(wanted)
     least = least_size(rule)
@@ -317,25 +317,45 @@ def in_order(x: np.ndarray) -> dict[str, np.ndarray]:
     return {c: np.ascontiguousarray(x[c]) for c in _POST.names}
 
 
-def met_pairs(packed: DataFrame, rule: sj.Rule, unsettled: DataFrame | None = None) -> DataFrame:
-    """``a`` (earlier) and ``b`` (later) with their places, ``bits`` and, where b stopped early, the ``key`` under which it did.
+#: Postings' bytes as a share of the texts'.
+POSTED = 2.0
+_PAIRS = "a long, ao long, ai int, b long, bo long, bi int, bits int, key long"
 
-    With ``unsettled`` (column ``b``) only these look for candidates, and they don't stop.
-    """
-    nodes = None
-    nearest, most = (NEAREST, MOST) if unsettled is None else (1 << 62, 1 << 62)
-    if unsettled is not None and unsettled.count() <= sj.BROADCAST_ROWS:
-        nodes = packed.sparkSession.sparkContext.broadcast(np.sort(unsettled.toPandas()["b"].to_numpy(np.int64)))
+
+def _pair_frame(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, bits: np.ndarray, stopped: np.ndarray) -> pd.DataFrame:
+    key = pd.array(x["t"][b].view(np.int64), dtype="Int64")
+    key[~stopped[b]] = pd.NA
+    place = lambda c: (x["o"][c] ^ _SIGN).view(np.int64)
+    return pd.DataFrame({"a": x["d"][a], "ao": place(a), "ai": x["i"][a].astype(np.int32), "b": x["d"][b], "bo": place(b), "bi": x["i"][b].astype(np.int32), "bits": bits.astype(np.int32), "key": key})
+
+
+def met_pairs(packed: DataFrame, rule: sj.Rule) -> DataFrame:
+    """``a`` (earlier) and ``b`` (later) with their places, ``bits`` and, where b stopped early, the ``key`` under which it did."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         x = in_order(np.concatenate([np.frombuffer(p, _POST) for p in pdf["payload"]]))
-        a, b, bits, stopped = near_pairs(x, rule, nearest, most, None if nodes is None else np.isin(x["d"], nodes.value))
-        key = pd.array(x["t"][b].view(np.int64), dtype="Int64")
-        key[~stopped[b]] = pd.NA
-        place = lambda c: (x["o"][c] ^ _SIGN).view(np.int64)
-        return pd.DataFrame({"a": x["d"][a], "ao": place(a), "ai": x["i"][a].astype(np.int32), "b": x["d"][b], "bo": place(b), "bi": x["i"][b].astype(np.int32), "bits": bits.astype(np.int32), "key": key})
+        return _pair_frame(x, *near_pairs(x, rule, NEAREST, MOST))
+
+    return packed.groupBy("bucket").applyInPandas(meet, _PAIRS)
+
+
+def unsettled_pairs(packed: DataFrame, rule: sj.Rule, open_: DataFrame, buckets: int) -> DataFrame:
+    """All candidates of the lines that stopped early (``b`` and the ``key`` under which it did), under these keys, without a stop.
+
+    They meet the postings of their bucket in a cogroup, however many they are.
+    """
+    bucket = F.shiftright(F.shiftrightunsigned("key", 32) * buckets, 32).cast("int")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return _pair_frame(dict.fromkeys(_POST.names, np.zeros(0, np.int64)) | {"t": np.zeros(0, np.uint64), "o": np.zeros(0, np.uint64)}, *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool))
+        x = in_order(np.concatenate([np.frombuffer(p, _POST) for p in left["payload"]]))
+        # A hash of both: a rare collision only makes a line look that need not.
+        both = lambda t, d: mix(mix(t.view(np.uint64)) + d.view(np.uint64))
+        looks = np.isin(both(x["t"], x["d"]), both(right["key"].to_numpy(np.int64), right["b"].to_numpy(np.int64)))
+        return _pair_frame(x, *near_pairs(x, rule, 1 << 62, 1 << 62, looks))
 
-    return packed.groupBy("bucket").applyInPandas(meet, "a long, ao long, ai int, b long, bo long, bi int, bits int, key long")
+    return packed.groupBy("bucket").cogroup(open_.withColumn("bucket", bucket).groupBy("bucket")).applyInPandas(meet, _PAIRS)
 
 
 def line_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -378,8 +398,8 @@ def later_matches(docs: DataFrame, rule: sj.Rule, counts: DataFrame, lines: int)
     late = late.unionByName(more)
     if open_.isEmpty():
         return late
-    wanted, nodes = _filter_of(open_.select("key")), open_.select("b").distinct()
-    last = stage(met_pairs(postings(docs, rule, frequent, lines, wanted, False), rule, nodes).join(nodes, "b", "left_semi"), "pairs")
+    again = postings(docs, rule, frequent, lines, _filter_of(open_.select("key")), False)
+    last = stage(unsettled_pairs(again, rule, open_.distinct(), bucket_count(docs, POSTED)), "pairs")
     return late.unionByName(sj.verify(last.select("a", "b").distinct(), stage(line_texts(docs, last), "texts"), line_sets, rule).select(F.col("b").alias("node")).distinct())
 
 
@@ -441,7 +461,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     name = unused(docs.columns)
     found = line_dedup(docs, id_col, text_col, percent).where("n_removed > 0").select(F.col("doc_id").alias(name("id")), F.col("body").alias(name("body")), F.col("removed").alias(name("removed"))).dropDuplicates([name("id"), name("body")])
-    body = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(name("id"))) & (body == F.col(name("body"))), "left")
-    kept = F.array_join(F.filter(F.transform(F.split(text_col, "\n"), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: ~F.array_contains(name("removed"), x["i"])).getField("s"), "\n")
-    return joined.withColumn(text_col, F.when(F.col(name("removed")).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    body = F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit("")))
+    joined = docs.join(found, F.col(quoted(id_col)).eqNullSafe(F.col(name("id"))) & (body == F.col(name("body"))), "left")
+    kept = F.array_join(F.filter(F.transform(F.split(quoted(text_col), "\n"), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: ~F.array_contains(name("removed"), x["i"])).getField("s"), "\n")
+    return joined.withColumn(text_col, F.when(F.col(name("removed")).isNull(), F.col(quoted(text_col))).otherwise(kept)).select(*map(quoted, docs.columns))

@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .shared import quoted
 from .text import LOWER, chunks, joined, span_hashes, spans
 from .training import bounded_sample, remainder
 
@@ -165,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     y = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (remainder(id_col, modulus) != 0))
     y = y.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__m{j}") for j, c in enumerate(metadata)])
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(quoted(c)).alias(f"__m{j}") for j, c in enumerate(metadata)])
     share = dict(y.groupBy("__y").count().collect())
     rows = bounded_sample(y, texts, "__y", per_label, 2)
     m = fit([r["__text"] for r in rows], [r["__y"] for r in rows], [[r[f"__m{j}"] for r in rows] for j in range(len(metadata))])
@@ -203,7 +205,8 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     fields = ["doc_id", "held_out", "score", "predicted"]
     names = fields + [f"c{j}" for j in range(len(carry))]
-    kind = docs.schema[id_col].dataType.simpleString()
-    shape = f"doc_id {kind}, held_out boolean, score double, predicted int" + "".join(f", c{j} {docs.schema[c].dataType.simpleString()}" for j, c in enumerate(carry))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (remainder(id_col, modulus) == 0).alias("held_out"), F.col(text_col).alias("text"), *[F.col(c).alias(f"m{j}") for j, c in enumerate(metadata)], *[F.col(c).alias(f"c{j}") for j, c in enumerate(carry)])
+    shape = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    shape = T.StructType(shape.fields + [T.StructField(f"c{j}", docs.schema[c].dataType) for j, c in enumerate(carry)])
+    more = [F.col(quoted(c)).alias(f"m{j}") for j, c in enumerate(metadata)] + [F.col(quoted(c)).alias(f"c{j}") for j, c in enumerate(carry)]
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), (remainder(quoted(id_col), modulus) == 0).alias("held_out"), F.col(quoted(text_col)).alias("text"), *more)
     return rows.mapInArrow(predict, shape)

@@ -81,6 +81,11 @@ def unused(columns: list[str]) -> Callable[[str], str]:
     return lambda name: mark + name
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file sizes for a scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

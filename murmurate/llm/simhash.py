@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, with_component_ids
-from .shared import drop_staged, stage
+from .shared import drop_staged, quoted, stage
 from .text import LOWER, SPACE, chunks, joined, spans
 
 #: XXH64's seed of shingle hashes.
@@ -208,12 +208,8 @@ def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "node"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(docs[_quoted(id_col)].alias("doc_id"), docs[_quoted(text_col)].alias("text"))
+    texts = docs.select(docs[quoted(id_col)].alias("doc_id"), docs[quoted(text_col)].alias("text"))
     meta = stage(texts.mapInArrow(name, f"doc_id {kind}, node long"), "fingerprints")
     comp = stage(fingerprint_components(meta.select("node").distinct(), radius), "components")
     out = with_component_ids(meta, comp)
     return out.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import hot_join, stage, unused
+from .shared import hot_join, quoted, stage, unused
 
 #: Entries of a leaf of the kd-tree.
 LEAF = 16
@@ -113,7 +113,6 @@ def _kept(vector: Column) -> Column:
 
 
 def _plain(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    quoted = lambda c: "`" + c.replace("`", "``") + "`"
     x = df.select(df[quoted(id_col)].alias("vec_id"), df[quoted(vector_col)].alias("vector"), df[quoted(label_col)].alias("label"))
     return x.where(_kept(F.col("vector"))).withColumn("vector", F.col("vector").cast("array<double>"))
 
