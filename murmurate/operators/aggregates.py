@@ -51,6 +51,27 @@ def rule_of_three(hits: Column, n: Column) -> Column:
     return F.when(hits == 0, 3.0 / n).otherwise(hits / n)
 
 
+#: Hours of the window, and the volumes from which a category is measured in depth or as usual.
+WINDOW_HOURS, TIERS = 26_280, (("deep", 20_000), ("standard", 5_000))
+
+
+def category_volume(df: DataFrame, category: str, hits: str, n: str, per_hour: str, scorable: Column, least: int = 5) -> DataFrame:
+    """Expected volume of each category over its scorable communities, with an upper bound and its tier.
+
+    A community's rate is its share of hits times its comments an hour; where nothing was hit
+    among ``n``, the bound takes 3 / n for the share (the rule of three). Shares and rates are rounded
+    to four places, as they are published. Columns: candidates, scorable, live, live_ub95 (an hour), volume, volume_ub95, tier, rankable.
+    """
+    share = F.bround(F.coalesce(F.col(hits) / F.nullif(F.col(n), F.lit(0)), F.lit(0.0)), 4)
+    bound = F.when((F.coalesce(F.col(n), F.lit(0)) > 0) & (share == 0), F.bround(3.0 / F.col(n), 4)).otherwise(share)
+    rate = lambda s: F.when(scorable, F.bround(s * F.coalesce(F.col(per_hour), F.lit(0.0)), 4)).otherwise(0.0)
+    g = df.groupBy(category).agg(F.count("*").alias("candidates"), F.count_if(scorable).alias("scorable"), F.sum(rate(share)).alias("live"), F.sum(rate(bound)).alias("live_ub95"))
+    volume = lambda c: F.bround(F.col(c) * WINDOW_HOURS, 0).cast("long")
+    g = g.withColumns({"volume": volume("live"), "volume_ub95": volume("live_ub95")})
+    tier = F.coalesce(*[F.when(F.col("volume") >= floor, name) for name, floor in TIERS], F.lit("thin"))
+    return g.withColumns({"tier": tier, "rankable": F.col("scorable") >= least})
+
+
 def projected(done: DataFrame, all_rows: DataFrame, bucket: str, value: str) -> DataFrame:
     """Rows of each bucket and the sum of its median, or of the overall median where a bucket has none yet."""
     med = done.groupBy(bucket).agg(F.percentile(value, F.lit(0.5)).alias("__m"))

@@ -126,11 +126,12 @@ def misplaced_extremes(scored: DataFrame, category: str, brand: str, least: int
     Only categories with ``brands`` scored brands of ``least`` opinions count, and in these only
     brands with at least the (upper) median of opinions. Ranks are averages over ties, lowest score first.
     """
+    from .aggregates import upper_median
     from .ranking import average_rank
 
     ev = scored.where((F.col("n_op") >= least) & F.col("score").isNotNull())
-    per = ev.groupBy(category).agg(F.count("*").alias("size"), F.sort_array(F.collect_list("n_op")).alias("all")).where(F.col("size") >= brands)
-    per = per.select(category, "size", F.element_at("all", F.floor(F.col("size") / 2).cast("int") + 1).alias("typical"))
+    per = ev.groupBy(category).agg(F.count("*").alias("size")).where(F.col("size") >= brands)
+    per = per.join(upper_median(ev, category, "n_op").withColumnRenamed("median", "typical"), category)
     ranked = ev.withColumn("place", average_rank([category], "score")).join(per, category).where(F.col("n_op") >= F.col("typical"))
     rate, edge = F.col("pos") / F.col("n_op"), (F.col("size") + 1) / 4
     low, high = (rate >= 0.75) & (F.col("place") <= edge), (rate <= 0.25) & (F.col("place") >= F.col("size") + 1 - edge)

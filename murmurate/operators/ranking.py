@@ -199,8 +199,9 @@ def search_rank(df: DataFrame, name: str, slug: str, text: str, limit: int = 12)
 
 
 def sampled(df: DataFrame, stratum: str, key: list[str], per: int, seed: int) -> DataFrame:
-    """A reproducible sample of each stratum: the first rows by a seeded hash of the key."""
-    return top_per_group(df, [stratum], [F.xxhash64(*key, F.lit(seed)), *map(F.col, key)], per)
+    """A reproducible sample of each stratum: the first rows by the MD5 of the key and the seed."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    return top_per_group(df, [stratum], [digest, *map(F.col, key)], per)
 
 
 def top_up(members: DataFrame, candidates: DataFrame, group: str, key: str, order: list[Column], cap: int) -> DataFrame:

@@ -50,15 +50,16 @@ def budgeted(df: DataFrame, group: str, item: str, worth: str, cost: str, floor:
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([worth, group, item], ascending=[False, True, True])
-        bought, per, out, spent = set(), {}, [], 0.0
+        bought, items, per, out, spent = set(), set(), {}, [], 0.0
         for second in (False, True):
             for g, i, c in zip(pdf[group], pdf[item], pdf[cost], strict=True):
                 if (g, i) in bought or (not second and per.get(g, 0) >= floor):
                     continue
-                price = 0.0 if any(i == b for _, b in bought) else float(c)
+                price = 0.0 if i in items else float(c)
                 if second and spent + price > budget:
                     continue
                 bought.add((g, i))
+                items.add(i)
                 per[g] = per.get(g, 0) + 1
                 spent += price
                 out.append((g, i, spent))

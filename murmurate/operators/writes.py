@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,10 +84,10 @@ def commit_together(tables: dict[str, DataFrame], root: str, version: str) -> No
 
 
 def current_version(spark, root: str) -> str | None:
-    """The newest version that is whole (versions are told apart by their names, in order)."""
+    """The newest version that is whole. Numbers in names count as numbers, so v10 comes after v9."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [s.getPath() for s in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/_current_*")) or [])]
     whole = [p.getName().removeprefix("_current_") for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max(whole, default=None)
+    return max(whole, default=None, key=lambda v: [(len(x.lstrip("0")), x.lstrip("0")) if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", v)])

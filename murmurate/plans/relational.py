@@ -320,7 +320,7 @@ def _(spark, d):
     return rk.page_numbers(spark, 12, 30)
 
 
-@query("f09_sample")
+@query("f09_sample", "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || '|7'), event_id) <= 20")
 def _(spark, d):
     return rk.sampled(table(spark, d, "events"), "event_type", ["event_id"], 20, 7).select("event_id", "event_type")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import colour
 from ..functions import text as tx
 from ..operators import gates, qualify
+from ..operators.ranking import top_per_group
 from ..operators.writes import split_valid
 from ..streaming import incremental as inc
 from .registry import query, table
@@ -224,10 +225,8 @@ def _(spark, d):
 
 @query("i13_coverage", """SELECT user_id, CASE WHEN count(*) < 20 AND min(ts) >= TIMESTAMP '2024-01-03' OR count(*) >= 20 AND list_sort(list(ts))[-20] > TIMESTAMP '2024-01-03' THEN 'approximate' ELSE 'complete' END AS coverage FROM events GROUP BY 1""")
 def _(spark, d):
-    e = table(spark, d, "events")
-    newest = F.sort_array(F.collect_list("ts"), asc=False)
-    listing = e.groupBy("user_id").agg(F.slice(newest, 1, 20).alias("got"))
-    return listing.select("user_id", inc.coverage(F.array_min("got"), F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")).alias("coverage"))
+    listing = top_per_group(table(spark, d, "events").select("user_id", "ts"), ["user_id"], [F.desc("ts")], 20)
+    return listing.groupBy("user_id").agg(F.min("ts").alias("oldest")).select("user_id", inc.coverage(F.col("oldest"), F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")).alias("coverage"))
 
 
 @query("i06_resumed", "SELECT user_id, CASE WHEN user_id % 3 <> 0 THEN CAST(max(ts) AS TIMESTAMP) END AS watermark, CAST(count(*) AS BIGINT) AS swept FROM events GROUP BY 1")

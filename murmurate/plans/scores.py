@@ -365,6 +365,18 @@ def _(spark, d):
     return g.select("category", R("rate", 6).alias("rate"), R(F.col("rate") * 26280, 4).alias("year3"), "communities", "rankable")
 
 
+@query("d23_category_volume", f"""WITH {M}, {BRIDGE}, h AS (SELECT category, community, count(*) FILTER (label = 1) AS hits, count(*) AS n FROM m GROUP BY 1, 2),
+    x AS (SELECT category, is_scoring, rate * 1.00037 AS rate, round_even(coalesce(hits / nullif(n, 0), 0), 4) AS s, n FROM b LEFT JOIN h USING (category, community)),
+    y AS (SELECT *, CASE WHEN coalesce(n, 0) > 0 AND s = 0 THEN round_even(3.0 / n, 4) ELSE s END AS u FROM x),
+    g AS (SELECT category, count(*) AS candidates, count(*) FILTER (is_scoring) AS scorable, sum(CASE WHEN is_scoring THEN round_even(s * rate, 4) ELSE 0 END) AS live, sum(CASE WHEN is_scoring THEN round_even(u * rate, 4) ELSE 0 END) AS live_ub95 FROM y GROUP BY 1)
+    SELECT category, candidates, scorable, round(live, 6) AS live, round(live_ub95, 6) AS live_ub95, CAST(round_even(live * 26280, 0) AS BIGINT) AS volume, CAST(round_even(live_ub95 * 26280, 0) AS BIGINT) AS volume_ub95,
+           CASE WHEN round_even(live * 26280, 0) >= 20000 THEN 'deep' WHEN round_even(live * 26280, 0) >= 5000 THEN 'standard' ELSE 'thin' END AS tier, scorable >= 5 AS rankable FROM g""")
+def _(spark, d):
+    h = mentions(spark, d).groupBy("category", "community").agg(F.count_if(F.col("label") == 1).alias("hits"), F.count("*").alias("n"))
+    b = bridge(spark, d).join(h, ["category", "community"], "left").withColumn("rate", F.col("rate") * 1.00037)
+    return ag.category_volume(b, "category", "hits", "n", "rate", F.col("is_scoring")).withColumns({"live": R("live", 6), "live_ub95": R("live_ub95", 6)})
+
+
 @query("k11_core_score", f"""WITH {M}, {BRIDGE}, s AS (SELECT community, count(*) AS n FROM m GROUP BY 1), x AS (SELECT b.*, ln(1 + n) AS ev, ln(1 + rate) AS bb FROM b JOIN s USING (community)),
     r AS (SELECT *, (rank() OVER (PARTITION BY category ORDER BY ev) + (count(*) OVER (PARTITION BY category, ev) - 1) / 2.0 - 1) / greatest(count(*) OVER (PARTITION BY category) - 1, 1) AS re,
         (rank() OVER (PARTITION BY category ORDER BY bb) + (count(*) OVER (PARTITION BY category, bb) - 1) / 2.0 - 1) / greatest(count(*) OVER (PARTITION BY category) - 1, 1) AS rb FROM x)

@@ -255,3 +255,23 @@ def _(spark, d):
     tree = F.concat(F.array_join(open_, ""), F.lit('""'), F.repeat(F.lit("}}]}}"), F.size("t")))
     flat = readers.flatten_comments(g.select("conv_id", tree.alias("tree")), "conv_id", "tree")
     return flat.where("id IS NOT NULL").groupBy("conv_id").agg(F.count("*").alias("comments"), F.max("depth").alias("depth"))
+
+
+COMMENTS = """c AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey % 10 = 0 AS gone, l_quantity AS q FROM lineitem),
+    f AS (SELECT c.k, c.i, c.gone, CASE WHEN c.i % 2 = 0 THEN p.i END AS parent, coalesce(p.gone, false) AS parent_gone FROM c LEFT JOIN c p ON p.k = c.k AND p.i = c.i - 1 AND c.i % 2 = 0),
+    mo AS (SELECT k, sum(CASE WHEN i % 3 = 0 THEN CAST(q AS BIGINT) ELSE 0 END) AS more FROM c GROUP BY 1)"""
+
+
+@query("j04_tree_function", f"""WITH {COMMENTS} SELECT f.k, 't1_' || f.i AS id, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS depth, more FROM f JOIN mo USING (k) WHERE NOT gone AND NOT parent_gone""")
+def _(spark, d):
+    """Every order as a comment tree: lines of odd number are siblings, the next even one answers them, each third line stands for comments left out; every tenth part's author is deleted, and the answers with them."""
+    readers.register_functions(spark)
+    li = table(spark, d, "lineitem")
+    line = F.struct(F.col("l_linenumber").alias("i"), F.when(F.col("l_partkey") % 10 == 0, "[deleted]").otherwise("someone").alias("author"), F.col("l_quantity").cast("long").alias("q"))
+    g = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(line)).alias("l"))
+    trees = g.selectExpr("k", """to_json(named_struct('data', named_struct('children', concat(
+        transform(filter(l, (x, j) -> x.i % 2 = 1 OR NOT exists(l, p -> p.i = x.i - 1)), x -> named_struct('kind', 't1', 'data', named_struct('id', string(x.i), 'author', x.author, 'depth', 0, 'body', 'text', 'count', 0L,
+            'replies', named_struct('data', named_struct('children', transform(filter(l, y -> x.i % 2 = 1 AND y.i = x.i + 1), y -> named_struct('kind', 't1', 'data', named_struct('id', string(y.i), 'author', y.author, 'depth', 1, 'body', 'text')))))))),
+        transform(filter(l, x -> x.i % 3 = 0), x -> named_struct('kind', 'more', 'data', named_struct('id', '', 'author', '', 'depth', 0, 'body', '', 'count', x.q, 'replies', named_struct('data', named_struct('children', cast(array() AS array<struct<kind: string, data: struct<id: string, author: string, depth: int, body: string>>>)))))))))) AS tree""")
+    trees.createOrReplaceTempView("order_trees")
+    return spark.sql("SELECT CAST(key AS BIGINT) AS k, id, depth, more FROM comment_tree(TABLE(order_trees) PARTITION BY k)")

@@ -45,7 +45,8 @@ def sitemap(pages: DataFrame, base: str) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a Markdown table (at most ``most`` rows, which a report states)."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; of more than ``most`` rows the first, and a last line that says so."""
+    rows = df.limit(most + 1).collect()
     line = lambda xs: "| " + " | ".join("" if x is None else str(x) for x in xs) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
+    more = [f"\nThe first {most} rows of more."] if len(rows) > most else []
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows[:most]), *more])
