@@ -21,43 +21,52 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of all documents; null and empty texts are one line of 0 tokens."""
     return token_counts(_t(spark, sf_dir, "documents"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents; null is empty, and of equal texts the largest id stays."""
     return exact_dedup(_t(spark, sf_dir, "documents"), keep="largest")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at 0.85 over four-word shingles; texts without words stand alone."""
     return near_duplicates(_t(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the rows that are not held out; null texts and texts without a letter are und."""
     docs = _t(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document occurs in the benchmark; null and empty texts have no words."""
     found = contamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
     return found.drop("items", "hit_spans")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents that an earlier line is similar to; null and empty texts are one line that stays."""
     return line_dedup(_t(spark, sf_dir, "documents")).drop("body")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every document's text; null is empty and has its end alone."""
     docs = _t(spark, sf_dir, "documents")
     return language_model.score(docs, language_model.train(docs))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, null and empty texts included, learnt from the labels that are not held out."""
     docs = _t(spark, sf_dir, "documents")
     machine = quality.train(docs, _t(spark, sf_dir, "labels"), metadata=("n_chars",))
     return quality.score(docs, machine, metadata=("n_chars",))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens; null and empty texts are the end id alone."""
     return pack(_t(spark, sf_dir, "documents"))
 
 
