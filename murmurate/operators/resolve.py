@@ -77,12 +77,13 @@ def _places(text: Column, form: Column) -> Column:
     return F.concat(F.when(first, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), later)
 
 
-def _lists(df: DataFrame | None, spark, name: str) -> DataFrame:
-    """One list a brand."""
+def _with_lists(hits: DataFrame, df: DataFrame | None, name: str) -> DataFrame:
+    """Adds the list that a table has for each hit's brand; null where it has none."""
     if df is None:
-        return spark.createDataFrame([], f"brand string, {name} array<string>")
+        return hits.withColumn(name, F.lit(None).cast("array<string>"))
     b, v = df.columns[:2] if "brand" not in df.columns else ("brand", next(c for c in df.columns if c != "brand"))
-    return df.where(F.col(v) != "").groupBy(F.col(b).alias("brand")).agg(F.collect_set(v).alias(name))
+    lists = df.where(F.col(v) != "").groupBy(F.col(b).alias("brand")).agg(F.collect_set(v).alias(name))
+    return hits.join(lists, "brand", "left")
 
 
 def signal_hits(docs: DataFrame, aliases: DataFrame, domains: DataFrame | None = None, stops: DataFrame | None = None, nouns: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
@@ -143,7 +144,7 @@ def signal_hits(docs: DataFrame, aliases: DataFrame, domains: DataFrame | None =
     x = x.select("doc_id", "h", "title", "proven", "alias", F.col("pos").cast("int").alias("pos"), around(STOP_WINDOW, STOP_WINDOW).alias("near_stop"), around(NOUN_WINDOW, NOUN_WINDOW).alias("near_noun"), around(VERB_WINDOW, 0).alias("ahead"))
     # Rows of one id, text and title have the same hits.
     x = x.dropDuplicates(["doc_id", "h", "alias", "pos"])
-    x = x.join(forms, "alias").join(_lists(stops, spark, "stops"), "brand", "left").join(_lists(nouns, spark, "nouns"), "brand", "left")
+    x = _with_lists(_with_lists(x.join(forms, "alias"), stops, "stops"), nouns, "nouns")
     within = lambda keys: F.sum((F.col("cls") == "SAFE").cast("int")).over(W.partitionBy("doc_id", "h", *keys).orderBy("pos").rangeBetween(1 - NEAR_BRAND, NEAR_BRAND - 1))
     some = lambda values, where: F.coalesce(F.exists(values, lambda v: where.contains(v)), F.lit(False))
     bare = ~F.col("alias").contains(" ") & ~F.col("alias").contains(".")
