@@ -20,7 +20,7 @@ POSTURE_CAPPED = r"(?i)weekly (promo|thread)|self.?promotion (is )?(allowed|perm
 
 def strip_markup(c: Column) -> Column:
     """Without code fences, inline code and quoted lines."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?s)```.*?```|`[^`]+`", " "), r"(?m)^>.*$", " ")
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)```.*?```|`[^`]+`", " "), r"(?md)^>.*$", " ")
 
 
 def normalise_text(text: str) -> str:
@@ -44,6 +44,11 @@ def normalised_ascii(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"['’]s\b", ""), r"\s+", " ")
 
 
+def lowered(c: Column, source: Column | None = None) -> Column:
+    """Lower case without NFKC or case folding (a sharp s stays one): possessives with an ASCII apostrophe dropped, ASCII white space collapsed."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"'s(?![A-Za-z0-9_])", ""), r"[\t\n\f\r ]+", " ")
+
+
 #: Characters that NFKC leaves alone and whose case folding is lower case (but for the sharp s).
 _SETTLED = r"À-ÖØ-öø-ÿ‘’“”–—А-яЁё\u4E00-\u9FFF"
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import normalised_column, strip_markup
 from ..sources.staging import staged
 
 # Fixed values of the decision rules.
@@ -86,7 +89,7 @@ def _with_lists(hits: DataFrame, df: DataFrame | None, name: str) -> DataFrame:
     return hits.join(lists, "brand", "left")
 
 
-def signal_hits(docs: DataFrame, aliases: DataFrame, domains: DataFrame | None = None, stops: DataFrame | None = None, nouns: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
+def signal_hits(docs: DataFrame, aliases: DataFrame, domains: DataFrame | None = None, stops: DataFrame | None = None, nouns: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", title: str | None = None, folded: Callable[[Column, Column], Column] = normalised_column) -> DataFrame:
     """Every hit with its signals: doc_id, seq, pos, alias, brand, cls, canonical, domain, stopped, and near_brand, noun_title, noun_near, verb.
 
     A text meets only the forms and domains with which it shares a key (an equi-join of narrow
@@ -94,16 +97,15 @@ def signal_hits(docs: DataFrame, aliases: DataFrame, domains: DataFrame | None =
     forms' places are found. Domains count anywhere in a text (also inside words); their keys are the
     characters around dots. Tables other than the dictionary are looked up by brand. ``seq`` orders the
     hits of a text by their ends, then the shorter, then the brand. Rows that repeat an id,
-    text and title give their hits once. Null texts have none.
+    text and title give their hits once. Null texts have none. ``folded`` makes the text in which forms
+    are sought from the one without markup and the whole one.
     """
-    from ..functions.text import normalised_column, strip_markup
-
     spark = docs.sparkSession
     head = F.lower(title) if title else F.lit("")
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(head, F.lit("")).alias("title")).where("text IS NOT NULL")
 
     def normal(rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", normalised_column(strip_markup(F.col("text")), F.col("text")).alias("norm"), "title").withColumn("h", F.xxhash64("norm", "title"))
+        return rows.select("doc_id", folded(strip_markup(F.col("text")), F.col("text")).alias("norm"), "title").withColumn("h", F.xxhash64("norm", "title"))
 
     # A table that lies in fewer partitions than there are cores is dealt over them.
     cores = spark.sparkContext.defaultParallelism
@@ -192,9 +194,9 @@ def resolve(docs: DataFrame, aliases: DataFrame, **tables) -> DataFrame:
     return decide(signal_hits(docs, aliases, **tables))
 
 
-def has_alias(docs: DataFrame, aliases: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def has_alias(docs: DataFrame, aliases: DataFrame, doc_id: str = "doc_id", text: str = "text", folded: Callable[[Column, Column], Column] = normalised_column) -> DataFrame:
     """The documents with any hit."""
-    found = signal_hits(docs, aliases, doc_id=doc_id, text=text).select(F.col("doc_id").alias(doc_id)).distinct()
+    found = signal_hits(docs, aliases, doc_id=doc_id, text=text, folded=folded).select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(found, doc_id, "left_semi")
 
 

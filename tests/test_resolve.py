@@ -143,3 +143,15 @@ def test_documents_with_markup_have_their_hits(spark, tmp_path, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     cols = [c for c in got[0] if c != "conf"]
     assert sorted(tuple(r[c] for c in cols) for r in got) == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE_SQL[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["j01_c17_alias_hits"])
+def test_letters_beyond_ascii_are_read_as_the_sql_reads_them(spark, tmp_path, name):
+    docs = [(1, "acme widgetß"), (2, "ßacme widget"), (3, "acme widget"), (4, "ａcme widget"), (5, "acme’s widget"), (6, "acme's widget"), (7, "ACME \n WIDGET"), (8, "> a\racme widget"), (9, "acme \x0bwidget"), (10, "acme'sß widget")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "acme widget is good")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(r["doc_id"] for r in QUERIES[name](spark, str(tmp_path)).collect())
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == [1, 2, 6, 7] == sorted(r[0] for r in con.execute(f"SELECT doc_id FROM ({ORACLE_SQL[name]})").fetchall())
