@@ -40,10 +40,12 @@ def label_results(asked: DataFrame, found: DataFrame, key: str, labels: list[str
 
     An answer that says the entity is another one (``entity_ok`` false) drops the item; a label
     that is not one of ``labels``, or no answer, is ``unknown``; evidence is cut to ``most`` characters.
+    Answers may be as many as the items and of any length, so they are cut before they meet and are not broadcast.
     """
     label = F.lower("label")
-    j = asked.select(key).join(found.select(key, "label", "entity_ok", "evidence"), key, "left").where(~F.col("entity_ok").eqNullSafe(F.lit(False)))
-    return j.select(key, F.when(label.isin(labels), label).otherwise(unknown).alias("label"), F.substring("evidence", 1, most).alias("evidence"))
+    answers = found.select(key, "label", "entity_ok", F.substring("evidence", 1, most).alias("evidence")).hint("merge")
+    j = asked.select(key).join(answers, key, "left").where(~F.col("entity_ok").eqNullSafe(F.lit(False)))
+    return j.select(key, F.when(label.isin(labels), label).otherwise(unknown).alias("label"), "evidence")
 
 
 def valid_batches(asked: DataFrame, found: DataFrame, batch: str, item: str, share: float = 0.9) -> DataFrame:

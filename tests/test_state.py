@@ -21,6 +21,16 @@ def test_whole_groups_under_a_budget(spark):
     assert {r["g"] for r in selection.whole_groups(df, "g", ["fresh"], 5).select("g").distinct().collect()} == {"b", "d"}
 
 
+def test_long_evidence_is_cut_before_it_is_joined(spark):
+    from murmurate.operators import qualify
+
+    found = spark.createDataFrame([(1, "X", True), (2, "y", None), (3, "x", False)], "k long, label string, entity_ok boolean").withColumn("evidence", F.expr("repeat('ab', 100000)"))
+    got = qualify.label_results(spark.range(1, 5).withColumnRenamed("id", "k"), found, "k", ["x"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted((r["k"], r["label"], r["evidence"]) for r in got.collect()) == [(1, "x", "ab" * 150), (2, "abstain", "ab" * 150), (4, "abstain", None)]
+
+
 def test_shared_items_cost_once(spark):
     df = spark.createDataFrame([("a", "x", 5.0, 4.0), ("b", "x", 5.0, 4.0), ("b", "y", 1.0, 9.0)], "g string, i string, w double, c double")
     got = {(r["g"], r["i"]) for r in selection.budgeted(df, "g", "i", "w", "c", 1, 6.0).collect()}
