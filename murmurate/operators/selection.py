@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..sources.staging import staged
+from .ranking import global_position
 
 #: Greedy choices run in one task over candidate groups, of which there may be at most this many.
 MOST_GROUPS = 1_000_000
@@ -19,26 +25,62 @@ def _bounded(df: DataFrame) -> DataFrame:
 def whole_groups(df: DataFrame, group: str, priority: list[str], budget: int) -> DataFrame:
     """Rows of whole groups under a budget of rows, in the order of ``priority`` (columns of the group, falling) then the group.
 
-    A group that would exceed the budget is passed over unless nothing is taken yet. Only group
-    sizes meet in one task; rows are joined back.
+    A group that would exceed the budget is passed over unless nothing is taken yet. What is taken
+    only grows, so once a group is passed over, all later ones of its size are: of n rows a group, no
+    more than the first budget / n can be taken. Only these, in sum about budget * ln(budget) whatever the
+    table holds, and the first of all groups meet in one task; rows are joined back. While they are
+    too many for one, the longest run of groups from the front that fits is taken at once, by running totals.
     """
-    g = _bounded(df.groupBy(group).agg(F.count("*").alias("__n"), *[F.max(p).alias(p) for p in priority]))
+    g = df.groupBy(group).agg(F.count("*").alias("__n"), *[F.max(p).alias(p) for p in priority])
+    order = [*[F.desc_nulls_last(p) for p in priority], F.asc_nulls_last(group)]
     kind = df.schema[group].dataType.simpleString()
+    g = staged(g, "groups")
+    fronts, taken = [], 0
+    while True:
+        left = budget - taken
+        able = g if not taken else g.where(F.col("__n") <= left)
+        firsts = staged(_firsts(able, order, left), "firsts")
+        if firsts.count() <= MOST_GROUPS:
+            break
+        run = global_position(able, order, "__place", {"__total": F.col("__n")})
+        # The first of all is taken whatever its size.
+        front = staged(run.where((F.col("__total") <= left) | ((F.col("__place") == 1) & F.lit(not taken))), "front")
+        fronts.append(front.select(group))
+        last, now = front.agg(F.max("__place"), F.sum("__n")).first()
+        taken += now
+        if taken >= budget:
+            firsts = None
+            break
+        g = run.where(F.col("__place") > last).select(*g.columns)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*priority, group], ascending=[*[False] * len(priority), True])
-        kept, taken = [], 0
+        kept, so_far = [], taken
         for name, n in zip(pdf[group], pdf["__n"], strict=True):
-            if taken and taken + n > budget:
+            if so_far and so_far + n > budget:
                 continue
             kept.append(name)
-            taken += n
-            if taken >= budget:
+            so_far += n
+            if so_far >= budget:
                 break
         return pd.DataFrame({group: kept})
 
-    chosen = g.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(choose, f"{group} {kind}")
-    return df.join(F.broadcast(chosen), group, "left_semi")
+    if firsts is not None:
+        fronts.append(firsts.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(choose, f"{group} {kind}"))
+    chosen = reduce(DataFrame.unionByName, fronts)
+    return df.join(F.broadcast(chosen) if budget <= MOST_GROUPS else chosen, group, "left_semi")
+
+
+def _firsts(groups: DataFrame, order: list[Column], left: int) -> DataFrame:
+    """The groups that a greedy choice under ``left`` rows may take: of each size the first that fit together, and the first of all (of those too large)."""
+    spark = groups.sparkSession
+    size = F.when(F.col("__n") <= left, F.col("__n")).otherwise(0)
+    most = F.when(F.col("__size") == 0, 1).otherwise(F.floor(F.lit(left) / F.greatest(F.col("__size"), F.lit(1))))
+    x = groups.withColumn("__size", size).withColumn("__part", F.pmod(F.xxhash64(*groups.columns), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    # In parts first, so that no task sorts all groups of a size.
+    for keys in (["__size", "__part"], ["__size"]):
+        x = x.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= most)
+    return x.drop("__size", "__part", "__rn")
 
 
 def budgeted(df: DataFrame, group: str, item: str, worth: str, cost: str, floor: int, budget: float) -> DataFrame:

@@ -21,6 +21,22 @@ def test_whole_groups_under_a_budget(spark):
     assert {r["g"] for r in selection.whole_groups(df, "g", ["fresh"], 5).select("g").distinct().collect()} == {"b", "d"}
 
 
+@pytest.mark.parametrize("most", [1_000_000, 6])
+def test_whole_groups_are_the_greedy_choice_however_many(spark, monkeypatch, most):
+    monkeypatch.setattr(selection, "MOST_GROUPS", most)
+    monkeypatch.setattr(selection, "_bounded", lambda df: df.where(F.raise_error(F.lit("bounded")).isNull()))
+    sizes = {g: (g * 37 % 11 + 1, g * 7 % 3) for g in range(40)}
+    df = spark.createDataFrame([(g, f) for g, (n, f) in sizes.items() for _ in range(n)], "g long, fresh int")
+    for budget in (0, 5, 23, 60):
+        want, taken = set(), 0
+        for g in sorted(sizes, key=lambda g: (-sizes[g][1], g)):
+            if taken < budget and taken + sizes[g][0] <= budget or not taken:
+                want.add(g)
+                taken += sizes[g][0]
+        got = selection.whole_groups(df, "g", ["fresh"], budget).groupBy("g").count().collect()
+        assert {r["g"]: r["count"] for r in got} == {g: sizes[g][0] for g in want}
+
+
 def test_long_evidence_is_cut_before_it_is_joined(spark):
     from murmurate.operators import qualify
 
