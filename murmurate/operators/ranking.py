@@ -56,15 +56,26 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_per_group(df, keys, order, 1)
 
 
+#: So many of a via's first nodes are paired with all its nodes at once.
+NEAREST = 2
+
+
 def neighbours(links: DataFrame, node: str, via: str, most: int = 15) -> DataFrame:
     """``source`` and ``sibling``: for each node its first ``most`` others (in order) with which it shares a ``via``.
 
     Null nodes and null vias link nothing. Exact without all pairs of a via: a sibling among a
-    source's first is, but for the source itself, among the first of the via that they share.
+    source's first is, but for the source itself, among the first of the via that they share. The first
+    ``NEAREST`` of each via are paired with its nodes, which gives most sources their ``most`` already; of the
+    others of a via only those pair that come before the last of these.
     """
     e = links.select(F.col(node).alias("source"), F.col(via).alias("via")).dropna().distinct()
-    first = top_per_group(e.select(F.col("source").alias("sibling"), "via"), ["via"], [F.col("sibling")], most + 1)
-    pairs = e.join(first, "via").where("source <> sibling").select("source", "sibling").distinct()
+    first = top_per_group(e.select(F.col("source").alias("sibling"), "via"), ["via"], [F.col("sibling")], most + 1, "place")
+    pair = F.col("source") != F.col("sibling")
+    near = e.join(first.where(F.col("place") <= NEAREST), "via").where(pair).select("source", "sibling").distinct()
+    near = top_per_group(near, ["source"], [F.col("sibling")], most, "nth")
+    bound = near.where(F.col("nth") == most).select("source", F.col("sibling").alias("bound"))
+    rest = e.join(bound, "source", "left").join(first.where(F.col("place") > NEAREST), "via").where(pair & (F.col("bound").isNull() | (F.col("sibling") < F.col("bound"))))
+    pairs = near.select("source", "sibling").unionByName(rest.select("source", "sibling")).distinct()
     return top_per_group(pairs, ["source"], [F.col("sibling")], most)
 
 

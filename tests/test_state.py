@@ -130,6 +130,19 @@ def test_neighbours_are_the_first_of_all(spark, tmp_path):
     assert max(map(len, siblings.values())) > 30 and sorted(map(tuple, got)) == want
 
 
+def _rows_shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_neighbours_shuffle_few_pairs(spark):
+    links = spark.range(0, 40_000).select(F.pmod(F.xxhash64("id"), F.lit(4000)).alias("p"), F.pmod(F.xxhash64(F.col("id") + 1_000_000), F.lit(200)).alias("s")).distinct().localCheckpoint()
+    n, before = links.count(), _rows_shuffled(spark)
+    got = ranking.neighbours(links, "p", "s").collect()
+    assert len(got) > 50_000 and _rows_shuffled(spark) - before < 16 * n
+
+
 def test_release_helpers(spark, tmp_path):
     from murmurate.functions import colour
     from murmurate.operators import gates, qualify, writes
