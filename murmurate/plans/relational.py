@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..operators import aggregates as ag
 from ..operators import gates, ranking as rk, selection as sel, writes as wr
 from ..sources import sinks
+from ..sources.staging import staged
 from ..streaming import incremental as inc
 from .registry import query, table
 from .standin import AS_OF, BRIDGE, M, bridge, mentions
@@ -535,12 +536,12 @@ def _(spark, d):
 
 @query("a12_a13_published", f"WITH {M} SELECT brand, label, count(*) AS n FROM m WHERE brand <> 'Brand#3' GROUP BY 1, 2")
 def _(spark, d):
-    m = mentions(spark, d).withColumns({"run_id": F.lit("r"), "match_conf": F.lit(0.9)})
-    brands = m.select("brand").distinct().withColumn("status", F.when(F.col("brand") == "Brand#3", "draft").otherwise("published"))
-    lab = m.select("doc_id", "brand", "part", "author", "votes", "community", "ts", "label", F.lit("v1").alias("version"))
-    p = sinks.published_mentions(m.drop("label").join(lab.drop("version", "label"), ["doc_id", "brand", "part", "author", "votes", "community", "ts"], "left_semi"), lab.groupBy("doc_id", "brand", "version").agg(F.min("label").alias("label")), brands, "v1")
-    one = m.groupBy("doc_id", "brand").agg(F.min("label").alias("least"))
-    return m.where("brand <> 'Brand#3'").join(p.select("doc_id", "brand").distinct(), ["doc_id", "brand"], "left_semi").join(one, ["doc_id", "brand"]).groupBy("brand", "label").agg(F.count("*").alias("n"))
+    """The labels of published mentions. The joins of the fact are made once; a mention is a document's of a brand, each of its labels counts as often as it was given."""
+    m = staged(mentions(spark, d).select("doc_id", "brand", "label"), "mentions")
+    brands = table(spark, d, "part").select(F.col("p_brand").alias("brand")).distinct().withColumn("status", F.when(F.col("brand") == "Brand#3", "draft").otherwise("published"))
+    lab = m.groupBy("doc_id", "brand", "label").agg(F.count("*").alias("n")).select("doc_id", "brand", F.struct("label", "n").alias("label"), F.lit("v1").alias("version"))
+    every = m.select("doc_id", "brand").distinct().withColumns({"run_id": F.lit("r"), "match_conf": F.lit(0.9)})
+    return sinks.published_mentions(every, lab, brands, "v1").groupBy("brand", "label.label").agg(F.sum("label.n").alias("n"))
 
 
 @query("a14_sitemap", "SELECT 'https://x.example/' || CASE WHEN slug = '' THEN '' ELSE slug || '/' END AS url, CASE kind WHEN 'company' THEN 'weekly' ELSE 'daily' END AS changefreq, CASE kind WHEN 'home' THEN 1.0 WHEN 'category' THEN 0.8 ELSE 0.6 END AS priority FROM (SELECT '' AS slug, 'home' AS kind UNION ALL SELECT DISTINCT p_brand, 'company' FROM part UNION ALL SELECT DISTINCT p_type, 'category' FROM part)")

@@ -143,6 +143,15 @@ def test_neighbours_shuffle_few_pairs(spark):
     assert len(got) > 50_000 and _rows_shuffled(spark) - before < 16 * n
 
 
+def test_the_joins_of_published_mentions_are_made_once(spark):
+    from test_catalog import DATA
+
+    shuffled = _rows_shuffled(spark)
+    QUERIES["a12_a13_published"](spark, str(DATA)).collect()
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert _rows_shuffled(spark) - shuffled < 4 * lines
+
+
 def test_release_helpers(spark, tmp_path):
     from murmurate.functions import colour
     from murmurate.operators import gates, qualify, writes
