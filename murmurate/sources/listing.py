@@ -7,12 +7,15 @@ first. Pages are read through Arrow's file systems (local mounts, HDFS, S3 and o
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
 import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyarrow import fs as pafs
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -78,21 +81,34 @@ class Listing:
                     time.sleep(self.wait * 2**attempt)
         return None
 
-    def walk(self, scope: str, floor: int, max_pages: int | None) -> Walk:
-        """Items newer than the floor, down to it or to the listing's end, over at most ``max_pages`` pages."""
-        name, items, read = self.first, [], 0
+    def pages(self, scope: str, floor: int, max_pages: int | None, name: str | None = None) -> Iterator[tuple[str, list[dict] | None]]:
+        """Each page's name and its items newer than the floor, from a page (the first if unset) down to the floor or to the listing's end.
+
+        A page that does not come gives None, a spent budget an empty name; both end the way.
+        """
+        name, read = name or self.first, 0
         while name:
             if read == max_pages:
-                return Walk(items, True, True)
+                yield "", None
+                return
             page = self.page(scope, name)
             if page is None:
-                return Walk(items, False, False)
+                yield name, None
+                return
             read += 1
             got = page.get("items") or []
-            items += [i for i in got if int(i["created"]) > floor]
+            yield name, [i for i in got if int(i["created"]) > floor]
             if any(int(i["created"]) <= floor for i in got):
-                break
+                return
             name = page.get("after")
+
+    def walk(self, scope: str, floor: int, max_pages: int | None) -> Walk:
+        """Items newer than the floor, down to it or to the listing's end, over at most ``max_pages`` pages."""
+        items = []
+        for name, got in self.pages(scope, floor, max_pages):
+            if got is None:
+                return Walk(items, not name, not name)
+            items += got
         return Walk(items, True, False)
 
 
@@ -143,7 +159,10 @@ class _StreamReader(DataSourceStreamReader):
 
     It moves only over a complete walk; after a lost page or a spent budget a scope stays where it
     was and is walked again, while the others go on. A micro-batch holds the items between two
-    offsets, which a listing that only grows gives again after any failure. The offsets given out
+    offsets, which a listing that only grows gives again after any failure. What a walk found and could
+    not admit is remembered by its times (8 bytes an item), so the next walk ends at the newest item seen, and by
+    pages, so a micro-batch is read from the page that holds its newest item; a listing that has changed
+    otherwise, or a restart, is walked from its first page. The offsets given out
     are kept in ``progress`` before Spark sees them, as Spark does not tell a restarted source
     where it stopped; an offset that Spark never logged is covered by its own older one.
     """
@@ -151,6 +170,9 @@ class _StreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.options, self.listing = options, Listing(options)
         self.floors: dict[str, int] | None = None
+        #: By scope: the times of what waits, oldest first, and from each page of the way down its name and the newest time in it.
+        self.waiting: dict[str, np.ndarray] = {}
+        self.places: dict[str, list[tuple[str, int]]] = {}
 
     def initialOffset(self) -> dict:
         return {}
@@ -165,22 +187,39 @@ class _StreamReader(DataSourceStreamReader):
         # Who is furthest behind comes first where not all can be admitted.
         for scope in sorted(walks, key=lambda s: (self.floors.get(s, NOTHING), s)):
             times = walks[scope]
-            if not times or left == 0:
+            if not len(times) or left == 0:
                 now.setdefault(scope, NOTHING)
                 continue
             if left is not None and len(times) > left:
-                times = times[: left + times[left:].count(times[left - 1])]
-            now[scope] = times[-1]
+                times = times[: np.searchsorted(times, times[left - 1], "right")]
+            now[scope] = int(times[-1])
             left = None if left is None else max(0, left - len(times))
         if now != self.floors and "progress" in self.options:
             write_whole(self.options["progress"], json.dumps(now).encode())
         self.floors = now
         return now
 
-    def _times(self, scope: str) -> list[int]:
+    def _times(self, scope: str) -> np.ndarray:
         """When the new items of a complete walk were made, oldest first; nothing if it was not complete."""
-        walk = self.listing.walk(scope, self.floors.get(scope, NOTHING), _pages(self.options))
-        return sorted(int(i["created"]) for i in walk.items) if walk.complete else []
+        floor, old = self.floors.get(scope, NOTHING), self.waiting.get(scope, np.zeros(0, np.int64))
+        old = old[np.searchsorted(old, floor, "right") :]
+        # Items as new as the newest seen may have come since.
+        seen = int(old[-1]) - 1 if len(old) else floor
+        found, places = [], []
+        for name, items in self.listing.pages(scope, seen, _pages(self.options)):
+            if items is None:
+                self.waiting.pop(scope, None)
+                return np.zeros(0, np.int64)
+            if items:
+                found.append(np.array([int(i["created"]) for i in items], np.int64))
+                places.append((name, int(found[-1].max())))
+        times = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+        if len(old):
+            times = np.concatenate([old[: np.searchsorted(old, seen, "right")], times])
+        else:
+            self.places[scope] = places
+        self.waiting[scope] = times
+        return times
 
     def _kept(self) -> dict[str, int]:
         if "progress" not in self.options:
@@ -191,14 +230,26 @@ class _StreamReader(DataSourceStreamReader):
         with fs.open_input_stream(path) as f:
             return json.loads(f.read())
 
+    def _place(self, scope: str, top: int) -> str | None:
+        """The last page known whose first item is newer than a time: what is not newer begins there or below, however much came since."""
+        names = self.places.get(scope, [])
+        k = bisect.bisect_left(names, -top, key=lambda p: -p[1])
+        return names[k - 1][0] if k else None
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [InputPartition((s, start.get(s, NOTHING), top)) for s, top in end.items() if top > start.get(s, NOTHING)]
+        return [InputPartition((s, start.get(s, NOTHING), top, self._place(s, top))) for s, top in end.items() if top > start.get(s, NOTHING)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        scope, floor, top = partition.value
-        walk = self.listing.walk(scope, floor, None)
-        if not walk.ok:
-            raise OSError(f"a page of {scope} that was there is gone; the batch is read again")
-        for i in walk.items:
-            if int(i["created"]) <= top:
-                yield scope, i["id"], int(i["created"]), i.get("title"), True
+        scope, floor, top, place = partition.value
+        way = self.listing.pages(scope, floor, None, place)
+        if place:
+            name, items = next(way)
+            # A page that is not what it was: from the first one.
+            newer = items and int(items[0]["created"]) > top
+            way = itertools.chain([(name, items)], way) if newer else self.listing.pages(scope, floor, None)
+        rows = []
+        for _, items in way:
+            if items is None:
+                raise OSError(f"a page of {scope} that was there is gone; the batch is read again")
+            rows += [(scope, i["id"], int(i["created"]), i.get("title"), True) for i in items if int(i["created"]) <= top]
+        yield from rows
