@@ -294,3 +294,24 @@ def test_a_loose_bin_of_many_small_pieces_is_handed_on(spark, monkeypatch):
     monkeypatch.setattr(packing, "MERGE_PIECES", 4)
     rows = packing.pack(spark.range(1000).selectExpr("id as doc_id", "'a b c' as text"), capacity=64).collect()
     assert len({r["sequence_id"] for r in rows}) == -(-sum(r["length"] for r in rows) // 64)
+
+
+def test_events_carry_numbers_of_words_and_not_their_hashes(spark, tmp_path):
+    from murmurate.llm import language_model as lm
+
+    texts = [" ".join(f"w{(i * 31 + j * j) % 5000}" for j in range(400)) for i in range(60)]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(str(tmp_path / "texts"))
+    m = lm.fit(spark.read.parquet(str(tmp_path / "texts")))
+    counts = [lm._level(m.folder, f"words-{b}", lm.WordLevel) for b in range(m.word_buckets)]
+    begin = np.cumsum([0, *[c.hashes.n if c else 0 for c in counts]]).astype(np.uint64)
+    vocabulary = lm.Vocabulary(m.folder, [], begin)
+    h, n = lm._tokens([t.encode() for t in texts])
+    t, key = lm._events(h, n)
+    numbers = vocabulary.numbers(t)
+    assert sorted(numbers.tolist()) == list(range(m.vocabulary + 2)) and (vocabulary.hashes(numbers) == t).all()
+    u, v, w = lm._parts(lm._counted(key)[0])
+    piece = lm._piece(numbers, u, v, w, np.ones(len(u), np.int64))
+    got = lm._unpiece(piece)
+    assert [x.tolist() for x in got[:1]] == [numbers[np.isin(np.arange(len(t)), np.concatenate([u, v, w]))].tolist()] and len(piece) < 6 * len(u)
+    merged = lm._merged([piece, piece], vocabulary)
+    assert (merged[0] == t).all() and [x.tolist() for x in merged[1:4]] == [u.tolist(), v.tolist(), w.tolist()] and set(merged[4].tolist()) == {2}
