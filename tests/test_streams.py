@@ -144,3 +144,22 @@ def test_a_kill_between_commits_loses_and_doubles_nothing(spark, tmp_path):
     assert sorted(r["id"] for r in bad.collect()) == [i for i in range(95) if i % 19 == 3] and {r["error"] for r in bad.collect()} == {"ValueError: refused"}
     assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "sink" / "batch=4").glob("*.parquet") if f.name in before} == before
     assert json.loads((tmp_path / "sink" / "_ledger" / "batch=4" / "_done").read_text()) == {"landed": 90, "refused": 5, "repeated": 10, "parts": 10}
+
+
+def test_micro_batches_read_each_page_a_few_times(tmp_path, monkeypatch):
+    from murmurate.sources import listing
+
+    _publish(tmp_path, "a", range(1, 301))
+    asked = []
+    page = listing.Listing.page
+    monkeypatch.setattr(listing.Listing, "page", lambda self, scope, name: asked.append(name) or page(self, scope, name))
+    reader = listing._StreamReader({"path": str(tmp_path), "retries": 0, "max_rows": 10})
+    start, got = reader.initialOffset(), []
+    for n in range(40):
+        if n == 12:  # the listing grows, so its pages shift
+            _publish(tmp_path, "a", range(1, 321))
+        end = reader.latestOffset()
+        for p in reader.partitions(start, end):
+            got += [r[2] for r in reader.read(p)]
+        start = end
+    assert sorted(got) == list(range(1, 321)) == sorted(set(got)) and len(asked) < 6 * 107
