@@ -8,9 +8,9 @@ words that they share are the key under which they meet:
   ``LONGEST`` lines, to a third (prefixes grow by a word for each).
 
 Under a key, lines are met in the order of their first occurrence and filtered by length, by
-position and by the parity of their words (192 bits: two sets whose parities differ in d bits differ
-in d words at least) before a pair leaves the task. A line needs one earlier match only: its
-nearest candidates are verified first, the others if these fail.
+position and by the parity of their words (64 to 256 bits by their number: two sets whose parities
+differ in d bits differ in d words at least) before a pair leaves the task. A line needs one earlier
+match only: its nearest candidates are verified first, the others if these fail.
 """
 
 from __future__ import annotations
@@ -35,13 +35,17 @@ DEPTH = 3
 NEAREST, MOST = 2, 32
 #: Tokens after which a task hands on its counts.
 COUNTED = 1_000_000
+#: Postings after which a task hands them on.
+POSTINGS = 430_000
 #: Up to so many lines are looked up by a broadcast of their places, more by a join.
 BROADCAST_PLACES = 1_000_000
 #: Bits of the filters that name words of more than one line, and the keys of the lines that are left for the second round.
 FILTER_BITS = 26
 
 #: Key, set, parity of its words, place (order of the document, line), size, and how many words it can share under the key.
-_POST = np.dtype([("t", "<u8"), ("d", "<i8"), ("m0", "<u8"), ("m1", "<u8"), ("m2", "<u8"), ("o", "<u8"), ("i", "<u4"), ("n", "<u2"), ("r", "<u2")])
+_POST = np.dtype([("t", "<u8"), ("d", "<i8"), ("m0", "<u8"), ("m1", "<u8"), ("m2", "<u8"), ("m3", "<u8"), ("o", "<u8"), ("i", "<u4"), ("n", "<u2"), ("r", "<u2")])
+#: Lines of up to so many words have a parity of 64 bits, and of 128 bits; longer ones have 256.
+NARROW, MIDDLE = 64, 176
 _LARGE = 65535
 _SIGN = np.uint64(1 << 63)
 
@@ -192,8 +196,37 @@ def least_size(rule: sj.Rule) -> int:
     return n
 
 
+def parities(tokens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The parity of sets that lie end to end, as four words: short sets have it folded into the first two or the first one, the others are zero."""
+    bit, which, at = np.uint64(1) << (tokens & np.uint64(63)), tokens >> np.uint64(6) & np.uint64(3), np.cumsum(sizes) - sizes
+    m = [np.bitwise_xor.reduceat(bit * (which == k), at) for k in range(4)]
+    for short, width in ((sizes <= MIDDLE, 2), (sizes <= NARROW, 1)):
+        for k in range(width):
+            m[k][short] ^= m[k + width][short]
+            m[k + width][short] = 0
+    return m
+
+
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
+def packed_postings(x: np.ndarray) -> bytes:
+    """Postings by columns of bytes, compressed: sorted keys, short parities, places and sizes take few bytes each."""
+    return _zstd().compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T), asbytes=True)
+
+
+def unpacked_postings(payload: pd.Series, rows: pd.Series) -> np.ndarray:
+    out, at, codec = np.empty(int(rows.sum()), _POST), 0, _zstd()
+    for p, n in zip(payload, rows.tolist(), strict=True):
+        planes = np.frombuffer(codec.decompress(p, n * _POST.itemsize), np.uint8)
+        out[at : at + n].view(np.uint8).reshape(n, -1)[:] = planes.reshape(-1, n).T
+        at += n
+    return out
+
+
 def postings(docs: DataFrame, rule: sj.Rule, frequent: tuple[np.ndarray, np.ndarray], lines: int, wanted: np.ndarray, exempt: bool) -> DataFrame:
-    """Postings of all lines under their keys, packed by ``bucket``; only under the keys in ``wanted`` (a bit set) or, if these are ``exempt``, of more than one word."""
+    """Postings of all lines under their keys, ``rows`` of them packed by ``bucket``; only under the keys in ``wanted`` (a bit set) or, if these are ``exempt``, of more than one word."""
     buckets = bucket_count(docs, POSTED)
     context = docs.sparkSession.sparkContext
     held, want = context.broadcast(frequent), context.broadcast(wanted)
@@ -206,12 +239,11 @@ def postings(docs: DataFrame, rule: sj.Rule, frequent: tuple[np.ndarray, np.ndar
 
         def flush() -> pa.RecordBatch:
             x = np.concatenate(packed)
-            own = (x["t"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(own, kind="stable")
-            x, own = x[order], own[order].astype(np.int64)
-            cut = np.flatnonzero(np.diff(own)) + 1
-            own = own[np.concatenate([[0], cut])]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([p.tobytes() for p in np.split(x, cut)], pa.binary())], names=["bucket", "payload"])
+            x = x[np.argsort(x["t"])]
+            own = ((x["t"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            parts = np.split(x, np.flatnonzero(np.diff(own)) + 1)
+            own = own[np.cumsum([0, *map(len, parts[:-1])])]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([len(p) for p in parts], pa.int32()), pa.array([packed_postings(p) for p in parts], pa.binary())], names=["bucket", "rows", "payload"])
 
         for part, row, line, tokens, sizes in _runs(batches, 1):
             ok = sizes >= least
@@ -226,24 +258,23 @@ def postings(docs: DataFrame, rule: sj.Rule, frequent: tuple[np.ndarray, np.ndar
             keep = np.zeros(len(sizes), bool)
             keep[some] = True
             tokens, sizes, node, place, line = tokens[np.repeat(keep, sizes)], sizes[keep], node[keep], place[keep], line[keep]
-            bit, which, at = np.uint64(1) << (tokens & np.uint64(63)), (tokens >> np.uint64(6) & np.uint64(0xFFFF)) % np.uint64(3), np.cumsum(sizes) - sizes
-            parity = [np.bitwise_xor.reduceat(bit * (which == k), at) for k in range(3)]
+            parity = parities(tokens, sizes)
             key, who, rest, words_in = keys_of(tokens, sizes, rule, counts, lines, depth)
             hit = _in_filter(want.value, key)
             if exempt:
                 hit |= words_in > 1
             key, who, rest = key[hit], who[hit], rest[hit]
             x = np.empty(len(key), _POST)
-            x["t"], x["d"], x["m0"], x["m1"], x["m2"], x["o"], x["i"], x["n"], x["r"] = key, node[who], *(m[who] for m in parity), place[who], line[who], np.minimum(sizes[who], _LARGE), np.minimum(rest, _LARGE)
+            x["t"], x["d"], x["m0"], x["m1"], x["m2"], x["m3"], x["o"], x["i"], x["n"], x["r"] = key, node[who], *(m[who] for m in parity), place[who], line[who], np.minimum(sizes[who], _LARGE), np.minimum(rest, _LARGE)
             packed.append(x)
             size += len(x)
-            if size > 500_000:
+            if size > POSTINGS:
                 yield flush()
                 packed, size = [], 0
         if size:
             yield flush()
 
-    return docs.select("ord", "text").mapInArrow(post, "bucket int, payload binary")
+    return docs.select("ord", "text").mapInArrow(post, "bucket int, rows int, payload binary")
 
 
 def _in_filter(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -261,7 +292,10 @@ def near_pairs(x: dict[str, np.ndarray], rule: sj.Rule, nearest: int, most: int,
     size = len(x["t"])
     start = np.flatnonzero(np.concatenate([[True], x["t"][1:] != x["t"][:-1]]))
     rank = np.arange(size) - np.repeat(start, np.diff(np.concatenate([start, [size]])))
-    n, r, parity = x["n"].astype(np.int32), x["r"].astype(np.int32), [x[m] for m in ("m0", "m1", "m2")]
+    n, r, four = x["n"].astype(np.int32), x["r"].astype(np.int32), [x[m] for m in ("m0", "m1", "m2", "m3")]
+    two = [four[0] ^ four[2], four[1] ^ four[3]]
+    one = two[0] ^ two[1]
+    differ = lambda words, a, b: sum(np.bitwise_count(m[b] ^ m[a]).astype(np.int32) for m in words)
     found, likely, done, stopped = np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size, bool), np.zeros(size, bool)
     y, gap, out = np.flatnonzero(rank > 0) if open_ is None else np.flatnonzero((rank > 0) & open_), 0, []
     while True:
@@ -275,15 +309,20 @@ def near_pairs(x: dict[str, np.ndarray], rule: sj.Rule, nearest: int, most: int,
         b, na, nb, large = y[ok], na[ok], nb[ok], large[ok]
         a = b - gap
         need = -(-rule.percent * (na + nb) // (100 + rule.percent))
-        bits = sum(np.bitwise_count(m[b] ^ m[a]).astype(np.int32) for m in parity)
-        allowed = na + nb - 2 * need
+        allowed, bits = na + nb - 2 * need, differ([one], a, b)
         # Before the key they share nothing (else they meet under another), so this is all that they can share.
         ok = ((bits <= allowed) & (np.minimum(r[b], r[a]) >= need)) | large
         if ok.any():
-            a, b, bits = a[ok], b[ok], bits[ok]
+            a, b, bits, allowed, large = a[ok], b[ok], bits[ok], allowed[ok], large[ok]
+            # The widest parity that both have.
+            for words, longer in ((two, NARROW), (four, MIDDLE)):
+                wide = np.flatnonzero(np.minimum(n[a], n[b]) > longer)
+                bits[wide] = differ(words, a[wide], b[wide])
+            ok = (bits <= allowed) | large
+            a, b, bits, allowed = a[ok], b[ok], bits[ok], allowed[ok]
             out.append((a, b, bits))
             found[b] += 1
-            likely[b] += 2 * bits <= allowed[ok]
+            likely[b] += 2 * bits <= allowed
             full = b[(found[b] >= most) | (likely[b] >= nearest)]
             if len(full):
                 done[full] = True
@@ -317,8 +356,8 @@ def in_order(x: np.ndarray) -> dict[str, np.ndarray]:
     return {c: np.ascontiguousarray(x[c]) for c in _POST.names}
 
 
-#: Postings' bytes as a share of the texts'.
-POSTED = 2.0
+#: Unpacked postings' bytes as a share of the texts'.
+POSTED = 3.0
 _PAIRS = "a long, ao long, ai int, b long, bo long, bi int, bits int, key long"
 
 
@@ -333,7 +372,7 @@ def met_pairs(packed: DataFrame, rule: sj.Rule) -> DataFrame:
     """``a`` (earlier) and ``b`` (later) with their places, ``bits`` and, where b stopped early, the ``key`` under which it did."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = in_order(np.concatenate([np.frombuffer(p, _POST) for p in pdf["payload"]]))
+        x = in_order(unpacked_postings(pdf["payload"], pdf["rows"]))
         return _pair_frame(x, *near_pairs(x, rule, NEAREST, MOST))
 
     return packed.groupBy("bucket").applyInPandas(meet, _PAIRS)
@@ -349,7 +388,7 @@ def unsettled_pairs(packed: DataFrame, rule: sj.Rule, open_: DataFrame, buckets:
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return _pair_frame(dict.fromkeys(_POST.names, np.zeros(0, np.int64)) | {"t": np.zeros(0, np.uint64), "o": np.zeros(0, np.uint64)}, *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool))
-        x = in_order(np.concatenate([np.frombuffer(p, _POST) for p in left["payload"]]))
+        x = in_order(unpacked_postings(left["payload"], left["rows"]))
         # A hash of both: a rare collision only makes a line look that need not.
         both = lambda t, d: mix(mix(t.view(np.uint64)) + d.view(np.uint64))
         looks = np.isin(both(x["t"], x["d"]), both(right["key"].to_numpy(np.int64), right["b"].to_numpy(np.int64)))
@@ -437,9 +476,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rule = sj.Rule(percent, 1.0)
     docs = placed(docs, id_col, text_col)
-    both = stage(lines_of(docs, rule), "lines")
-    lines = both.where("payload IS NULL").drop("bucket", "kind", "payload")
-    counts = stage(sj.merged_counts(both.where("payload IS NOT NULL").select("bucket", "kind", "payload"), 2), "counts")
+    both = stage(lines_of(docs, rule), "both")
+    counts = stage(sj.merged_counts(both.where("kind IS NOT NULL").select("bucket", "kind", "payload"), 2), "counts")
+    lines = stage(both.where("kind IS NULL").drop("bucket", "kind", "payload"), "lines")
+    drop_staged(both)
     place = F.struct("ord", "line")
     first = lines.where("node IS NOT NULL").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
     late = stage(later_matches(docs, rule, counts, lines.where("node IS NOT NULL").count()), "late").distinct()

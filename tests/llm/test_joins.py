@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from murmurate.llm import line_dedup, near_dups, setjoin
+from murmurate.llm import line_dedup, near_dups, setjoin, shared
 from murmurate.llm.components import components
 from murmurate.llm.text import mix, set_hash, set_hashes
 
@@ -193,6 +195,62 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, kind, longest, neare
         assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_lines_of_many_words_against_brute_force(spark):
+    """Near copies on both sides of the sizes at which a line's parity gets wider."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(900)]
+    docs, lines = [], []
+    for n in (58, 64, 66, 70, 150, 170, 176, 180, 210, 400):
+        for _ in range(3):
+            line = rng.sample(vocab, n)
+            lines.append(line)
+            for share in (0.05, 0.1, 0.12, 0.2):
+                copy = line[: n - rng.randrange(1 + int(n * share))] + rng.sample(vocab, rng.randrange(1 + int(n * share)))
+                lines.append(copy)
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(" ".join(w) for w in lines[i * 3 : i * 3 + 3])) for i in range(len(lines) // 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    body = {t: b for t, b in df.select("text", F.xxhash64("text")).collect()}
+    got = line_dedup.line_dedup(df).collect()
+    want = _lines(docs, body)
+    assert sorted({(r["doc_id"], r["body"], r["n_lines"], tuple(r["removed"])) for r in got}, key=str) == want
+    assert 20 < sum(len(r[3]) for r in want) < len(lines) - 20
+
+
+def test_parities_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 400, 300)
+    sets = [np.unique(mix(rng.choice(10**6, n, replace=False).astype(np.uint64))) for n in sizes]
+    m = line_dedup.parities(np.concatenate(sets), sizes)
+    assert all(not m[k][sizes <= line_dedup.NARROW].any() for k in (1, 2, 3)) and all(not m[k][sizes <= line_dedup.MIDDLE].any() for k in (2, 3))
+    for words, least in (([m[0] ^ m[1] ^ m[2] ^ m[3]], 0), ([m[0] ^ m[2], m[1] ^ m[3]], line_dedup.NARROW), (m, line_dedup.MIDDLE)):
+        some = np.flatnonzero(sizes > least)
+        for i, j in zip(some[:-1], some[1:], strict=True):
+            assert sum(int(np.bitwise_count(w[i] ^ w[j])) for w in words) <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_postings_and_staged_lines_are_small(spark):
+    """A posting travels in fewer than 40 bytes, and the counted words do not stay in the shared folder."""
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    docs = [(i, "\n".join(" ".join(rng.sample(vocab, rng.randint(20, 60))) for _ in range(10))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    placed, rule = line_dedup.placed(df, "doc_id", "text"), setjoin.Rule(80, 1.0)
+    wanted = np.full(1 << (line_dedup.FILTER_BITS - 3), 255, np.uint8)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    packed = line_dedup.postings(placed, rule, none, 4000, wanted, True).collect()
+    sizes = [len({*line.split()}) for _, t in docs for line in t.split("\n")]
+    n = sum(k - rule.overlap(k) + 1 for k in sizes)
+    assert sum(len(r["payload"]) for r in packed) < 40 * n
+    x = line_dedup.unpacked_postings(*(pd.Series([r[c] for r in packed]) for c in ("payload", "rows")))
+    assert len(x) == n and sorted(set(x["n"].tolist())) == sorted(set(sizes))
+    folder = Path(shared.shared_dir(spark).removeprefix("file://")) / "murmurate"
+    before = set(folder.glob("*/*"))
+    assert line_dedup.line_dedup(df).count() == 400
+    after = set(folder.glob("*/*")) - before
+    assert after and not any("payload" in spark.read.parquet(str(p)).columns for p in after)
+
+
 def test_keys_of_similar_lines_meet():
     rng = np.random.default_rng(1)
     rule, universe = setjoin.Rule(80, 1.0), np.unique(mix(np.arange(90, dtype=np.uint64)))
