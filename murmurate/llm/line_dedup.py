@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import setjoin as sj
 from .shared import bucket_count, drop_staged, hot_join, quoted, stage, unused
-from .text import chunks, distinct, mix, set_hashes, words
+from .text import chunks, distinct, encode, mix, set_hashes, span_hashes, spans, words
 
 #: A key expected in so many lines takes a further word.
 LONGEST = 512
@@ -35,10 +35,14 @@ DEPTH = 3
 NEAREST, MOST = 2, 32
 #: Tokens after which a task hands on its counts.
 COUNTED = 1_000_000
+#: Bytes of lines whose words are cut at once.
+RUN_BYTES = 1 << 18
 #: Postings after which a task hands them on.
 POSTINGS = 430_000
 #: Up to so many lines are looked up by a broadcast of their places, more by a join.
 BROADCAST_PLACES = 1_000_000
+#: Up to so many, other texts are not handed to Python.
+FEW_PLACES = 10_000
 #: Bits of the filters that name words of more than one line, and the keys of the lines that are left for the second round.
 FILTER_BITS = 26
 
@@ -47,6 +51,9 @@ _POST = np.dtype([("t", "<u8"), ("d", "<i8"), ("m0", "<u8"), ("m1", "<u8"), ("m2
 #: Lines of up to so many words have a parity of 64 bits, and of 128 bits; longer ones have 256.
 NARROW, MIDDLE = 64, 176
 _LARGE = 65535
+_NEWLINE = 10
+#: The last bits of a key are those of its first word.
+_FIRST = np.uint64((1 << 20) - 1)
 _SIGN = np.uint64(1 << 63)
 
 
@@ -97,8 +104,25 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(base.join(ranks, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("body") == F.col("b"))).drop("k", "b"), "placed")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Lines in runs: the batch, the row and number of each line, their distinct words end to end and how many each has."""
+def _pieces(texts: list[str | None]) -> Iterator[bytes]:
+    """The lines of the texts, each with a line feed behind it, in pieces of some ``RUN_BYTES``."""
+    held, size = [], 0
+    for t in texts:
+        for b in [encode(t)] if t is None or len(t) <= RUN_BYTES else (b"\n".join(run) for _, run in chunks(t.split("\n"), RUN_BYTES)):
+            if held and size + len(b) > RUN_BYTES:
+                yield b"\n".join(held) + b"\n"
+                held, size = [], 0
+            held.append(b)
+            size += len(b) + 1
+    if held:
+        yield b"\n".join(held) + b"\n"
+
+
+def _runs(batches: Iterator[pa.RecordBatch], text: int, first: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines in runs: the batch, each line's row, number and count of lines in its row, their distinct words end to end and how many each has.
+
+    ``first``: only lines with a word of which it has the last bits, as :func:`keys_of` puts them into keys.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -107,18 +131,26 @@ def _runs(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Rec
             row = np.repeat(np.arange(len(texts)), counts)
             line = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             pos = 0
-            for _, run in chunks([x for t in texts for x in (t or "").split("\n")]):
-                tokens, sizes = distinct(*words(run))
-                yield part, row[pos : pos + len(sizes)], line[pos : pos + len(sizes)], tokens, sizes
-                pos += len(sizes)
+            for run in _pieces(texts):
+                a = np.frombuffer(run.lower(), np.uint8)
+                s, e = spans(a)
+                h, begin = span_hashes(a, s, e), np.concatenate([[0], np.searchsorted(s, np.flatnonzero(a == _NEWLINE))])
+                some, total = np.arange(len(begin) - 1), len(begin) - 1
+                if first is not None:
+                    some = np.unique(np.searchsorted(begin, np.flatnonzero(first[(mix(h) & _FIRST).astype(np.int64)]), side="right") - 1)
+                    h, begin = h[_spread(begin[some], begin[some + 1])[0]], np.concatenate([[0], np.cumsum((begin[1:] - begin[:-1])[some])])
+                if len(some):
+                    tokens, sizes = distinct(h, begin)
+                    yield part, row[pos + some], line[pos + some], counts[row[pos + some]], tokens, sizes
+                pos += total
 
 
 def lines_of(docs: DataFrame, rule: sj.Rule) -> DataFrame:
-    """``doc_id``, ``body``, ``ord``, ``line`` (from 0) and ``node`` (null: no words) of each line; and, in rows of
+    """``doc_id``, ``body``, ``ord``, ``n_lines`` of its text, ``line`` (from 0) and ``node`` (null: no words) of each line; and, in rows of
     their own, packed counts of the words (``bucket``, ``kind``, ``payload``): one pass over the texts gives both."""
     buckets = bucket_count(docs, 2.0)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, body long, ord long, line int, node long, bucket int, kind int, payload binary"
+    shape = f"doc_id {kind}, body long, ord long, n_lines long, line int, node long, bucket int, kind int, payload binary"
     names = [x.split()[0] for x in shape.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +158,14 @@ def lines_of(docs: DataFrame, rule: sj.Rule) -> DataFrame:
 
         def counted() -> pa.RecordBatch:
             rows = sj.packed_counts(held, rule, buckets)
-            nothing = [pa.nulls(len(rows), t) for t in (id_type, pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+            nothing = [pa.nulls(len(rows), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())]
             return pa.RecordBatch.from_arrays([*nothing, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=names)
 
-        for part, row, line, tokens, sizes in _runs(batches, 3):
+        for part, row, line, n_lines, tokens, sizes in _runs(batches, 3):
             row, id_type = pa.array(row), part.column(0).type
             node = pa.array(set_hashes(tokens, sizes), pa.int64(), mask=sizes == 0)
             rest = [pa.nulls(len(sizes), t) for t in (pa.int32(), pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(3)), pa.array(line.astype(np.int32)), node, *rest], names=names)
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(3)), pa.array(n_lines, pa.int64()), pa.array(line.astype(np.int32)), node, *rest], names=names)
             held.append(tokens)
             size += len(tokens)
             if size > COUNTED:
@@ -184,7 +216,7 @@ def keys_of(tokens: np.ndarray, sizes: np.ndarray, rule: sj.Rule, counts: Counts
         if not len(at):
             break
         nxt, src = _spread(at + 1, np.minimum(off + base + d, end)[which])
-        key, expected, which, at = mix(key[src] * np.uint64(0x9E3779B97F4A7C15) + tokens[nxt]), expected[src] * often[nxt] / max(lines, 1), which[src], nxt
+        key, expected, which, at = mix(key[src] * np.uint64(0x9E3779B97F4A7C15) + tokens[nxt]) & ~_FIRST | key[src] & _FIRST, expected[src] * often[nxt] / max(lines, 1), which[src], nxt
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -225,11 +257,15 @@ def unpacked_postings(payload: pd.Series, rows: pd.Series) -> np.ndarray:
     return out
 
 
-def postings(docs: DataFrame, rule: sj.Rule, frequent: tuple[np.ndarray, np.ndarray], lines: int, wanted: np.ndarray, exempt: bool) -> DataFrame:
-    """Postings of all lines under their keys, ``rows`` of them packed by ``bucket``; only under the keys in ``wanted`` (a bit set) or, if these are ``exempt``, of more than one word."""
+def postings(docs: DataFrame, rule: sj.Rule, frequent: tuple[np.ndarray, np.ndarray], lines: int, wanted: np.ndarray, first: np.ndarray | None = None) -> DataFrame:
+    """Postings of all lines under their keys, ``rows`` of them packed by ``bucket``: under the keys in ``wanted`` (a bit set).
+
+    ``first`` tells of the last bits of keys whether a wanted one has them, so that other lines are
+    passed over; without it keys of more than one word need not be in ``wanted``.
+    """
     buckets = bucket_count(docs, POSTED)
     context = docs.sparkSession.sparkContext
-    held, want = context.broadcast(frequent), context.broadcast(wanted)
+    held, want, begins = context.broadcast(frequent), context.broadcast(wanted), context.broadcast(first)
     least = least_size(rule)
     depth = min(DEPTH, rule.overlap(least))
 
@@ -239,13 +275,13 @@ def postings(docs: DataFrame, rule: sj.Rule, frequent: tuple[np.ndarray, np.ndar
 
         def flush() -> pa.RecordBatch:
             x = np.concatenate(packed)
-            x = x[np.argsort(x["t"])]
+            x = x.view("<u8").reshape(len(x), -1).take(np.argsort(x["t"]), axis=0).reshape(-1).view(_POST)
             own = ((x["t"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             parts = np.split(x, np.flatnonzero(np.diff(own)) + 1)
             own = own[np.cumsum([0, *map(len, parts[:-1])])]
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([len(p) for p in parts], pa.int32()), pa.array([packed_postings(p) for p in parts], pa.binary())], names=["bucket", "rows", "payload"])
 
-        for part, row, line, tokens, sizes in _runs(batches, 1):
+        for part, row, line, _, tokens, sizes in _runs(batches, 1, begins.value):
             ok = sizes >= least
             node = set_hashes(tokens, sizes)
             place = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[row] ^ _SIGN
@@ -261,7 +297,7 @@ def postings(docs: DataFrame, rule: sj.Rule, frequent: tuple[np.ndarray, np.ndar
             parity = parities(tokens, sizes)
             key, who, rest, words_in = keys_of(tokens, sizes, rule, counts, lines, depth)
             hit = _in_filter(want.value, key)
-            if exempt:
+            if begins.value is None:
                 hit |= words_in > 1
             key, who, rest = key[hit], who[hit], rest[hit]
             x = np.empty(len(key), _POST)
@@ -296,30 +332,43 @@ def near_pairs(x: dict[str, np.ndarray], rule: sj.Rule, nearest: int, most: int,
     two = [four[0] ^ four[2], four[1] ^ four[3]]
     one = two[0] ^ two[1]
     differ = lambda words, a, b: sum(np.bitwise_count(m[b] ^ m[a]).astype(np.int32) for m in words)
+    # Sizes that fit; those of very large sets are not known here: verification decides.
+    unknown = n == _LARGE
+    smallest, largest = np.where(unknown, 0, -(-rule.percent * n // 100)), np.where(unknown, _LARGE, 100 * n // max(rule.percent, 1))
+    unsure = bool(unknown.any())
     found, likely, done, stopped = np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size, bool), np.zeros(size, bool)
     y, gap, out = np.flatnonzero(rank > 0) if open_ is None else np.flatnonzero((rank > 0) & open_), 0, []
+    # By falling rank: those that still have an earlier posting at a gap come first.
+    y = y[np.argsort(-rank[y], kind="stable")]
+    last, low, high = -rank[y], smallest[y], largest[y]
     while True:
         gap += 1
-        y = y[rank[y] >= gap]
-        if not len(y):
+        k = int(np.searchsorted(last, -gap, side="right"))
+        if not k:
             break
-        na, nb = n[y - gap], n[y]
-        large = (na == _LARGE) | (nb == _LARGE)  # their sizes are not known here: verification decides
-        ok = (100 * np.minimum(na, nb) >= rule.percent * np.maximum(na, nb)) | large
-        b, na, nb, large = y[ok], na[ok], nb[ok], large[ok]
-        a = b - gap
+        na = n[y[:k] - gap]
+        ok = (na >= low[:k]) & (na <= high[:k])
+        if unsure:
+            ok |= na == _LARGE
+        at = np.flatnonzero(ok)
+        b, na = y[at], na[at]
+        a, nb = b - gap, n[b]
         need = -(-rule.percent * (na + nb) // (100 + rule.percent))
-        allowed, bits = na + nb - 2 * need, differ([one], a, b)
         # Before the key they share nothing (else they meet under another), so this is all that they can share.
-        ok = ((bits <= allowed) & (np.minimum(r[b], r[a]) >= need)) | large
-        if ok.any():
-            a, b, bits, allowed, large = a[ok], b[ok], bits[ok], allowed[ok], large[ok]
-            # The widest parity that both have.
-            for words, longer in ((two, NARROW), (four, MIDDLE)):
-                wide = np.flatnonzero(np.minimum(n[a], n[b]) > longer)
-                bits[wide] = differ(words, a[wide], b[wide])
-            ok = (bits <= allowed) | large
+        ok = np.minimum(r[b], r[a]) >= need
+        if unsure:
+            ok |= unknown[a] | unknown[b]
+        a, b, allowed = a[ok], b[ok], (na + nb - 2 * need)[ok]
+        # The parity of 64 bits, then the widest one that both have.
+        bits = np.zeros(len(b), np.int32)
+        for words, longer in (([one], -1), (two, NARROW), (four, MIDDLE)):
+            wide = np.flatnonzero(np.minimum(n[a], n[b]) > longer)
+            bits[wide] = differ(words, a[wide], b[wide])
+            ok = bits <= allowed
+            if unsure:
+                ok |= unknown[a] | unknown[b]
             a, b, bits, allowed = a[ok], b[ok], bits[ok], allowed[ok]
+        if len(b):
             out.append((a, b, bits))
             found[b] += 1
             likely[b] += 2 * bits <= allowed
@@ -327,7 +376,8 @@ def near_pairs(x: dict[str, np.ndarray], rule: sj.Rule, nearest: int, most: int,
             if len(full):
                 done[full] = True
                 stopped[full] = rank[full] > gap
-                y = y[~done[y]]
+                stay = ~done[y[:k]]
+                y, last, low, high = y[:k][stay], last[:k][stay], low[:k][stay], high[:k][stay]
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), stopped
     return *(np.concatenate(z) for z in zip(*out, strict=True)), stopped
@@ -341,19 +391,26 @@ def in_order(x: np.ndarray) -> dict[str, np.ndarray]:
     first = np.concatenate([[True], t[1:] != t[:-1]])[: len(t)]
     many = ~(first & np.append(first[1:], True)[: len(t)])
     order, group = order[many], np.cumsum(first)[many]
-    x = x[order]
-    place = np.empty(len(x), np.int64)
-    place[np.lexsort((x["i"], x["o"]))] = np.arange(len(x))
-    by_place = np.argsort(group << 32 | place)
-    x, group = x[by_place], group[by_place]
+    if not len(order):
+        return {c: x[c][order] for c in _POST.names}
+    o, i = x["o"][order], x["i"][order].astype(np.uint64)
+    o -= o.min()
+    line_bits, bits = int(i.max()).bit_length(), int(i.max()).bit_length() + int(o.max()).bit_length()
+    if bits + int(group[-1]).bit_length() <= 64:
+        by_place = np.argsort(group.astype(np.uint64) << np.uint64(bits) | o << np.uint64(line_bits) | i)
+    else:
+        by_place = np.lexsort((i, o, group))
+    order, group = order[by_place], group[by_place]
     # Equal sets under a key lie next to each other by this hash; a stable sort keeps the first place first.
-    same = mix(x["d"].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * group.astype(np.uint64))
+    d = x["d"][order]
+    same = mix(d.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * group.astype(np.uint64))
     twins = np.argsort(same, kind="stable")
-    later = twins[1:][(same[twins[1:]] == same[twins[:-1]]) & (x["d"][twins[1:]] == x["d"][twins[:-1]]) & (group[twins[1:]] == group[twins[:-1]])]
-    keep = np.ones(len(x), bool)
+    now, before = twins[1:], twins[:-1]
+    later = now[(same[now] == same[before]) & (d[now] == d[before]) & (group[now] == group[before])]
+    keep = np.ones(len(order), bool)
     keep[later] = False
-    x = x[keep]
-    return {c: np.ascontiguousarray(x[c]) for c in _POST.names}
+    order = order[keep]
+    return {c: x[c][order] for c in _POST.names}
 
 
 #: Unpacked postings' bytes as a share of the texts'.
@@ -400,12 +457,15 @@ def unsettled_pairs(packed: DataFrame, rule: sj.Rule, open_: DataFrame, buckets:
 def line_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``node`` and ``text`` of the lines at both ends of the pairs, found by their places."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ao").alias("o"), F.col("ai").alias("i")), F.struct(F.col("b").alias("node"), F.col("bo").alias("o"), F.col("bi").alias("i")))).alias("e"))
-    ends = stage(ends.groupBy("e.node").agg(F.min(F.struct("e.o", "e.i")).alias("e")).select("node", "e.o", "e.i"), "ends")
+    # Equal lines of one document are as good as each other.
+    ends = stage(ends.groupBy("e.node").agg(F.min("e.o").alias("o"), F.min_by("e.i", "e.o").alias("i")), "ends")
     if ends.count() > BROADCAST_PLACES:
         wanted = ends.groupBy("o").agg(F.collect_list(F.struct("node", "i")).alias("ends"))
         lines = docs.join(wanted, docs["ord"] == wanted["o"]).select(F.split("text", "\n").alias("lines"), F.explode("ends").alias("e"))
         return lines.select("e.node", F.element_at("lines", F.col("e.i") + 1).alias("text")).groupBy("node").agg(F.min("text").alias("text"))
     got = ends.toPandas().sort_values(["o", "i"])
+    if len(got) <= FEW_PLACES:
+        docs = docs.join(F.broadcast(ends.select("o").distinct()), docs["ord"] == F.col("o"), "left_semi")
     held = docs.sparkSession.sparkContext.broadcast(tuple(got[c].to_numpy(np.int64) for c in ("o", "i", "node")))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,8 +484,8 @@ def line_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def later_matches(docs: DataFrame, rule: sj.Rule, counts: DataFrame, lines: int) -> DataFrame:
     """``node``: the distinct lines that an earlier one is similar to. ``docs`` as of :func:`placed`, ``counts`` of words that occur twice or more."""
     frequent = sj.bounded(counts.where(F.col("df") >= sj.FREQUENT))
-    pairs = stage(met_pairs(postings(docs, rule, frequent, lines, _filter_of(counts.select("token"), hashed=True), True), rule), "pairs")
-    near = stage(pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")), "nearest")
+    pairs = stage(met_pairs(postings(docs, rule, frequent, lines, _filter_of(counts.select("token"), hashed=True)), rule), "pairs")
+    near = stage(pairs.groupBy("b").agg(F.min_by("a", "bits").alias("a")), "nearest")
     known = stage(line_texts(docs, pairs), "texts")
     late = stage(sj.verify(near, known, line_sets, rule).select(F.col("b").alias("node")).distinct(), "late1")
     rest = pairs.join(late, pairs["b"] == late["node"], "left_anti")
@@ -437,7 +497,9 @@ def later_matches(docs: DataFrame, rule: sj.Rule, counts: DataFrame, lines: int)
     late = late.unionByName(more)
     if open_.isEmpty():
         return late
-    again = postings(docs, rule, frequent, lines, _filter_of(open_.select("key")), False)
+    first = np.zeros(int(_FIRST) + 1, bool)  # at most so many values are collected
+    first[open_.select(F.col("key").bitwiseAND(int(_FIRST)).alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True
+    again = postings(docs, rule, frequent, lines, _filter_of(open_.select("key")), first)
     last = stage(unsettled_pairs(again, rule, open_.distinct(), bucket_count(docs, POSTED)), "pairs")
     return late.unionByName(sj.verify(last.select("a", "b").distinct(), stage(line_texts(docs, last), "texts"), line_sets, rule).select(F.col("b").alias("node")).distinct())
 
@@ -488,7 +550,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fate = stage(fate.select("node", "first", F.coalesce("late", F.lit(False)).alias("late"), "rows"), "fate")
     judged = hot_join(lines.select("ord", "line", "node"), fate, "node", "rows", lines.count())
     gone = judged.where(F.col("late") | (place != F.col("first"))).groupBy("ord").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    rows = docs.select("doc_id", "body", "ord", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")).join(gone, "ord", "left")
+    # Every text has a first line.
+    rows = lines.where("line = 0").select("doc_id", "body", "ord", "n_lines").join(gone, "ord", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return rows.select("doc_id", "body", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,7 +239,7 @@ def test_postings_and_staged_lines_are_small(spark):
     placed, rule = line_dedup.placed(df, "doc_id", "text"), setjoin.Rule(80, 1.0)
     wanted = np.full(1 << (line_dedup.FILTER_BITS - 3), 255, np.uint8)
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    packed = line_dedup.postings(placed, rule, none, 4000, wanted, True).collect()
+    packed = line_dedup.postings(placed, rule, none, 4000, wanted).collect()
     sizes = [len({*line.split()}) for _, t in docs for line in t.split("\n")]
     n = sum(k - rule.overlap(k) + 1 for k in sizes)
     assert sum(len(r["payload"]) for r in packed) < 40 * n
@@ -251,6 +252,35 @@ def test_postings_and_staged_lines_are_small(spark):
     assert after and not any("payload" in spark.read.parquet(str(p)).columns for p in after)
 
 
+def test_runs_of_lines_give_all_words_or_those_with_a_first_word(monkeypatch):
+    monkeypatch.setattr(line_dedup, "RUN_BYTES", 40)
+    texts = [None, "", "\n\n", "A b\nc  C\td\n", "one long line of words that is above the bytes of a run\nB\n\u00c4 \u00e4 b", "x\ry\x0bz\n" * 30, "b"] * 150
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["ord", "text"])
+    want = [(r, i, (t or "").count("\n") + 1, {*line_dedup.line_sets([x])[0][1].tolist()}) for r, t in enumerate(texts) for i, x in enumerate((t or "").split("\n"))]
+
+    def got(first):
+        out = []
+        for part, row, line, n_lines, tokens, sizes in line_dedup._runs(iter([batch]), 1, first):
+            sets = np.split(tokens, np.cumsum(sizes)[:-1])
+            out += [(part.column(0)[r].as_py(), i, n, {*s.tolist()}) for r, i, n, s in zip(row.tolist(), line.tolist(), n_lines.tolist(), sets, strict=True)]
+        return out
+
+    assert got(None) == want
+    b = line_dedup.line_sets(["b"])[0][1]
+    first = np.zeros(int(line_dedup._FIRST) + 1, bool)
+    first[(mix(b) & line_dedup._FIRST).astype(np.int64)] = True
+    assert got(first) == [w for w in want if w[3] & {*b.tolist()}] != []
+
+
+def test_keys_end_in_the_bits_of_a_word():
+    rng = np.random.default_rng(4)
+    universe = np.unique(mix(np.arange(60, dtype=np.uint64)))
+    sets = [np.unique(rng.choice(universe, 20, replace=False)) for _ in range(50)]
+    key, who, _, n = line_dedup.keys_of(np.concatenate(sets), np.full(50, 20), setjoin.Rule(80, 1.0), line_dedup.Counts(universe, np.full(len(universe), 3000)), 5000)
+    assert {2, 3} & set(n.tolist())
+    assert all(int(k & line_dedup._FIRST) in {int(x) for x in mix(sets[w]) & line_dedup._FIRST} for k, w in zip(key, who, strict=True))
+
+
 def test_keys_of_similar_lines_meet():
     rng = np.random.default_rng(1)
     rule, universe = setjoin.Rule(80, 1.0), np.unique(mix(np.arange(90, dtype=np.uint64)))
