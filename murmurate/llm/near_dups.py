@@ -51,7 +51,7 @@ def node_components(texts: DataFrame, sets: sj.Sets, rule: sj.Rule) -> DataFrame
     rows = stage(sj.with_leaders(met), "led")
     drop_staged(met)
     nodes = stage(rows.select("node").distinct(), "nodes")
-    known = stage(sj.node_texts(texts, sets, nodes, rule), "texts")
+    known = stage(sj.node_texts(texts, sets, nodes), "texts")
 
     star = stage(sj.star_pairs(rows, rule), "star")
     links = stage(sj.verify(star, known, sets, rule), "links1")

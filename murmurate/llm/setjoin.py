@@ -43,8 +43,8 @@ VERIFY_COST = 8.0
 RARE_COST = 0.1
 #: Bytes of text of one side of a block in which unsettled nodes are compared with all others.
 BLOCK_BYTES = 4 << 20
-#: Frequent tokens and links are broadcast up to these many rows.
-BROADCAST_ROWS = 1_000_000
+#: The filter that names wanted nodes has some so many bits a node, and at most 2 to the power of ``FILTER_MOST`` (16 MB).
+FILTER_BITS, FILTER_MOST = 16, 27
 
 _POST = np.dtype([("t", "<u8"), ("d", "<i8"), ("n", "<u4"), ("p", "<u2"), ("l", "u1"), ("c", "u1")])
 _FULL = float(1 << 64)
@@ -152,10 +152,21 @@ def bounded(frequent: DataFrame, limit: int = FREQUENT_LIMIT) -> tuple[np.ndarra
             held += n
             least = df
         frequent = frequent.where(F.col("df") >= least)
-    got = frequent.toPandas()
-    t = got["token"].to_numpy(np.int64).view(np.uint64)
+    got = fetched(frequent.select("token", "df"))
+    t = got[:, 0].view(np.uint64)
     order = np.argsort(t)
-    return t[order], got["df"].to_numpy(np.int64)[order]
+    return t[order], got[:, 1][order]
+
+
+def fetched(rows: DataFrame) -> np.ndarray:
+    """The rows of two columns of longs on the driver: in packed pieces, as a Python object for each takes ten times their bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([c.to_numpy() for c in batch.columns], 1).astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["payload"])
+
+    return np.frombuffer(b"".join(r[0] for r in rows.mapInArrow(pack, "payload binary").collect()), "<i8").reshape(-1, 2).copy()
 
 
 def choose_matches(df: np.ndarray, base: int, most: int) -> int:
@@ -282,26 +293,38 @@ def with_leaders(met: DataFrame) -> DataFrame:
     return led.unionByName(hot_join(often, lead, "token", "m", met.count()).where("leader IS NOT NULL").select(*led.columns))
 
 
-def node_texts(texts: DataFrame, sets: Sets, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """One text of each of these nodes. Its rows are found in a narrow pass if the nodes can be broadcast, by a shuffled semi-join if not."""
-    few = nodes.count() <= 4 * BROADCAST_ROWS
-    held = texts.sparkSession.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64))) if few else None
+def node_filter(nodes: DataFrame) -> np.ndarray:
+    """A bit set, a power of two long, that has the first bits of all nodes; the more nodes, the more others have them too, but its size is bounded."""
+    bits = min(max((FILTER_BITS * nodes.count()).bit_length(), 15), FILTER_MOST)
+    slot = F.shiftrightunsigned("node", 64 - bits)
+    slots = nodes.select(F.shiftright(slot, 15).alias("part"), slot.bitwiseAND((1 << 15) - 1).alias("bit"))
+    out = np.zeros((1 << bits - 15, 1 << 12), np.uint8)
+    # Dealt before they are gathered: else each task sends a part of the set for a few nodes.
+    for r in slots.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("set")).collect():
+        out[r["part"]] = np.frombuffer(r["set"], np.uint8)
+    return out.reshape(-1)
+
+
+def in_filter(held: np.ndarray, node: np.ndarray) -> np.ndarray:
+    at = node.view(np.uint64) >> np.uint64(64 - (8 * len(held)).bit_length() + 1)
+    return held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def node_texts(texts: DataFrame, sets: Sets, nodes: DataFrame) -> DataFrame:
+    """One text of each of these nodes, and of some others that the filter can't tell from them; found in a narrow pass."""
+    held = texts.sparkSession.sparkContext.broadcast(node_filter(nodes))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = held.value if few else None
+        want = held.value
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                got = batch.column(0).slice(at, 512).to_pylist()
+                got = sets(batch.column(0).slice(at, 512).to_pylist())
+                names = np.array([set_hash(s) for _, s in got], np.int64)
                 node, text = [], []
-                for source, s in sets(got):
-                    d = set_hash(s)
-                    if not len(s) or d in seen:
+                for d, wanted, (source, s) in zip(names.tolist(), in_filter(want, names).tolist(), got, strict=True):
+                    if not wanted or not len(s) or d in seen:
                         continue
-                    if few:
-                        k = np.searchsorted(want, d)
-                        if k >= len(want) or want[k] != d:
-                            continue
                     if len(seen) < 1 << 18:
                         seen.add(d)
                     node.append(d)
@@ -309,10 +332,7 @@ def node_texts(texts: DataFrame, sets: Sets, nodes: DataFrame, rule: Rule) -> Da
                 if node:
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(text, pa.string())], names=["node", "text"])
 
-    found = texts.mapInArrow(find, "node long, text string")
-    if not few:
-        found = found.join(nodes, "node", "left_semi")
-    return found.groupBy("node").agg(F.min("text").alias("text"))
+    return texts.mapInArrow(find, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, sets: Sets, rule: Rule) -> DataFrame:

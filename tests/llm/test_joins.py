@@ -312,3 +312,25 @@ def test_the_table_of_frequent_tokens_keeps_the_most_frequent(spark):
     n = 70_000
     tokens, df = setjoin.bounded(spark.range(n).select(F.col("id").alias("token"), (F.col("id") + 8).alias("df")), limit=100)
     assert sorted(df.tolist()) == list(range(n - 92, n + 8)) and (tokens[:-1] < tokens[1:]).all()
+
+
+@pytest.mark.parametrize("most", [setjoin.FILTER_MOST, 15])
+def test_nodes_and_tokens_reach_the_driver_packed(spark, monkeypatch, most):
+    """No row of the nodes or the frequent tokens becomes an object of the driver, and the filter of nodes has a bound, beyond which all links are still found."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[: 20 + i % 20], f"x{i % 30}", *words[:5]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(setjoin, "FILTER_MOST", most)
+
+    def refuse(*_):
+        raise AssertionError("rows are collected")
+
+    monkeypatch.setattr(type(df), "toPandas", refuse)
+    assert sorted(map(tuple, near_dups.near_duplicates(df, k=4, percent=85).collect()), key=str) == _near(rows, 4, 85)
+    nodes = np.unique(mix(np.arange(50_000, dtype=np.uint64))).view(np.int64)
+    held = setjoin.node_filter(spark.createDataFrame(pd.DataFrame({"node": nodes})).repartition(3))
+    assert 8 * len(held) == min(1 << most, 1 << 20) and setjoin.in_filter(held, nodes).all()
+    others = mix(np.arange(1 << 40, (1 << 40) + 50_000, dtype=np.uint64)).view(np.int64)
+    assert most == 15 or setjoin.in_filter(held, others).mean() < 0.06
+    got = setjoin.fetched(spark.createDataFrame([(-1, 5), (7, 1 << 40)], "a long, b long").repartition(2))
+    assert sorted(got.tolist()) == [[-1, 5], [7, 1 << 40]] and setjoin.fetched(spark.createDataFrame([], "a long, b long")).shape == (0, 2)
