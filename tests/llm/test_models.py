@@ -315,3 +315,39 @@ def test_events_carry_numbers_of_words_and_not_their_hashes(spark, tmp_path):
     assert [x.tolist() for x in got[:1]] == [numbers[np.isin(np.arange(len(t)), np.concatenate([u, v, w]))].tolist()] and len(piece) < 6 * len(u)
     merged = lm._merged([piece, piece], vocabulary)
     assert (merged[0] == t).all() and [x.tolist() for x in merged[1:4]] == [u.tolist(), v.tolist(), w.tolist()] and set(merged[4].tolist()) == {2}
+
+
+def _sized(spark, path, numbered, monkeypatch):
+    """Scores of texts of many words, and the bytes of the tries over the n-grams that they hold."""
+    from pathlib import Path
+
+    monkeypatch.setattr(language_model, "NUMBERED_BUCKETS", 2048 if numbered else 0)
+    df = spark.read.parquet(path)
+    m = language_model.train(df)
+    scores = {r["doc_id"]: r["score"] for r in language_model.score(df, m).collect()}
+    tries = [language_model._level(m.folder, f.name, language_model.Trie) for f in Path(m.folder).glob("trie-*")]
+    return scores, sum(f.stat().st_size for f in Path(m.folder).glob("trie-*")) / sum(x.level2.n + x.level3.n for x in tries), m
+
+
+def test_tries_hold_numbers_of_words(spark, tmp_path, monkeypatch):
+    """A successor takes the bits of its number in the vocabulary, and scores are those of the trie of hashes; words that were not learnt are found under no context."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 20_000}" for _ in range(600)) + f" new{i} w1 w2") for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    hashed, wide, _ = _sized(spark, str(tmp_path / "t"), False, monkeypatch)
+    scores, narrow, m = _sized(spark, str(tmp_path / "t"), True, monkeypatch)
+    assert scores == pytest.approx(hashed, rel=1e-12) and m.begin is not None
+    assert narrow < 0.8 * wide
+
+
+def test_events_are_laid_out_by_bytes():
+    """Packed events come back whole, and runs of one first word cost little."""
+    rng = np.random.default_rng(3)
+    t, key = language_model._events(*language_model._tokens([" ".join(f"w{k}" for k in rng.zipf(1.3, 60_000) % 50_000).encode()]))
+    key, n = language_model._counted(key)
+    u, v, w = language_model._parts(key)
+    numbers = np.arange(len(t), dtype=np.uint64) * np.uint64(7)
+    piece = language_model._piece(numbers, u, v, w, n)
+    got = language_model._unpiece(piece)
+    assert all((a == b).all() for a, b in zip(got, (numbers[np.unique(np.concatenate([u, v, w]))], *(np.unique(np.concatenate([u, v, w]), return_inverse=True)[1].reshape(3, -1)), n), strict=True))
+    assert len(piece) < 2.55 * len(u)
